@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, topk, toxicity, warc
-from .common import fold_of, read
+from . import decontaminate, langid, packing, pii, topk, toxicity, warc, wrappers
+from .common import fold_of, read, staged
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrappers.extract(pages, staged(wrappers.infer(pages), "wrappers"), keep=["page_id", "url"])
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
@@ -46,13 +51,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
+    "op4_html": op4_html,
     "op5_topk": op5_topk,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 OP5_SQL = """
