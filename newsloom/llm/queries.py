@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, topk, toxicity, warc, wrappers
+from . import decontaminate, langid, licences, packing, pii, topk, toxicity, warc, wrappers
 from .common import fold_of, read, staged
 
 
@@ -51,6 +51,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
+    "op8_licences": op8_licences,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -93,4 +98,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_warc": OP7_SQL, "op8_licences": licences.scan_sql()}
