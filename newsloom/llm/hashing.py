@@ -35,7 +35,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def byte_table(separators: bytes | None = None, letters: bytes | None = None) -> np.ndarray:
     """Value of each byte, 0 for one that parts words; A-Z fold to a-z. Give the separators or the letters."""
-    table = np.arange(256, dtype=np.uint8)
+    table = np.arange(1, 257, dtype=np.uint16)
     table[65:91] += 32
     if separators is not None:
         table[list(separators)] = 0
@@ -55,7 +55,7 @@ def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     power, inverse = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    np.cumsum(values.astype(np.uint64) * power[:-1], out=sums[1:])
     return starts, ends, mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 

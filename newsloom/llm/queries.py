@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, packing, pii, topk, toxicity, warc, wrappers
+from . import decontaminate, jaccard, langid, licences, packing, pii, topk, toxicity, warc, wrappers
 from .common import fold_of, read, staged
 
 
@@ -55,6 +55,10 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(read(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_licences": op8_licences,
+    "op9_jaccard": op9_jaccard,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -86,6 +91,24 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), d AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM g) WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS g FROM d),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, root) AS (SELECT rep, rep FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, CAST(coalesce(c.root, g.doc_id) AS BIGINT) AS component_id
+FROM g LEFT JOIN d ON d.s = list_sort(g.s) LEFT JOIN c ON c.node = d.rep
+"""
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -98,4 +121,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_warc": OP7_SQL, "op8_licences": licences.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_warc": OP7_SQL, "op9_jaccard": OP9_SQL, "op8_licences": licences.scan_sql()}
