@@ -51,8 +51,8 @@ _TABLE = byte_table(separators=SEPARATORS)
 _NONE = -(1 << 63)  # stands for a null id inside
 
 FREQUENT = 1 << 16
-BITS = 1024
-SMALL_GROUP = 16
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+SMALL_GROUP = 3
 GROUP = 4096
 CHUNK = 512
 WANTED_IDS = 1 << 19
@@ -99,10 +99,28 @@ def keys_of(owners: np.ndarray, hashes: np.ndarray, texts: int) -> tuple[np.ndar
     return size, mixed(sums + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
-    """For each text the parity of its n-grams in each of BITS classes, packed."""
-    places = owners * BITS + (hashes >> np.uint64(54)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=texts * BITS) & 1).astype(np.uint8).reshape(texts, BITS), axis=1)
+def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each text the parity of its n-grams by class, packed; about as many classes as n-grams, a power of two."""
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    edges = np.append(0, np.cumsum(bits))
+    places = edges[owners] + ((hashes >> np.uint64(40)).astype(np.int64) & (bits[owners] - 1))
+    packed = np.packbits((np.bincount(places, minlength=edges[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+class Bitmaps:
+    """Bitmaps of a group's members, folded to any smaller number of classes: a class modulo a power of two."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw = [np.frombuffer(x, np.uint64) for x in raw]
+        self.words = np.array([len(x) for x in self.raw])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def at(self, words: int) -> np.ndarray:
+        """All members at ``words`` words; those with fewer are left zero."""
+        if words not in self.folded:
+            self.folded[words] = np.array([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) if len(x) >= words else np.zeros(words, np.uint64) for x in self.raw])
+        return self.folded[words]
 
 
 def ordered(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -137,7 +155,7 @@ def _summaries(df: DataFrame, n: int) -> DataFrame:
                 s, k = keys_of(owners, hashes, here)
                 sizes.append(s)
                 keys.append(k)
-                maps += [m.tobytes() for m in bitmaps_of(owners, hashes, here)]
+                maps += bitmaps_of(owners, hashes, s)
                 new = np.zeros(here, bool)
                 for i, x in enumerate(k.tolist()):
                     if x not in seen:
@@ -299,13 +317,15 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _may_link(maps: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, least: int) -> np.ndarray:
-    """Which of ``others`` can link to i by size and by bitmap."""
-    n, m = sizes[i], sizes[others]
-    small, large = np.minimum(n, m), np.maximum(n, m)
-    ok = 100 * small >= least * large
-    apart = np.bitwise_count(maps[others] ^ maps[i]).sum(1, dtype=np.int64)
-    return ok & ((100 + least) * apart <= (100 - least) * (n + m))
+def _may_link(maps: Bitmaps, sizes: np.ndarray, i: int, others: np.ndarray, least: int) -> np.ndarray:
+    """Which of ``others``, none smaller than i, can link to i by size and by bitmap."""
+    n = sizes[i]
+    ok = 100 * n >= least * sizes[others]
+    near = others[ok]
+    table = maps.at(int(maps.words[i]))
+    apart = np.bitwise_count(table[near] ^ table[i]).sum(1, dtype=np.int64)
+    ok[ok] = (100 + least) * apart <= (100 - least) * (n + sizes[near])
+    return ok
 
 
 def _pairs(members: DataFrame, least: int, final: bool) -> DataFrame:
@@ -325,7 +345,7 @@ def _pairs(members: DataFrame, least: int, final: bool) -> DataFrame:
         for table in runs(batches, ["signature", "i", "j"]):
             keys = table.column("key").to_numpy()
             sizes = table.column("size").to_numpy()
-            maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(keys), -1)
+            maps = Bitmaps(table.column("bitmap").to_pylist())
             if final or len(keys) <= SMALL_GROUP:
                 labels = table.column("label").to_numpy()
                 for x in range(len(keys) - 1):
