@@ -64,7 +64,7 @@ def contains_topic(text: Column, alias: str) -> Column:
 def contains_column(text: Column, alias: Column) -> Column:
     """contains_alias for an alias that is a column."""
     a = F.lower(strip(alias))
-    bounded = text.rlike(F.concat(F.lit("(?<![a-z0-9])"), F.lit(r"\Q"), a, F.lit(r"\E"), F.lit("(?![a-z0-9])")))
+    bounded = F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), a, F.lit(r"\E(?![a-z0-9])")))
     return F.when(F.length(a) == 0, False).when(a.rlike("[a-z0-9]"), bounded).otherwise(F.contains(text, a))
 
 

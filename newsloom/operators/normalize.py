@@ -35,7 +35,9 @@ def base_items(raw: DataFrame, now: Column) -> DataFrame:
     title = first_filled(c("translated_title"), c("title"))
     content = first_filled(c("translated_content"), c("content"), c("translated_full_content"), c("full_content"))
     tags = column_or_null(raw, "tags", "array<struct<type:string,name:string,symbol:string>>")
-    identity = F.when(c("id").isNull() | c("id").isin("", "0"), F.substring(F.md5(F.concat(title, F.coalesce(c("source_url"), F.lit(""))).cast("binary")), 1, 12)).otherwise(c("id"))
+    # A number 0 counts as missing, the text "0" does not.
+    missing = [""] if dict(raw.dtypes).get("id", "string") == "string" else ["", "0"]
+    identity = F.when(c("id").isNull() | c("id").cast("string").isin(*missing), F.substring(F.md5(F.concat(title, F.coalesce(c("source_url"), F.lit(""))).cast("binary")), 1, 12)).otherwise(c("id").cast("string"))
     return raw.select(
         identity.alias("id"), title.alias("title"), summary(content).alias("summary"), content.alias("content"),
         first_filled(c("source_url"), c("page_url"), c("jump_url")).alias("url"),

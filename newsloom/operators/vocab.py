@@ -167,7 +167,7 @@ def newest_run(rows: DataFrame, column: str = "run_id") -> DataFrame:
 def exported(rows: DataFrame) -> DataFrame:
     """(category, key, aliases) of active entries: the name first, then trimmed distinct aliases; token keys upper."""
     active = rows.where("status = 'active'")
-    names = F.filter(F.transform(F.concat(F.array("canonical_name"), F.coalesce("aliases", _empty())), F.trim), lambda a: a != "")
+    names = F.filter(F.transform(F.concat(F.array("canonical_name"), F.coalesce("aliases", _empty())), lambda a: F.trim(a)), lambda a: a != "")
     key = F.when(F.col("category") == "token", F.upper("canonical_name")).otherwise(F.col("canonical_name"))
     return active.select("category", key.alias("key"), F.array_distinct(names).alias("aliases"))
 
