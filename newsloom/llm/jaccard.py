@@ -14,15 +14,18 @@ Two documents link when their n-gram sets have a Jaccard similarity of at least
    count once, and a group is cut where sizes differ too much to link.
 4. Within a group, the parity bitmaps bound the symmetric difference from below
    and drop pairs that can't link.  Of small groups all remaining pairs go on;
-   in large ones each member goes on with the first leader that it may link to.
+   in large ones each member goes on with the first leader that it may link to,
+   and each leader with a few members of the earlier leaders' stars.
 5. Sets that remain are put in prefix trees, one for each leader and up to
    ``CHUNK`` partners: sequences in global order, shared beginnings stored once.
    The leader walks the tree; overlap with a shared beginning is counted once
    for all below it, and a subtree is left as soon as the overlap so far plus
    the remaining length can't reach the bound.  The count at a leaf is exact.
 6. Connected components of the links; then, for large groups, the pairs whose
-   ends lie in different components are bounded and walked as well.  Every pair
-   of a group is thus linked, refuted, or already in one component.
+   ends lie in different components are bounded and walked as well: first a few
+   for each member and other component, which mostly join them, then all that
+   are left.  Every pair of a group is thus linked, refuted, or already in one
+   component.
 
 Memory: groups above ``GROUP`` members are dealt out in pairs of blocks.
 Broadcasts: the ``FREQUENT`` most frequent n-grams, and the wanted ids only if
@@ -53,6 +56,7 @@ _NONE = -(1 << 63)  # stands for a null id inside
 FREQUENT = 1 << 16
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 SMALL_GROUP = 3
+BRIDGES = 2
 GROUP = 4096
 CHUNK = 512
 WANTED_IDS = 1 << 19
@@ -328,8 +332,20 @@ def _may_link(maps: Bitmaps, sizes: np.ndarray, i: int, others: np.ndarray, leas
     return ok
 
 
-def _pairs(members: DataFrame, least: int, final: bool) -> DataFrame:
-    """(leader, partner, chunk) of pairs that may link; ``members``: signature, i, j, key, size, bitmap, label."""
+def _few(hit: np.ndarray, owner: np.ndarray, most: int = BRIDGES) -> np.ndarray:
+    """The first ``most`` of ``hit`` for each owner."""
+    order = np.argsort(owner, kind="stable")
+    sorted_owner = owner[order]
+    start = np.searchsorted(sorted_owner, sorted_owner, side="left")
+    return hit[np.sort(order[np.arange(len(hit)) - start < most])]
+
+
+def _pairs(members: DataFrame, least: int, mode: str) -> DataFrame:
+    """(leader, partner, chunk) of pairs that may link; ``members``: signature, i, j, key, size, bitmap, label.
+
+    ``mode``: "leaders" (first leader of each member, a few to earlier stars),
+    "bridges" (a few for each member and other label), or "all" with another label.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaders, partners, chunks = [], [], []
@@ -345,23 +361,26 @@ def _pairs(members: DataFrame, least: int, final: bool) -> DataFrame:
         for table in runs(batches, ["signature", "i", "j"]):
             keys = table.column("key").to_numpy()
             sizes = table.column("size").to_numpy()
+            labels = table.column("label").to_numpy()
+            if mode != "leaders" and (labels == labels[0]).all():
+                continue
             maps = Bitmaps(table.column("bitmap").to_pylist())
-            if final or len(keys) <= SMALL_GROUP:
-                labels = table.column("label").to_numpy()
-                for x in range(len(keys) - 1):
-                    others = np.arange(x + 1, len(keys))
-                    if final:
-                        others = others[labels[others] != labels[x]]
-                    hit = others[_may_link(maps, sizes, x, others, least)]
-                    if len(hit):
-                        emit(keys[x], keys[hit])
-            else:
-                left = np.arange(len(keys))
-                while len(left) > 1:
-                    hit = _may_link(maps, sizes, left[0], left[1:], least)
-                    if hit.any():
-                        emit(keys[left[0]], keys[left[1:][hit]])
-                    left = left[1:][~hit]
+            star = np.full(len(keys), -1)
+            for x in range(len(keys) - 1):
+                others = np.arange(x + 1, len(keys))
+                if mode != "leaders":
+                    others = others[labels[others] != labels[x]]
+                elif len(keys) > SMALL_GROUP and star[x] >= 0:
+                    continue
+                hit = others[_may_link(maps, sizes, x, others, least)]
+                if mode == "bridges":
+                    hit = _few(hit, labels[hit])
+                elif mode == "leaders" and len(keys) > SMALL_GROUP:
+                    new, old = hit[star[hit] < 0], hit[star[hit] >= 0]
+                    hit = np.concatenate([new, _few(old, star[old])])
+                    star[new], star[x] = x, x
+                if len(hit):
+                    emit(keys[x], keys[hit])
             if sum(map(len, leaders)) > 50_000:
                 yield out()
                 leaders, partners, chunks = [], [], []
@@ -534,19 +553,25 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     parts = max(8, -(-int(total) * (100 - least) // 100 // FILED_PER_BLOCK))
 
     groups = staged(_groups(_filed(docs, n, least, frequent, parts), least), "groups")
-    pairs = staged(_pairs(_members(groups, sets, None), least, False), "pairs")
+    pairs = staged(_pairs(_members(groups, sets, None), least, "leaders"), "pairs")
     made = staged(_sets(docs, _wanted(pairs, sets), n, frequent), "sequences")
     links = staged(_links(pairs, made, least), "links")
     unstage(made)
     roots = staged(components(links), "components")
     large = groups.where(F.size("keys") > SMALL_GROUP)
-    more = staged(_pairs(_members(large, sets, roots), least, True).join(pairs, ["leader", "partner"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        made = staged(_sets(docs, _wanted(more, sets), n, frequent), "sequences")
-        links = staged(links.unionByName(_links(more, made, least)), "links")
-        unstage(made)
-        roots = staged(components(links), "components")
-    for t in (groups, pairs, more):
+    tested = [pairs]
+    for mode in ("bridges", "all"):
+        more = _pairs(_members(large, sets, roots), least, mode)
+        for t in tested:
+            more = more.join(t.select("leader", "partner"), ["leader", "partner"], "left_anti")
+        more = staged(more, "pairs")
+        tested.append(more)
+        if not more.isEmpty():
+            made = staged(_sets(docs, _wanted(more, sets), n, frequent), "sequences")
+            links = staged(links.unionByName(_links(more, made, least)), "links")
+            unstage(made)
+            roots = staged(components(links), "components")
+    for t in (groups, *tested):
         unstage(t)
     named = sets.join(roots, sets["key"] == roots["node"]).groupBy("root").agg(F.min("least_id").alias("component"))
     label = roots.join(named, "root").select(F.col("node").alias("key"), "component")
