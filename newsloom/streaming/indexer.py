@@ -34,18 +34,19 @@ SESSION_STATE = "state string"
 def session_stream(requests: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
     """Pages of requests (user_id, at, most, offered array<string>): events offered and not yet delivered, in order.
 
-    State per user: delivered and pending event ids, dropped after ``ttl_ms``
-    without a request.
+    State per user: delivered and pending event ids and the time of the last
+    request (``at``, in milliseconds); a request more than ``ttl_ms`` later
+    begins anew.
     """
 
     def serve(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {"delivered": [], "pending": [], "page": 0}
+        held = json.loads(state.get[0]) if state.exists else {"delivered": [], "pending": [], "page": 0, "at": None}
         rows = []
         requests_now = pd.concat(list(frames)).sort_values("at")
         for r in requests_now.to_dict("records"):
+            if held["at"] is not None and int(r["at"]) - held["at"] > ttl_ms > 0:
+                held = {"delivered": [], "pending": [], "page": 0, "at": None}
+            held["at"] = int(r["at"])
             known = set(held["delivered"]) | set(held["pending"])
             held["pending"] += [e for e in dict.fromkeys(r["offered"]) if e not in known]
             page, held["pending"] = held["pending"][: r["most"]], held["pending"][r["most"] :]
@@ -53,10 +54,9 @@ def session_stream(requests: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
             rows.append((key[0], held["page"], page, bool(held["pending"])))
             held["page"] += 1
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(rows, columns=["user_id", "page", "events", "has_more"])
 
-    return requests.groupBy("user_id").applyInPandasWithState(serve, SESSION_OUT, SESSION_STATE, "append", "ProcessingTimeTimeout")
+    return requests.groupBy("user_id").applyInPandasWithState(serve, SESSION_OUT, SESSION_STATE, "append", "NoTimeout")
 
 
 def replay(source: DataFrame, name: str, checkpoint: str) -> DataFrame:
