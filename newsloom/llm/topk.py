@@ -131,9 +131,8 @@ def top_k(
     if not len(s_ids):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = s_x.shape[1]
-    top_norm = rows.select(
-        F.max(F.aggregate(F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")), F.lit(0.0), lambda a, x: a + F.when(F.abs(x) < 1e150, x * x).otherwise(0.0)))
-    ).first()[0]
+    whole = lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.floor(x.cast("double") * scale).cast("double")).otherwise(0.0)
+    top_norm = rows.select(F.max(F.aggregate(F.transform("v", whole), F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     m2 = float(max(top_norm or 0.0, (s_x * s_x).sum(1).max()))
     lifted = np.column_stack([s_x, np.sqrt(np.maximum(m2 - (s_x * s_x).sum(1), 0))])
     # Pivots far from each other: each next one is the sampled vector farthest from those taken.

@@ -200,7 +200,7 @@ def test_decontaminate(spark):
 
 def test_topk(spark):
     rng = random.Random(7)
-    rows = [(i, [float(rng.randint(-3, 3)) / 4 for _ in range(4)]) for i in range(150)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (None, [1.0] * 4), (203, [])]
+    rows = [(i, [float(rng.randint(-3, 3)) / 4 for _ in range(4)]) for i in range(150)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (None, [1.0] * 4), (203, []), (220, [float("inf"), 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = defaultdict(list)
     for r in topk.top_k(df, df.where("vec_id % 20 = 0"), k=5, pivots=4, sample_rows=32).orderBy("query_id", "rank").collect():
