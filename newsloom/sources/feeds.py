@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, strip
+from ..functions.text import first_filled
 
 MOST_ITEMS = 30
 MOST_TOPICS = 10
@@ -171,6 +171,3 @@ def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     fields = spark.createDataFrame([], schema).schema
     return found.select(*[F.col(f.name).cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
-
-def text_query(value: Column) -> Column:
-    return F.lower(strip(value))
