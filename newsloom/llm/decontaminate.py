@@ -13,9 +13,11 @@ in full, all passages of an Arrow batch at once.  What is retrieved is then
 verified: the item's last sentence counts as its answer, the rest as its
 question, and enough word n-grams of both must occur in the passage.
 
-The index goes to the tasks in shards of at most ``shard_items`` items, whose
-texts are cut at ``item_chars``, so a broadcast is bounded however large the
-benchmark is; each shard reads the documents once.
+The index goes to the tasks in shards of at most ``shard_items`` items and, a
+single longer item aside, ``shard_chars`` characters, so a broadcast is bounded
+however large the benchmark is; each shard reads the documents once.  Items are
+indexed as a whole.  Shards are cut along the items' lengths, so a few very long
+items do not widen the passages that the others are held against.
 
 Defined results: null or wordless texts and items match nothing; equal items
 each match; repeated document rows each give their rows; empty tables give no
@@ -50,7 +52,9 @@ class Settings:
     gram: int = 3
     blocks: int = 32
     shard_items: int = 4096
-    item_chars: int = 20000
+    shard_chars: int = 8 << 20
+    short_chars: int = 20000
+    spread: int = 16
 
 
 def hashed_words(text: str) -> np.ndarray:
@@ -174,6 +178,24 @@ def _all_grams(passage: np.ndarray, n: int) -> np.ndarray:
 SCHEMA = "doc_id long, item_id long, word long, score double, question_overlap double, answer_overlap double"
 
 
+def shards(items: DataFrame, settings: Settings) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of one shard after another; the driver holds one sorted partition and the open shard."""
+    ids, texts, chars, shortest = [], [], 0, 0
+    by_length = items.withColumn("n", F.length("t")).orderBy("n", "i", "t")
+    for row in by_length.toLocalIterator():
+        full = len(ids) == settings.shard_items or chars + row["n"] > settings.shard_chars
+        if ids and (full or row["n"] > settings.spread * max(shortest, settings.short_chars)):
+            yield ids, texts
+            ids, texts, chars = [], [], 0
+        if not ids:
+            shortest = row["n"]
+        ids.append(row["i"])
+        texts.append(row["t"])
+        chars += row["n"]
+    if ids:
+        yield ids, texts
+
+
 def contaminated(
     df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     settings: Settings = Settings(),
@@ -182,16 +204,10 @@ def contaminated(
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small_batches(spark)
-    items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(
-        F.col(item_id).cast("long").alias("i"), F.substring(item_text, 1, settings.item_chars).alias("t")
-    )
-    shards = max(1, -(-items.count() * 5 // (4 * settings.shard_items)))
+    items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     found = []
-    for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).orderBy("i", "t").collect()
-        if not part:
-            continue
-        index = spark.sparkContext.broadcast(Index([r["i"] for r in part], [r["t"] for r in part], settings))
+    for ids, held in shards(items, settings):
+        index = spark.sparkContext.broadcast(Index(ids, held, settings))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())

@@ -198,6 +198,20 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_decontaminate_long_items(spark):
+    """Items beyond a shard's size are indexed as a whole, and apart from the short ones."""
+    rng = random.Random(16)
+    say = lambda n: " ".join("".join(rng.choice(["th", "er", "in", "an", "re"]) for _ in range(4)) for _ in range(n))
+    bench = [f"{say(20)}. {say(8)}." for _ in range(12)] + [f"{say(4000)}. {say(12)}." for _ in range(2)]
+    texts = [f"{say(50)} {b} {say(50)}" for b in bench] + [bench[12][:20000], say(6000)]
+    items = spark.createDataFrame([*enumerate(bench)], "item_id long, text string")
+    settings = decontaminate.Settings(shard_items=5, shard_chars=30000)
+    held = list(decontaminate.shards(items.toDF("i", "t"), settings))
+    assert sorted(i for ids, _ in held for i in ids) == list(range(14)) and [len(ids) for ids, _ in held] == [5, 5, 2, 1, 1]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, texts), items, settings=settings).collect()}
+    assert got == {(i, i) for i in range(14)}  # a part without the item's end, its answer, is no match
+
+
 def test_topk(spark):
     rng = random.Random(7)
     rows = [(i, [float(rng.randint(-3, 3)) / 4 for _ in range(4)]) for i in range(150)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (None, [1.0] * 4), (203, []), (220, [float("inf"), 0.0, 0.0, 0.0])]
