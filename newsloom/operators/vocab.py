@@ -16,15 +16,24 @@ def _empty() -> Column:
 
 
 def sanitised(mentions: DataFrame) -> DataFrame:
-    """Mentions with ``key``, ``name`` and cleaned ``aliases``; noise is dropped."""
+    """Mentions with ``key``, ``name`` and cleaned ``aliases``; noise is dropped.
+
+    Names repeat, so each distinct one is cleaned once and the mentions are joined with the result.
+    """
+    same = ["category", "canonical_name", "aliases"]
     own = cleaned_name(F.col("canonical_name"))
     key = category_key(F.col("category"), candidate_key(own))
     raw = F.array_distinct(F.concat(F.array(own), F.filter(F.transform(F.coalesce("aliases", _empty()), cleaned_name), lambda a: a != "")))
-    rows = mentions.withColumns({"_own": own, "key": key}).withColumn("_aliases", F.filter(raw, lambda a: category_key(F.col("category"), candidate_key(a)) != F.col("key")))
+    names = mentions.groupBy(same).agg(F.count("*").alias("_n")).withColumns({"_own": own, "key": key}).withColumn("_aliases", F.filter(raw, lambda a: category_key(F.col("category"), candidate_key(a)) != F.col("key")))
     combined = F.concat_ws(" ", F.col("key"), F.array_join(F.transform("_aliases", candidate_key), " "))
-    rows = rows.where((F.col("key") != "") & ~is_noise(F.col("category"), combined))
+    # Tied to the count, the filter stays above the grouping and runs once for each name.
+    names = names.where(F.when(F.col("_n") > 0, (F.col("key") != "") & ~is_noise(F.col("category"), combined)))
     fallback = F.when(candidate_key(F.col("_own")) == F.col("key"), F.col("_own")).otherwise("")
-    return rows.withColumns({"name": display_name(F.col("category"), F.col("key"), fallback), "aliases": F.filter("_aliases", lambda a: a != "")}).drop("_own", "_aliases")
+    clean = names.select(
+        *[F.col(c).alias(f"_raw_{c}") for c in same], "key", display_name(F.col("category"), F.col("key"), fallback).alias("name"), F.filter("_aliases", lambda a: a != "").alias("_clean")
+    )
+    on = [F.col(c).eqNullSafe(F.col(f"_raw_{c}")) for c in same]
+    return mentions.join(clean, on).withColumn("aliases", F.col("_clean")).drop("_clean", *[f"_raw_{c}" for c in same])
 
 
 def new_only(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -40,21 +49,29 @@ def most_frequent(rows: DataFrame, keys: list[str], value: str, order: str, most
     return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.col(value).alias("v")))), lambda s: s["v"]).alias(name))
 
 
+def smallest(rows: DataFrame, keys: list[str], value: str, most: int, name: str) -> DataFrame:
+    """For each group its ``most`` smallest values that are not blank; ``rows`` has each value once."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    kept = rows.where(F.coalesce(F.col(value), F.lit("")) != "").select(*keys, value).withColumn("p", place).where(F.col("p") <= most)
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def aggregated(mentions: DataFrame, known: DataFrame, min_mentions: int = 2, min_docs: int = 2) -> DataFrame:
     """Candidates with counts, names and evidence that reach both thresholds."""
     keys = ["category", "key"]
     rows = new_only(sanitised(mentions), known)
-    base = rows.groupBy(*keys).agg(
-        F.count("*").alias("mention_count"), F.countDistinct(F.nullif(F.trim("evidence_title"), F.lit(""))).alias("doc_count"),
-        F.slice(F.array_sort(F.collect_set(F.nullif(F.trim("evidence_title"), F.lit("")))), 1, 5).alias("evidence_titles"),
-        F.slice(F.array_sort(F.collect_set(F.nullif(F.trim("evidence_source"), F.lit("")))), 1, 8).alias("source_names"),
-    ).where((F.col("mention_count") >= min_mentions) & (F.col("doc_count") >= min_docs))
+    by_title = rows.groupBy(*keys, F.trim("evidence_title").alias("title")).agg(F.count("*").alias("n"))
+    base = by_title.groupBy(*keys).agg(F.sum("n").alias("mention_count"), F.count(F.nullif("title", F.lit(""))).alias("doc_count"))
+    base = base.where((F.col("mention_count") >= min_mentions) & (F.col("doc_count") >= min_docs))
+    titles = smallest(by_title, keys, "title", 5, "evidence_titles")
+    sources = smallest(rows.select(*keys, F.trim("evidence_source").alias("source")).distinct(), keys, "source", 8, "source_names")
     names = most_frequent(rows, keys, "name", "ord", 1, "_names")
     exploded = rows.select(*keys, "ord", F.posexplode("aliases").alias("at", "alias")).withColumn("o", F.struct("ord", "at"))
     aliases = most_frequent(exploded.drop("ord").withColumnRenamed("o", "ord"), keys, "alias", "ord", 8, "aliases")
     return (
-        base.join(names, keys, "left").join(aliases, keys, "left")
-        .withColumns({"canonical_name": F.coalesce(F.element_at("_names", 1), F.col("key")), "aliases": F.coalesce("aliases", _empty())}).drop("_names")
+        base.join(titles, keys, "left").join(sources, keys, "left").join(names, keys, "left").join(aliases, keys, "left")
+        .withColumns({c: F.coalesce(c, _empty()) for c in ("evidence_titles", "source_names", "aliases")})
+        .withColumn("canonical_name", F.coalesce(F.element_at("_names", 1), F.col("key"))).drop("_names")
     )
 
 

@@ -31,9 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(df: DataFrame, key: str) -> DataFrame:
+    """``df``, shuffled by ``key`` if its files are fewer than the cores and smaller than one split for each core.
+
+    A large table is left where it lies: its scan has enough splits of its own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores and size < cores << 27 else df
+
+
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw feed items, ten minutes apart."""
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    d, i = dealt_out(table(spark, sf_dir, "documents"), "doc_id"), F.col("doc_id")
     tag = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), F.lit("Alpha").alias("name"), F.lit("tau").alias("symbol")))
     at = F.timestamp_seconds(EPOCH + i * STEP)
     return d.select(
