@@ -4,16 +4,18 @@ A softmax regression over sparse word n-grams (one and two words) names the
 licence family of a paragraph or says unknown.  It is fitted in numpy on the
 driver, on the templates below, on distorted copies of them and on paragraphs
 that only sound like licences; a temperature fitted on held-out copies
-calibrates the probabilities.  Only n-grams with an anchor word are features,
-so a paragraph without any anchor has no feature and is unknown by the bias
-alone, which lets the scan skip it unread.  A predicted family counts as
+calibrates the probabilities.  Every paragraph is scored.  One with an anchor
+word goes to that model; one without, as most prose and the inner lines of
+wrapped notices, goes to a second fit of it that has also seen lines of the
+templates and common words without a notice.  A predicted family counts as
 confirmed if the paragraph contains enough of one of its templates' n-grams.
+``scan_sql`` covers the paragraphs with an anchor only; the tests hold the
+others against brute force.
 
 The scan itself uses DataFrame functions only: no Python runs on executors, no
 row is shuffled, and weights are integers, so that sums do not depend on order.
 
-Defined results: a null or empty text, or one without anchors, has no rows;
-paragraphs are lines; repeated rows are scanned one by one; a paragraph of any
+Defined results: a null or empty text has no rows; paragraphs are lines; repeated rows are scanned one by one; a paragraph of any
 length is read whole.
 """
 
@@ -107,11 +109,15 @@ UNKNOWN_PARAGRAPHS = (
     "redistribution of wealth was debated", "the bar lost its liquor license", "which license should I choose for my work",
     "license", "copyright", "permission", "warranty", "licensed", "the license", "rights reserved seats only",
 )
-#: Words that make an n-gram a feature. Fixed values.
+#: Common words of notices and other prose, among them a German one; without a notice they say nothing. Fixed values.
+PROSE_WORDS = tuple("a an and any are as at be by can either for from has have if in is it its may mit no not of on or that the this to under will with without work you".split())
+#: Words that decide by which fit a paragraph is scored. Fixed values.
 ANCHORS = ("licen", "copyright", "copyleft", "permission", "warrant", "redistribut", "spdx", "public domain", "rights reserved", "creative commons")
 ANCHOR_PATTERN = "(?i)" + "|".join(ANCHORS)
 WORD_PATTERN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 SCALE = 1000
+#: Paragraphs without a notice that the second fit learns from.
+PROSE = 800
 
 
 def words(text: str) -> list[str]:
@@ -140,9 +146,28 @@ def _distorted(text: str, rng: random.Random) -> str:
     return " ".join(noise() + w + noise())
 
 
-@lru_cache(maxsize=1)
-def fit(seed: int = 5, copies: int = 24, steps: int = 400, ridge: float = 1e-3) -> Model:
-    """Softmax regression by gradient descent with momentum, then a temperature by held-out likelihood."""
+def _wrapped(text: str, rng: random.Random) -> str:
+    """A line of a hard-wrapped copy."""
+    w = text.split()
+    n = rng.randint(7, 14)
+    start = rng.randrange(0, max(1, len(w) - n + 1))
+    return " ".join(w[start : start + n])
+
+
+def _prose(terms: list[str], rng: random.Random) -> str:
+    """Common words, more of them the longer the paragraph, and a few of the vocabulary's words out of context."""
+    share = rng.random()
+    w = [x for x in PROSE_WORDS if rng.random() < share] + rng.sample(terms, rng.randint(0, 3))
+    rng.shuffle(w)
+    return " ".join(w)
+
+
+@lru_cache(maxsize=2)
+def fit(seed: int = 5, copies: int = 24, steps: int = 400, ridge: float = 1e-3, prose: int = 0) -> Model:
+    """Softmax regression by gradient descent with momentum, then a temperature by held-out likelihood.
+
+    With ``prose``, so many paragraphs without a notice and lines of wrapped templates are learned as well.
+    """
     rng = random.Random(seed)
     families = (UNKNOWN, *TEMPLATES)
     train, held = [], []
@@ -155,6 +180,11 @@ def fit(seed: int = 5, copies: int = 24, steps: int = 400, ridge: float = 1e-3)
     # Any word of a notice is a feature once the paragraph has an anchor.
     vocabulary = tuple(sorted({g for t in TEMPLATES.values() for x in t for g in ngrams(x)} | {g for x in UNKNOWN_PARAGRAPHS for g in words(x)}))
     at = {g: i for i, g in enumerate(vocabulary)}
+    terms = [g for g in vocabulary if " " not in g]
+    for rows, n in ((train, prose), (held, prose // 3)):
+        rows += [(_prose(terms, rng), 0) for _ in range(n)]
+        if n:
+            rows += [(_wrapped(t, rng), k) for k, f in enumerate(families[1:], 1) for t in TEMPLATES[f] if len(t.split()) > 14 for _ in range(copies)]
 
     def table(rows: list) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(rows), len(vocabulary) + 1))
@@ -188,27 +218,33 @@ def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, least_similarity: float = 0.5) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed, notice): a row for each paragraph with a licence."""
-    m = model or fit()
+def _scores(grams: str, m: Model) -> Column:
     weights = _constant(dict(zip(m.vocabulary, m.weights, strict=True)), "map<string,array<bigint>>")
-    vocabulary = _constant(list(m.vocabulary), "array<string>")
+    known = F.array_intersect(grams, _constant(list(m.vocabulary), "array<string>"))
+    return F.aggregate(known, _constant(list(m.bias), "array<bigint>"), lambda z, g: F.zip_with(z, F.element_at(weights, g), lambda a, b: a + b))
+
+
+def scan(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, least_similarity: float = 0.5, plain: Model | None = None,
+) -> DataFrame:
+    """(doc_id, paragraph, family, probability, similarity, confirmed, notice): a row for each paragraph with a licence.
+
+    ``plain`` scores the paragraphs without an anchor; it has the families of ``model``.
+    """
+    m, plain = model or fit(), plain or fit(prose=PROSE)
     templates = _constant({f: [sorted(set(ngrams(t))) for t in TEMPLATES[f]] for f in m.families[1:]}, "map<string,array<array<string>>>")
     families = _constant(list(m.families), "array<string>")
-    bias = _constant(list(m.bias), "array<bigint>")
 
     lines = F.transform(F.split(F.col("_text"), "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("notice")))
-    found = F.filter(lines, lambda s: s["notice"].rlike(ANCHOR_PATTERN))
     rows = (
         df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"))
-        .where(F.col("_text").rlike(ANCHOR_PATTERN))
-        .select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.paragraph", "s.notice")
+        .select("doc_id", F.explode(lines).alias("s")).select("doc_id", "s.paragraph", "s.notice")
     )
     w = F.regexp_extract_all(F.lower("notice"), F.lit(f"({WORD_PATTERN})"), 1)
     rows = rows.withColumn("_w", w)
     pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", 1, F.size("_w") - 1), F.slice("_w", 2, F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("_grams", F.array_distinct(F.concat("_w", pairs)))
-    rows = rows.withColumn("_z", F.aggregate(F.array_intersect("_grams", vocabulary), bias, lambda z, g: F.zip_with(z, F.element_at(weights, g), lambda a, b: a + b)))
+    rows = rows.withColumn("_z", F.when(F.col("notice").rlike(ANCHOR_PATTERN), _scores("_grams", m)).otherwise(_scores("_grams", plain)))
     rows = rows.withColumn("_top", F.array_max("_z"))
     best = F.array_position("_z", F.col("_top")).cast("int")
     total = F.aggregate("_z", F.lit(0.0), lambda s, z: s + F.exp((z - F.col("_top")) / SCALE))

@@ -101,6 +101,31 @@ def test_licences(spark):
     assert m.bias[0] == max(m.bias)
 
 
+def brute_licences(texts):
+    """(doc, paragraph, family) of every line, none skipped."""
+    out = set()
+    for d, text in enumerate(texts):
+        for i, line in enumerate((text or "").split("\n")):
+            m = licences.fit() if re.search(licences.ANCHOR_PATTERN, line) else licences.fit(prose=licences.PROSE)
+            z, at = np.array(m.bias), dict(zip(m.vocabulary, m.weights, strict=True))
+            for g in set(licences.ngrams(line)) & at.keys():
+                z = z + np.array(at[g])
+            if z.argmax():
+                out.add((d, i, m.families[int(z.argmax())]))
+    return out
+
+
+def test_licences_scores_paragraphs_without_anchor(spark):
+    wrapped = "restriction, free of charge, to any person obtaining a copy of this\nand associated documentation files, to deal in the Software without"
+    prose = "we went mit der Familie in die Stadt\nthe software is free to use for any person in the public\nThe Apache web server runs on GNU systems"
+    texts = ["x\nCC BY-SA 4.0", "Distributed under the GNU GPL v3", wrapped, prose, "Released under the MIT License.", *TEXTS]
+    held = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    texts += [r["text"] for r in held.select("text").collect()]
+    out = {(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs(spark, texts)).collect()}
+    assert {(0, 1, "CC-BY-SA"), (1, 0, "GPL-3.0"), (2, 0, "MIT"), (2, 1, "MIT"), (4, 0, "MIT")} <= out
+    assert not any(d == 3 for d, _, _ in out) and out == brute_licences(texts)
+
+
 # --- pages -------------------------------------------------------------------
 
 PAGE = (
