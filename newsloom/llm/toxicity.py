@@ -229,7 +229,7 @@ def _fit(sample: DataFrame, settings: Settings) -> Model:
         .where("clean >= 3 and bad = 0").orderBy(F.desc("clean"), "phrase").limit(settings.max_entries)
     )
     model.exceptions |= {r["phrase"] for r in harmless.collect()}
-    table = measured.where("phrase = ''").select("toxic", "total", "size", "most").orderBy("toxic", "total", "size").limit(settings.train_docs).collect()
+    table = measured.where("phrase = ''").select("toxic", "total", "size", "most").orderBy("toxic", "total", "size", "most").collect()
     unstage(measured)
     model.curve = _curve(np.array([_inputs(r["total"], r["size"], r["most"]) for r in table]), np.array([r["toxic"] for r in table], dtype=float))
     return model
@@ -252,9 +252,15 @@ def rate(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(text, toxic) of the ``train_docs`` labelled rows that come first by hash; that bound makes the broadcast safe."""
+    """(text, toxic) of at most ``train_docs`` labelled rows, by hash; equal rows of a document count once.
+
+    The labels are bounded first, which makes the broadcast safe, and then the rows, as a doc_id may repeat.
+    """
     few = (
         labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.train_docs)
     )
-    return documents.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = rows.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
+    first = rows.select("h").distinct().orderBy("h").limit(settings.train_docs)
+    return rows.join(F.broadcast(first), "h", "left_semi").dropDuplicates(["h"]).select("text", "toxic")

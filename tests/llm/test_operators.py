@@ -101,6 +101,20 @@ def test_licences(spark):
     assert m.bias[0] == max(m.bias)
 
 
+def test_toxicity_sample_keeps_both_classes(spark):
+    few = toxicity.Settings(train_docs=40)
+    rows = [(i % 40, f"{'zorgle vile' if i % 40 < 8 else 'calm'} text {i}") for i in range(400)] + [(20, "calm copy")] * 300
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(40)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(held, labels, few)
+    found = sample.collect()
+    assert len(found) == 40 and {r["toxic"] for r in found} == {0, 1} and sum(r["text"] == "calm copy" for r in found) <= 1
+    # More rows than the bound, given to the fit directly: the toxic ones still shape the curve.
+    every = held.join(labels, "doc_id").select("text", "toxic")
+    model = toxicity.fit(every, few)
+    assert toxicity.score(model, toxicity.measure(model, model.matcher(), "zorgle vile text")) > 0.5
+
+
 def brute_licences(texts):
     """(doc, paragraph, family) of every line, none skipped."""
     out = set()
