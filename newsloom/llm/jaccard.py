@@ -13,25 +13,30 @@ Two documents link when their n-gram sets have a Jaccard similarity of at least
 3. Sets filed under the same n-gram form a group; groups with the same members
    count once, and a group is cut where sizes differ too much to link.
 4. Within a group, the parity bitmaps bound the symmetric difference from below
-   and drop pairs that can't link.  Of small groups all remaining pairs go on;
-   in large ones each member goes on with the first leader that it may link to,
-   and each leader with a few members of the earlier leaders' stars.
-5. Sets that remain are put in prefix trees, one for each leader and up to
+   and drop pairs that can't link.  Each member is paired with the first few
+   smaller ones, over all its groups, that may link to it and are not yet known
+   to be in its component; so a round's pairs grow with the sets, not with the
+   groups' squares.
+5. These pairs are put in prefix trees, one for each leader and up to about
    ``CHUNK`` partners: sequences in global order, shared beginnings stored once.
    The leader walks the tree; overlap with a shared beginning is counted once
    for all below it, and a subtree is left as soon as the overlap so far plus
    the remaining length can't reach the bound.  The count at a leaf is exact.
-6. Connected components of the links; then, for large groups, the pairs whose
-   ends lie in different components are bounded and walked as well: first a few
-   for each member and other component, which mostly join them, then all that
-   are left.  Every pair of a group is thus linked, refuted, or already in one
-   component.
+6. Connected components of the links label the sets.  Rounds go on, each with
+   four times the partners and from where each member stopped, over the groups
+   that still have several labels, until no member has a partner left: every
+   pair of a group is then linked, refuted, or within one component.
+
+A sixteenth of the n-grams goes first, as it joins most copies.  An n-gram with
+many sets is filed by salt, each n-gram with its own, so groups stay at about
+``2 * block`` members; pairs across the salts of one n-gram come last, and only
+where labels differ: sets of its commonest label meet those of other labels,
+not each other.
 
-Memory: groups above ``GROUP`` members are dealt out in pairs of blocks.
 Broadcasts: the ``FREQUENT`` most frequent n-grams, and the wanted ids only if
 they are at most ``WANTED_IDS``; beyond it they are joined.
 
-n-grams are compared by 64-bit hashes.  Defined results: texts that are null or
+n-grams are compared by 64-bit hashes, whole sets by 128 bits.  Defined results: texts that are null or
 without words have size 0 and link with nothing; equal documents link; each
 input row gives a row, repeated or not; a null id takes part and its component
 is named by the smallest id that is not null.
@@ -40,6 +45,7 @@ is named by the smallest id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +61,10 @@ _NONE = -(1 << 63)  # stands for a null id inside
 
 FREQUENT = 1 << 16
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
-SMALL_GROUP = 3
-BRIDGES = 2
-GROUP = 4096
+BLOCK = 512
+FIRST_PARTNERS = 2
 CHUNK = 512
+MOST_CLASHES = 10_000
 WANTED_IDS = 1 << 19
 FILED_PER_BLOCK = 400_000
 
@@ -93,19 +99,31 @@ def ngram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarra
         yield first, owners[new], hashes[new]
 
 
-def keys_of(owners: np.ndarray, hashes: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size of each text's set, and a key of its members that doesn't depend on order."""
-    size = np.bincount(owners, minlength=texts)
-    sums = np.zeros(texts, np.uint64)
+def _key(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    sums = np.zeros(len(size), np.uint64)
     if len(owners):
         start = np.flatnonzero(np.diff(owners, prepend=-1))
-        sums[owners[start]] = np.add.reduceat(mixed(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), start)
-    return size, mixed(sums + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        sums[owners[start]] = np.add.reduceat(mixed(hashes ^ np.uint64(seed)), start)
+    return mixed(sums + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def checks_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A second key, independent of the first."""
+    return _key(owners, hashes, size, 0x3C6EF372FE94F82B)
+
+
+def keys_of(owners: np.ndarray, hashes: np.ndarray, texts: int, clash: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each text's set, and a key of its members that doesn't depend on order; the second one where the first is in ``clash``."""
+    size = np.bincount(owners, minlength=texts)
+    key = _key(owners, hashes, size, 0xA5A5A5A55A5A5A5A)
+    if clash is not None and len(clash):
+        key = np.where(np.isin(key, clash), checks_of(owners, hashes, size), key)
+    return size, key
 
 
 def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """For each text the parity of its n-grams by class, packed; about as many classes as n-grams, a power of two."""
-    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    """For each text the parity of its n-grams by class, packed; about twice as many classes as n-grams, a power of two."""
+    bits = np.clip(2 ** (1 + np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64), LEAST_BITS, MOST_BITS)
     edges = np.append(0, np.cumsum(bits))
     places = edges[owners] + ((hashes >> np.uint64(40)).astype(np.int64) & (bits[owners] - 1))
     packed = np.packbits((np.bincount(places, minlength=edges[-1]) & 1).astype(np.uint8)).tobytes()
@@ -138,27 +156,28 @@ def ordered(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nd
 
 
 def _summaries(df: DataFrame, n: int) -> DataFrame:
-    """A row for each document (id, size, key, bitmap), and rows (ngram, times) of n-grams frequent in a task."""
+    """A row for each document (id, size, key, check, bitmap), and rows (ngram, times) of n-grams frequent in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, size = [], 0
-        names = ["id", "size", "key", "bitmap", "ngram", "times"]
+        names = ["id", "size", "key", "check", "bitmap", "ngram", "times"]
 
         def counted() -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             keep = times >= 4
             grams, times = grams[keep].view(np.int64), times[keep]
             none = lambda t: pa.nulls(len(grams), t)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(grams), pa.array(times.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(grams), pa.array(times.astype(np.int64))], names=names)
 
         for batch in batches:
-            texts, sizes, keys, maps = batch.column(1).to_pylist(), [], [], []
+            texts, sizes, keys, checks, maps = batch.column(1).to_pylist(), [], [], [], []
             for first, owners, hashes in ngram_sets(texts, n):
                 here = _texts_in(texts, first)
                 s, k = keys_of(owners, hashes, here)
                 sizes.append(s)
                 keys.append(k)
+                checks.append(checks_of(owners, hashes, s))
                 maps += bitmaps_of(owners, hashes, s)
                 new = np.zeros(here, bool)
                 for i, x in enumerate(k.tolist()):
@@ -170,7 +189,7 @@ def _summaries(df: DataFrame, n: int) -> DataFrame:
             none = lambda t: pa.nulls(len(texts), t)  # noqa: E731, B023
             if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(keys)), pa.array(maps, pa.binary()), none(pa.int64()), none(pa.int64())], names=names
+                    [batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(checks)), pa.array(maps, pa.binary()), none(pa.int64()), none(pa.int64())], names=names
                 )
             if size > 2_000_000:
                 yield counted()
@@ -178,7 +197,7 @@ def _summaries(df: DataFrame, n: int) -> DataFrame:
         if held:
             yield counted()
 
-    return df.mapInArrow(run, "id long, size long, key long, bitmap binary, ngram long, times long")
+    return df.mapInArrow(run, "id long, size long, key long, check long, bitmap binary, ngram long, times long")
 
 
 def _texts_in(texts: list, first: int) -> int:
@@ -195,32 +214,67 @@ def _texts_in(texts: list, first: int) -> int:
 # --- filing under prefix n-grams ---------------------------------------------
 
 
-def _filed(df: DataFrame, n: int, least: int, frequent, parts: int) -> DataFrame:
+def _rows(columns: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    held = list(zip(*columns, strict=True)) if columns else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
+
+
+def _edges(*sorted_columns: np.ndarray) -> list[int]:
+    """Where runs of equal values begin in columns sorted together, and the end."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = False
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return [*np.flatnonzero(new).tolist(), len(new)]
+
+
+def _filed(df: DataFrame, n: int, least: int, frequent, clash: np.ndarray, parts: int, block: int) -> DataFrame:
+    """Packed blocks (part, hot, salt, ngrams, owners, keys, sizes) of the sets under the n-grams of their prefixes.
+
+    An n-gram counted more than ``2 * block`` times is dealt out by salt; ``hot`` is its number, else -1.
+    """
+    names = ["part", "hot", "salt", "ngrams", "owners", "keys", "sizes"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, rank = frequent.value
+        grams, rank, times = frequent.value
         seen: set[int] = set()
         tokens, owners_held, keys_held, sizes_held, sets, size = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             t, o = np.concatenate(tokens), np.concatenate(owners_held)
-            k, s = np.concatenate(keys_held), np.concatenate(sizes_held)
+            k, s = np.concatenate(keys_held), np.concatenate(sizes_held).astype(np.int32)
+            rows = []
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, t), len(grams) - 1)
+                hot = (grams[at] == t) & (times[at] > 2 * block)
+                if hot.any():
+                    h, owner = at[hot], o[hot]
+                    salts = -(-times[h] // block)
+                    salt = (mixed(k[owner].view(np.uint64) ^ mixed(t[hot])) % salts.astype(np.uint64)).astype(np.int64)
+                    order = np.lexsort((salt, h))
+                    h, salt, owner = h[order], salt[order], owner[order]
+                    edges = _edges(h, salt)
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        part = int(mixed(np.array([int(h[a]) * 0x10001 + int(salt[a])], np.uint64))[0] % np.uint64(parts))
+                        rows.append((part, int(h[a]), int(salt[a]), b"", b"", k[owner[a:b]].tobytes(), s[owner[a:b]].tobytes()))
+                    t, o = t[~hot], o[~hot]
             part = (t % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((o, part))
             t, o, part = t[order], o[order], part[order]
             edges = np.searchsorted(part, np.arange(parts + 1))
-            rows = []
             for p in range(parts):
                 a, b = edges[p], edges[p + 1]
                 if a < b:
                     mine, local = np.unique(o[a:b], return_inverse=True)
-                    rows.append((p, ((t[a:b] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), k[mine].tobytes(), s[mine].astype(np.int32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "ngrams", "owners", "keys", "sizes"])
+                    rows.append((p, -1, 0, ((t[a:b] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), k[mine].tobytes(), s[mine].tobytes()))
+            return _rows(rows, kinds, names)
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for first, owners, hashes in ngram_sets(texts, n):
                 here = _texts_in(texts, first)
-                s, k = keys_of(owners, hashes, here)
+                s, k = keys_of(owners, hashes, here, clash)
                 new = np.zeros(here, bool)
                 for i, x in enumerate(k.tolist()):
                     if s[i] and x not in seen:
@@ -249,52 +303,79 @@ def _filed(df: DataFrame, n: int, least: int, frequent, parts: int) -> DataFrame
         if size:
             yield flush()
 
-    return df.mapInArrow(run, "part int, ngrams binary, owners binary, keys binary, sizes binary")
+    return df.mapInArrow(run, "part int, hot int, salt int, ngrams binary, owners binary, keys binary, sizes binary")
+
 
+_GROUP = "signature long, family long, split boolean, early boolean, keys array<long>, sizes array<long>"
 
-def _groups(filed: DataFrame, least: int) -> DataFrame:
-    """(signature, keys, sizes): distinct groups of sets that share an n-gram of their prefixes, ordered by size."""
+
+def _groups(filed: DataFrame, least: int, parts: int, block: int) -> DataFrame:
+    """Groups of sets that share an n-gram of their prefixes, each about ``2 * block`` members at most.
+
+    Groups with the same members come once.  Blocks of one n-gram that was cut
+    have ``split`` and a common ``family``; pairs across them are left to the
+    last wave.  ``early`` marks a sixteenth of the n-grams.
+    """
 
     def group(table: pa.Table) -> pa.Table:
-        ngrams, keys, sizes = [], [], []
+        ngrams, keys, sizes, hot, p = [], [], [], {}, 0
         for r in table.to_pylist():
+            k, s, p = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32), r["part"]
+            if r["hot"] >= 0:
+                hot.setdefault((r["hot"], r["salt"]), []).append((k, s))
+                continue
             local = np.frombuffer(r["owners"], np.uint32)
             ngrams.append(np.frombuffer(r["ngrams"], np.uint32))
-            keys.append(np.frombuffer(r["keys"], np.int64)[local])
-            sizes.append(np.frombuffer(r["sizes"], np.int32)[local])
-        g, k, s = np.concatenate(ngrams), np.concatenate(keys), np.concatenate(sizes)
-        # Only n-grams that come up again can matter.
-        order = np.argsort(g, kind="stable")
-        g = g[order]
-        same = np.zeros(len(g) + 1, bool)
-        same[1:-1] = g[1:] == g[:-1]
-        order = order[same[1:] | same[:-1]]
-        g, k, s = np.concatenate(ngrams)[order], k[order], s[order]
-        order = np.lexsort((k, s, g))
-        g, k, s = g[order], k[order], s[order]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-        g, k, s = g[new], k[new], s[new].astype(np.int64)
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (100 * s[:-1] < least * s[1:])
-        start = np.flatnonzero(first)
-        stop = np.append(start[1:], len(g))
-        picked = stop - start > 1
+            keys.append(k[local])
+            sizes.append(s[local])
         rows, seen = [], set()
-        sums = np.add.reduceat(mixed(k.view(np.uint64)), start).view(np.int64) if len(start) else []
-        for a, b, signature in zip(start[picked].tolist(), stop[picked].tolist(), sums[picked].tolist() if len(start) else [], strict=True):
-            if signature not in seen:
-                seen.add(signature)
-                rows.append((signature, k[a:b], s[a:b]))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["signature", "keys", "sizes"])
 
-    found = filed.groupBy("part").applyInArrow(group, "signature long, keys array<long>, sizes array<long>")
-    return found.groupBy("signature").agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"))
-
-
-# --- bounds within groups ----------------------------------------------------
+        def put(family: int, split: bool, early: bool, k: np.ndarray, s: np.ndarray, salt: int) -> None:
+            if len(k) > 2 * block:
+                cut = -(-len(k) // block)
+                where = (mixed(k.view(np.uint64) ^ mixed(np.array([family + 1], np.int64).view(np.uint64))) % np.uint64(cut)).astype(np.int64)
+                for c in range(cut):
+                    put(family, True, early, k[where == c], s[where == c], salt * 4096 + c + 1)
+                return
+            total = mixed(k.view(np.uint64)).sum(dtype=np.uint64)
+            signature = int((mixed(np.array([family, salt], np.int64).view(np.uint64)).sum(dtype=np.uint64) if split else total).astype(np.int64))
+            if len(k) and signature not in seen:
+                seen.add(signature)
+                rows.append((signature, family, split, early, k, s))
+
+        for (h, salt), held in hot.items():
+            k, at = np.unique(np.concatenate([a for a, _ in held]), return_index=True)
+            put(-1 - h, True, h % 16 == 0, k, np.concatenate([b for _, b in held])[at].astype(np.int64), salt)
+        if ngrams:
+            g, k, s = np.concatenate(ngrams), np.concatenate(keys), np.concatenate(sizes)
+            # Only n-grams that come up again can matter.
+            order = np.argsort(g, kind="stable")
+            g = g[order]
+            same = np.zeros(len(g) + 1, bool)
+            same[1:-1] = g[1:] == g[:-1]
+            keep = same[1:] | same[:-1]
+            order, g = order[keep], g[keep]
+            k, s = k[order], s[order].astype(np.int64)
+            order = np.lexsort((k, s, g))
+            g, k, s = g[order], k[order], s[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+            g, k, s = g[new], k[new], s[new]
+            first = np.ones(len(g), bool)
+            first[1:] = (g[1:] != g[:-1]) | (100 * s[:-1] < least * s[1:])
+            edges = [*np.flatnonzero(first).tolist(), len(g)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1:
+                    family = int(g[a]) * parts + p
+                    put(family * 64 + int(s[a]) % 64, False, int(g[a]) % 16 == 0, k[a:b], s[a:b], 0)
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.Table.from_batches([_rows(rows, kinds, [c.split()[0] for c in _GROUP.split(", ")])])
+
+    found = filed.groupBy("part").applyInArrow(group, _GROUP)
+    return found.groupBy("signature").agg(*[f(c).alias(c) for c, f in (("family", F.first), ("split", F.max), ("early", F.max), ("keys", F.first), ("sizes", F.first))])
+
+
+# --- candidates within groups ------------------------------------------------
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -304,14 +385,10 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]
         if not batch.num_rows:
             continue
         names = [batch.schema.get_field_index(c) for c in by]
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in names]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
+        edges = _edges(*[batch.column(i).to_numpy(zero_copy_only=False) for i in names])
         if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in names):
             yield pa.Table.from_batches(held)
             held = []
-        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if held and a:
                 yield pa.Table.from_batches(held)
@@ -321,74 +398,65 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _may_link(maps: Bitmaps, sizes: np.ndarray, i: int, others: np.ndarray, least: int) -> np.ndarray:
-    """Which of ``others``, none smaller than i, can link to i by size and by bitmap."""
-    n = sizes[i]
-    ok = 100 * n >= least * sizes[others]
+def may_link(maps: Bitmaps, sizes: np.ndarray, x: int, others: np.ndarray, least: int) -> np.ndarray:
+    """Which of ``others``, ascending and none larger than x, can link to x by size and by bitmap."""
+    ok = 100 * sizes[others] >= least * sizes[x]
     near = others[ok]
-    table = maps.at(int(maps.words[i]))
-    apart = np.bitwise_count(table[near] ^ table[i]).sum(1, dtype=np.int64)
-    ok[ok] = (100 + least) * apart <= (100 - least) * (n + sizes[near])
+    if len(near):
+        table = maps.at(int(maps.words[near[0]]))
+        apart = np.bitwise_count(table[near] ^ table[x]).sum(1, dtype=np.int64)
+        ok[ok] = (100 + least) * apart <= (100 - least) * (sizes[x] + sizes[near])
     return ok
 
 
-def _few(hit: np.ndarray, owner: np.ndarray, most: int = BRIDGES) -> np.ndarray:
-    """The first ``most`` of ``hit`` for each owner."""
-    order = np.argsort(owner, kind="stable")
-    sorted_owner = owner[order]
-    start = np.searchsorted(sorted_owner, sorted_owner, side="left")
-    return hit[np.sort(order[np.arange(len(hit)) - start < most])]
-
-
-def _pairs(members: DataFrame, least: int, mode: str) -> DataFrame:
-    """(leader, partner, chunk) of pairs that may link; ``members``: signature, i, j, key, size, bitmap, label.
-
-    ``mode``: "leaders" (first leader of each member, a few to earlier stars),
-    "bridges" (a few for each member and other label), or "all" with another label.
+def first_partners(table: pa.Table, least: int, most: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """For each member the ``most`` first smaller members, by size and key, after its cursor that may link to it and bear another label."""
+    keys, sizes, labels = (table.column(c).to_numpy() for c in ("key", "size", "label"))
+    after_size, after_key = table.column("after_size").to_numpy(), table.column("after_key").to_numpy()
+    maps = Bitmaps(table.column("bitmap").to_pylist())
+    low = np.searchsorted(100 * sizes, least * sizes)
+    for x in range(1, len(keys)):
+        if after_size[x] > sizes[x]:
+            continue
+        begin = max(int(low[x]), int(np.searchsorted(sizes, after_size[x])))
+        found: list[tuple[int, int]] = []
+        step = 32
+        while begin < x and len(found) < most:
+            y = np.arange(begin, min(x, begin + step))
+            begin, step = begin + step, step * 2
+            y = y[(labels[y] != labels[x]) & ((sizes[y] > after_size[x]) | (keys[y] > after_key[x]))]
+            if len(y):
+                y = y[may_link(maps, sizes, x, y, least)][: most - len(found)]
+                found += [(int(sizes[i]), int(keys[i])) for i in y]
+        if found:
+            yield int(keys[x]), found
+
+
+def _proposed(members: DataFrame, least: int, most: int) -> DataFrame:
+    """(key, found): up to ``most`` partners of each member over all its groups.
+
+    ``members``: signature, key, size, label, bitmap, after_size, after_key.
     """
+    names, kinds = ["key", "size", "partner"], [pa.int64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders, partners, chunks = [], [], []
-
-        def emit(leader: int, partner: np.ndarray) -> None:
-            leaders.append(np.full(len(partner), leader, np.int64))
-            partners.append(partner)
-            chunks.append(np.arange(len(partner)) // CHUNK)
+        held: dict[int, set[tuple[int, int]]] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (leaders, partners, chunks)], names=["leader", "partner", "chunk"])
+            return _rows([(k, s, p) for k, v in held.items() for s, p in sorted(v)[:most]], kinds, names)
 
-        for table in runs(batches, ["signature", "i", "j"]):
-            keys = table.column("key").to_numpy()
-            sizes = table.column("size").to_numpy()
-            labels = table.column("label").to_numpy()
-            if mode != "leaders" and (labels == labels[0]).all():
-                continue
-            maps = Bitmaps(table.column("bitmap").to_pylist())
-            star = np.full(len(keys), -1)
-            for x in range(len(keys) - 1):
-                others = np.arange(x + 1, len(keys))
-                if mode != "leaders":
-                    others = others[labels[others] != labels[x]]
-                elif len(keys) > SMALL_GROUP and star[x] >= 0:
-                    continue
-                hit = others[_may_link(maps, sizes, x, others, least)]
-                if mode == "bridges":
-                    hit = _few(hit, labels[hit])
-                elif mode == "leaders" and len(keys) > SMALL_GROUP:
-                    new, old = hit[star[hit] < 0], hit[star[hit] >= 0]
-                    hit = np.concatenate([new, _few(old, star[old])])
-                    star[new], star[x] = x, x
-                if len(hit):
-                    emit(keys[x], keys[hit])
-            if sum(map(len, leaders)) > 50_000:
+        for table in runs(batches, ["signature"]):
+            if table.num_rows > 1:
+                for k, found in first_partners(table, least, most):
+                    held.setdefault(k, set()).update(found)
+            if len(held) > 50_000:
                 yield out()
-                leaders, partners, chunks = [], [], []
-        if leaders:
-            yield out()
+                held = {}
+        yield out()
 
-    dealt = members.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j", "size", "key")
-    return dealt.mapInArrow(run, "leader long, partner long, chunk long").groupBy("leader", "partner").agg(F.min("chunk").alias("chunk"))
+    dealt = members.repartition("signature").sortWithinPartitions("signature", "size", "key")
+    made = dealt.mapInArrow(run, "key long, size long, partner long")
+    return made.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(F.struct("size", "partner"))), 1, most).alias("found"))
 
 
 # --- the prefix tree ---------------------------------------------------------
@@ -438,20 +506,20 @@ def walk(probe: np.ndarray, sequences: list[np.ndarray], least: int) -> list[int
     return found
 
 
-def _sets(df: DataFrame, wanted: DataFrame, n: int, frequent) -> DataFrame:
+def _sequences(df: DataFrame, wanted: DataFrame, n: int, frequent, clash: np.ndarray) -> DataFrame:
     """(key, sequence): the wanted sets in the global order, made anew from their texts."""
-    count = wanted.count()
-    near = F.broadcast(wanted) if count <= WANTED_IDS else wanted
-    rows = df.join(near.select(F.col("id").alias("_id"), "key"), F.col("id") == F.col("_id")).select("id", "text", "key")
+    few = wanted.limit(WANTED_IDS + 1).count() <= WANTED_IDS
+    near = (F.broadcast(wanted) if few else wanted).select(F.col("id").alias("_id"), "key")
+    rows = df.join(near, F.col("id") == F.col("_id")).select("id", "text", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, rank = frequent.value
+        grams, rank, _ = frequent.value
         for batch in batches:
             texts, asked = batch.column(1).to_pylist(), batch.column(2).to_numpy()
             keys, sequences = [], []
             for first, owners, hashes in ngram_sets(texts, n):
                 here = _texts_in(texts, first)
-                size, k = keys_of(owners, hashes, here)
+                size, k = keys_of(owners, hashes, here, clash)
                 place = ordered(hashes, grams, rank)
                 order = np.lexsort((place, owners))
                 place, edges = place[order], np.append(0, np.cumsum(size))
@@ -464,10 +532,12 @@ def _sets(df: DataFrame, wanted: DataFrame, n: int, frequent) -> DataFrame:
     return rows.mapInArrow(run, "key long, sequence binary").groupBy("key").agg(F.first("sequence").alias("sequence"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(a, b) of the pairs that link."""
-    partners = pairs.join(sets.withColumnRenamed("key", "partner"), "partner").select("leader", "chunk", F.col("partner").alias("key"), F.lit(1).alias("role"), "sequence")
-    heads = pairs.select("leader", "chunk").distinct().join(sets.withColumnRenamed("key", "leader"), "leader").select("leader", "chunk", F.col("leader").alias("key"), F.lit(0).alias("role"), "sequence")
+def _links(pairs: DataFrame, made: DataFrame, least: int) -> DataFrame:
+    """(a, b) of the ``pairs`` (leader, partner) that link; a leader with many partners walks several trees."""
+    many = pairs.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("leader", F.ceil(F.col("n") / CHUNK).alias("trees"))
+    pairs = pairs.join(many, "leader", "left").select("leader", "partner", F.pmod(F.xxhash64("partner"), F.coalesce("trees", F.lit(1))).alias("chunk"))
+    partners = pairs.join(made.withColumnRenamed("key", "partner"), "partner").select("leader", "chunk", F.col("partner").alias("key"), F.lit(1).alias("role"), "sequence")
+    heads = pairs.select("leader", "chunk").distinct().join(made.withColumnRenamed("key", "leader"), "leader").select("leader", "chunk", F.col("leader").alias("key"), F.lit(0).alias("role"), "sequence")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -512,69 +582,129 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after ``links`` (a, b): only the roots they join are worked on."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    joined = staged(components(ends.where("a <> b")), "roots")
+    old = labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("r")), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
+    out = staged(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
+    unstage(joined)
+    unstage(labels)
+    return out
+
+
 # --- the join ----------------------------------------------------------------
 
 
-def _members(groups: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members with their bitmaps; a group above GROUP members is dealt out as pairs of blocks."""
-    block = GROUP // 2
-    rows = groups.select("signature", F.ceil(F.size("keys") / block).cast("int").alias("parts"), (F.size("keys") <= GROUP).alias("whole"), F.posexplode(F.arrays_zip("keys", "sizes")).alias("at", "m"))
-    own = F.floor(F.col("at") / block).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    rows = rows.withColumn("p", F.explode(F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(others)))
-    rows = rows.select("signature", "p.i", "p.j", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size")).join(sets.select("key", "bitmap"), "key")
-    if labels is None:
-        return rows.withColumn("label", F.col("key"))
-    return rows.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
+def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(signature, family, key, size, label) of all members."""
+    rows = groups.select("signature", "family", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("signature", "family", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"))
+    return rows.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").select("signature", "family", "key", "size", F.coalesce("root", "key").alias("label"))
+
 
+def _mixed_groups(rows: DataFrame) -> DataFrame:
+    """Members of the groups with more than one label."""
+    live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("signature")
+    return rows.join(live, "signature").select("signature", "key", "size", "label")
 
-def _wanted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("leader").alias("key")).union(pairs.select("partner")).distinct()
-    return ends.join(sets.select("key", "id"), "key").select("id", "key")
 
+def _across(rows: DataFrame, block: int) -> DataFrame:
+    """Members of cut families with more than one label, dealt out so that any two of different labels meet.
+
+    Members of the commonest label meet all others, but not each other.
+    """
+    counts = rows.select("family", "key", "label").distinct().groupBy("family", "label").agg(F.count("*").alias("n"))
+    top = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = top.select("family", "top", F.ceil(F.col("most") / block).cast("int").alias("big"), F.ceil((F.col("total") - F.col("most")) / block).cast("int").alias("small"))
+    own = rows.join(blocks, "family").withColumn("common", F.col("label") == F.col("top"))
+    own = own.withColumn("at", F.pmod(F.xxhash64("key", "family"), F.when(F.col("common"), F.col("big")).otherwise(F.col("small"))).cast("int"))
+    # Tasks (i, j): block i of the others with block j of the others (j <= i), or with block -1-j of the common label.
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    common = F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda i: pair(i, -1 - F.col("at")))
+    other = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("big") - 1), lambda j: pair(F.col("at"), -1 - j)),
+        F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda j: pair(F.greatest(F.col("at"), j), F.least(F.col("at"), j))),
+    )
+    met = own.withColumn("t", F.explode(F.when(F.col("common"), common).otherwise(other)))
+    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), "key", "size", "label").distinct()
 
-def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 75) -> DataFrame:
+
+def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 75, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``df``."""
     spark: SparkSession = df.sparkSession
     small_batches(spark)
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("id"), F.col(text).cast("string").alias("text"))
     seen = staged(_summaries(docs, n), "summaries")
-    rows = seen.where("key is not null").select("id", "size", "key", "bitmap")
-    sets = staged(
-        rows.where("size > 0").groupBy("key").agg(F.min(F.when(F.col("id") != _NONE, F.col("id"))).alias("least_id"), F.min("id").alias("id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")),
-        "sets",
-    )
+    rows = seen.where("key is not null").select("id", "size", "key", "check", "bitmap")
+    clash = np.zeros(0, np.int64)
+    while True:
+        found = rows.where("size > 0").groupBy("key").agg(
+            F.min(F.when(F.col("id") != _NONE, F.col("id"))).alias("least_id"), F.min("id").alias("id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"),
+            F.min("check").alias("lo"), F.max("check").alias("hi"),
+        )
+        sets = staged(found, "sets")
+        # Unequal sets with equal keys are told apart by their second hash; that is about one pair in 10^10 sets.
+        clashing = [r["key"] for r in sets.where("lo <> hi").select("key").limit(MOST_CLASHES).collect()]
+        if not clashing:
+            break
+        clash = np.sort(np.array(clashing, np.int64))
+        rows = rows.withColumn("key", F.when(F.col("key").isin(clashing), F.col("check")).otherwise(F.col("key")))
+        unstage(sets)
     top = seen.where("ngram is not null").groupBy("ngram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "ngram").limit(FREQUENT).toArrow()
-    grams = top.column("ngram").to_numpy().view(np.uint64)
+    grams, times = top.column("ngram").to_numpy().view(np.uint64), top.column("times").to_numpy()
     rank = np.arange(len(grams))[::-1]  # the most frequent last
     order = np.argsort(grams)
-    frequent = spark.sparkContext.broadcast((grams[order], rank[order]))
+    frequent = spark.sparkContext.broadcast((grams[order], rank[order], times[order]))
     total = sets.agg(F.sum("size")).first()[0] or 0
     parts = max(8, -(-int(total) * (100 - least) // 100 // FILED_PER_BLOCK))
 
-    groups = staged(_groups(_filed(docs, n, least, frequent, parts), least), "groups")
-    pairs = staged(_pairs(_members(groups, sets, None), least, "leaders"), "pairs")
-    made = staged(_sets(docs, _wanted(pairs, sets), n, frequent), "sequences")
-    links = staged(_links(pairs, made, least), "links")
-    unstage(made)
-    roots = staged(components(links), "components")
-    large = groups.where(F.size("keys") > SMALL_GROUP)
-    tested = [pairs]
-    for mode in ("bridges", "all"):
-        more = _pairs(_members(large, sets, roots), least, mode)
-        for t in tested:
-            more = more.join(t.select("leader", "partner"), ["leader", "partner"], "left_anti")
-        more = staged(more, "pairs")
-        tested.append(more)
-        if not more.isEmpty():
-            made = staged(_sets(docs, _wanted(more, sets), n, frequent), "sequences")
-            links = staged(links.unionByName(_links(more, made, least)), "links")
-            unstage(made)
-            roots = staged(components(links), "components")
-    for t in (groups, *tested):
+    groups = staged(_groups(_filed(docs, n, least, frequent, clash, parts, block), least, parts, block), "groups")
+    labels = staged(spark.createDataFrame([], "node long, root long"), "labels")
+    made: list[DataFrame] = []
+    for wave in ("early", "all", "across"):
+        here = groups.where("early") if wave == "early" else groups if wave == "all" else groups.where("split")
+        if wave == "across" and here.isEmpty():
+            break
+        most, cursor = FIRST_PARTNERS, None
+        while True:
+            members = _labelled(here, labels)
+            members = _across(members, block) if wave == "across" else _mixed_groups(members)
+            members = members.join(sets.select("key", "bitmap"), "key")
+            if cursor is None:
+                members = members.withColumn("after_size", F.lit(-1).cast("long")).withColumn("after_key", F.lit(0).cast("long"))
+            else:  # a member without a cursor had no partner left
+                members = members.join(cursor, "key", "left").withColumn("after_size", F.coalesce("after_size", F.lit(1 << 62))).withColumn("after_key", F.coalesce("after_key", F.lit(0)))
+            proposed = staged(_proposed(members, least, most), "proposed")
+            if cursor is not None:
+                unstage(cursor)
+            if proposed.isEmpty():
+                unstage(proposed)
+                break
+            pairs = proposed.select(F.explode("found.partner").alias("leader"), F.col("key").alias("partner"))
+            ends = pairs.select(F.col("leader").alias("key")).union(pairs.select("partner")).distinct()
+            for m in made:
+                ends = ends.join(m.select("key"), "key", "left_anti")
+            wanted = staged(ends.join(sets.select("key", "id"), "key"), "wanted")
+            made.append(staged(_sequences(docs, wanted, n, frequent, clash), "sequences"))
+            unstage(wanted)
+            links = staged(_links(pairs, reduce(DataFrame.unionByName, made), least), "links")
+            if not links.isEmpty():
+                labels = _relabelled(labels, links)
+            unstage(links)
+            cursor = staged(
+                proposed.where(F.size("found") == most).select("key", F.element_at("found", -1).alias("last")).select("key", F.col("last.size").alias("after_size"), F.col("last.partner").alias("after_key")), "cursor"
+            )
+            unstage(proposed)
+            most *= 4
+            if wave == "early" or cursor.isEmpty():
+                unstage(cursor)
+                break
+    for t in (groups, *made):
         unstage(t)
-    named = sets.join(roots, sets["key"] == roots["node"]).groupBy("root").agg(F.min("least_id").alias("component"))
-    label = roots.join(named, "root").select(F.col("node").alias("key"), "component")
+    named = sets.join(labels, sets["key"] == labels["node"]).groupBy("root").agg(F.min("least_id").alias("component"))
+    label = labels.join(named, "root").select(F.col("node").alias("key"), "component")
     own = sets.select("key", "least_id").join(label, "key", "left").select("key", F.coalesce("component", "least_id").alias("component"))
     out = rows.select("id", "size", "key").join(own, "key", "left")
     id_out = F.when(F.col("id") != _NONE, F.col("id"))

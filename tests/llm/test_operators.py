@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,56 @@ def test_jaccard(spark):
     assert Counter(tuple(r) for r in jaccard.cluster(nulls).collect()) == Counter([(None, 2, 7), (7, 2, 7), (None, 0, None)])
 
 
+def test_jaccard_cut_groups(spark):
+    """Groups beyond a block, two clusters that share their n-grams, and links only across salts."""
+    rng, texts = random.Random(14), []
+    for seed in range(2):
+        base = [f"s{i}" for i in range(12)] + [f"b{seed}x{i}" for i in range(30)]
+        for k in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 30)}"
+            texts.append(" ".join([*w, *(f"t{seed}x{j}" for j in range(k % 9))]))
+    want = brute_components(texts)
+    for block in (4, 16):
+        got = sorted(tuple(r) for r in jaccard.cluster(docs(spark, texts), block=block).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == want
+
+
+def test_first_partners_misses_none():
+    """Rounds over one group, from cursor to cursor, give every pair that brute force links."""
+    rng = random.Random(15)
+    sets = []
+    for _ in range(80):
+        w = [f"a{i}" for i in range(40)]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(40)] = f"q{rng.randint(0, 20)}"
+        sets.append(" ".join(w[: rng.randint(34, 40)]))
+    sets = sorted(set(sets))
+    ((_, owners, hashes),) = jaccard.ngram_sets(sets, 5)
+    size, key = jaccard.keys_of(owners, hashes, len(sets))
+    order = np.lexsort((key, size))
+    maps = jaccard.bitmaps_of(owners, hashes, size)
+    held = [set(hashes[owners == i].tolist()) for i in range(len(sets))]
+    want = {(int(key[a]), int(key[b])) for x, a in enumerate(order) for b in order[:x] if 100 * (n := len(held[a] & held[b])) >= 75 * (len(held[a]) + len(held[b]) - n)}
+    got, cursor = set(), {int(k): (-1, 0) for k in key}
+    while cursor:
+        columns = {"key": key[order], "size": size[order], "label": key[order], "bitmap": [maps[i] for i in order]}
+        columns["after_size"] = np.array([cursor.get(int(k), (1 << 62, 0))[0] for k in key[order]])
+        columns["after_key"] = np.array([cursor.get(int(k), (1 << 62, 0))[1] for k in key[order]])
+        found = dict(jaccard.first_partners(pa.table(columns), 75, 2))
+        got |= {(k, p) for k, v in found.items() for _, p in v}
+        cursor = {k: v[-1] for k, v in found.items() if len(v) == 2}
+    assert want <= got and len(want) > 100
+
+
+def test_keys_that_clash_are_told_apart():
+    ((_, owners, hashes),) = jaccard.ngram_sets(["a b c d e f", "p q r s t u v", "a b c d e f"], 5)
+    size, key = jaccard.keys_of(owners, hashes, 3)
+    again = jaccard.keys_of(owners, hashes, 3, np.array([key[0]]))[1]
+    assert key[0] == key[2] != key[1] and again[0] == again[2] == jaccard.checks_of(owners, hashes, size)[0] != key[0] and again[1] == key[1]
+
+
 def test_tree_walk():
     rng = np.random.default_rng(5)
     for _ in range(60):
