@@ -22,13 +22,13 @@ Two documents link when their n-gram sets have a Jaccard similarity of at least
    The leader walks the tree; overlap with a shared beginning is counted once
    for all below it, and a subtree is left as soon as the overlap so far plus
    the remaining length can't reach the bound.  The count at a leaf is exact.
-6. Connected components of the links label the sets.  Rounds go on, each with
-   four times the partners and from where each member stopped, over the groups
-   that still have several labels, until no member has a partner left: every
-   pair of a group is then linked, refuted, or within one component.
+6. Star steps over the links label the sets, each label within one component.
+   Rounds go on, each with ``MORE`` times the partners and from where each member
+   stopped, over the groups that still have several labels, until no member has
+   a partner left: every pair of a group is then linked, refuted, or within one
+   component.  Stars until nothing changes then give the components.
 
-A sixteenth of the n-grams goes first, as it joins most copies.  An n-gram with
-many sets is filed by salt, each n-gram with its own, so groups stay at about
+An n-gram with many sets is filed by salt, each n-gram with its own, so groups stay at about
 ``2 * block`` members; pairs across the salts of one n-gram come last, and only
 where labels differ: sets of its commonest label meet those of other labels,
 not each other.
@@ -60,9 +60,10 @@ _TABLE = byte_table(separators=SEPARATORS)
 _NONE = -(1 << 63)  # stands for a null id inside
 
 FREQUENT = 1 << 16
-LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+LEAST_BITS, MOST_BITS = 1 << 6, 1 << 16
 BLOCK = 512
-FIRST_PARTNERS = 2
+FIRST_PARTNERS, MORE = 4, 8
+ROUND_STEPS = 1
 CHUNK = 512
 MOST_CLASHES = 10_000
 WANTED_IDS = 1 << 19
@@ -122,8 +123,8 @@ def keys_of(owners: np.ndarray, hashes: np.ndarray, texts: int, clash: np.ndarra
 
 
 def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """For each text the parity of its n-grams by class, packed; about twice as many classes as n-grams, a power of two."""
-    bits = np.clip(2 ** (1 + np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    """For each text the parity of its n-grams by class, packed; about as many classes as n-grams, a power of two."""
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
     edges = np.append(0, np.cumsum(bits))
     places = edges[owners] + ((hashes >> np.uint64(40)).astype(np.int64) & (bits[owners] - 1))
     packed = np.packbits((np.bincount(places, minlength=edges[-1]) & 1).astype(np.uint8)).tobytes()
@@ -306,7 +307,7 @@ def _filed(df: DataFrame, n: int, least: int, frequent, clash: np.ndarray, parts
     return df.mapInArrow(run, "part int, hot int, salt int, ngrams binary, owners binary, keys binary, sizes binary")
 
 
-_GROUP = "signature long, family long, split boolean, early boolean, keys array<long>, sizes array<long>"
+_GROUP = "signature long, family long, split boolean, keys array<long>, sizes array<long>"
 
 
 def _groups(filed: DataFrame, least: int, parts: int, block: int) -> DataFrame:
@@ -314,7 +315,7 @@ def _groups(filed: DataFrame, least: int, parts: int, block: int) -> DataFrame:
 
     Groups with the same members come once.  Blocks of one n-gram that was cut
     have ``split`` and a common ``family``; pairs across them are left to the
-    last wave.  ``early`` marks a sixteenth of the n-grams.
+    last wave.
     """
 
     def group(table: pa.Table) -> pa.Table:
@@ -330,22 +331,22 @@ def _groups(filed: DataFrame, least: int, parts: int, block: int) -> DataFrame:
             sizes.append(s[local])
         rows, seen = [], set()
 
-        def put(family: int, split: bool, early: bool, k: np.ndarray, s: np.ndarray, salt: int) -> None:
+        def put(family: int, split: bool, k: np.ndarray, s: np.ndarray, salt: int) -> None:
             if len(k) > 2 * block:
                 cut = -(-len(k) // block)
                 where = (mixed(k.view(np.uint64) ^ mixed(np.array([family + 1], np.int64).view(np.uint64))) % np.uint64(cut)).astype(np.int64)
                 for c in range(cut):
-                    put(family, True, early, k[where == c], s[where == c], salt * 4096 + c + 1)
+                    put(family, True, k[where == c], s[where == c], salt * 4096 + c + 1)
                 return
             total = mixed(k.view(np.uint64)).sum(dtype=np.uint64)
             signature = int((mixed(np.array([family, salt], np.int64).view(np.uint64)).sum(dtype=np.uint64) if split else total).astype(np.int64))
             if len(k) and signature not in seen:
                 seen.add(signature)
-                rows.append((signature, family, split, early, k, s))
+                rows.append((signature, family, split, k, s))
 
         for (h, salt), held in hot.items():
             k, at = np.unique(np.concatenate([a for a, _ in held]), return_index=True)
-            put(-1 - h, True, h % 16 == 0, k, np.concatenate([b for _, b in held])[at].astype(np.int64), salt)
+            put(-1 - h, True, k, np.concatenate([b for _, b in held])[at].astype(np.int64), salt)
         if ngrams:
             g, k, s = np.concatenate(ngrams), np.concatenate(keys), np.concatenate(sizes)
             # Only n-grams that come up again can matter.
@@ -366,13 +367,12 @@ def _groups(filed: DataFrame, least: int, parts: int, block: int) -> DataFrame:
             edges = [*np.flatnonzero(first).tolist(), len(g)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b - a > 1:
-                    family = int(g[a]) * parts + p
-                    put(family * 64 + int(s[a]) % 64, False, int(g[a]) % 16 == 0, k[a:b], s[a:b], 0)
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    put((int(g[a]) * parts + p) * 64 + int(s[a]) % 64, False, k[a:b], s[a:b], 0)
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.Table.from_batches([_rows(rows, kinds, [c.split()[0] for c in _GROUP.split(", ")])])
 
     found = filed.groupBy("part").applyInArrow(group, _GROUP)
-    return found.groupBy("signature").agg(*[f(c).alias(c) for c, f in (("family", F.first), ("split", F.max), ("early", F.max), ("keys", F.first), ("sizes", F.first))])
+    return found.groupBy("signature").agg(*[f(c).alias(c) for c, f in (("family", F.first), ("split", F.max), ("keys", F.first), ("sizes", F.first))])
 
 
 # --- candidates within groups ------------------------------------------------
@@ -561,33 +561,42 @@ def _links(pairs: DataFrame, made: DataFrame, least: int) -> DataFrame:
 # --- components --------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of the nodes in ``links`` (a, b), by alternating large and small stars until nothing changes."""
+def _starred(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, after a large and a small star step; they join the same nodes."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
+    """(node, root) of the nodes in ``links`` (a, b), by alternating stars until nothing changes.
+
+    After a given number of steps, nodes of one root are in one component, but one component may have several roots.
+    """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, done = None, 0
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = staged(small, "edges")
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        new = staged(_starred(edges), "edges")
         unstage(edges)
-        edges = new
-        if now == before:
+        edges, done = new, done + 1
+        if done == steps:
+            break
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) if steps is None else None
+        if now is not None and now == before:
             break
         before = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return nodes.groupBy("node").agg(F.min("root").alias("root"))
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _relabelled(labels: DataFrame, links: DataFrame, steps: int | None) -> DataFrame:
     """``labels`` (node, root) after ``links`` (a, b): only the roots they join are worked on."""
     ends = links
     for end in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
-    joined = staged(components(ends.where("a <> b")), "roots")
+    joined = staged(components(ends.where("a <> b"), steps), "roots")
     old = labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("r")), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
     out = staged(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
     unstage(joined)
@@ -663,45 +672,45 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     groups = staged(_groups(_filed(docs, n, least, frequent, clash, parts, block), least, parts, block), "groups")
     labels = staged(spark.createDataFrame([], "node long, root long"), "labels")
     made: list[DataFrame] = []
-    for wave in ("early", "all", "across"):
-        here = groups.where("early") if wave == "early" else groups if wave == "all" else groups.where("split")
+    found_links: list[DataFrame] = []
+    for wave in ("within", "across"):
+        here = groups if wave == "within" else groups.where("split")
         if wave == "across" and here.isEmpty():
             break
-        most, cursor = FIRST_PARTNERS, None
+        most, last = FIRST_PARTNERS, None
         while True:
             members = _labelled(here, labels)
             members = _across(members, block) if wave == "across" else _mixed_groups(members)
             members = members.join(sets.select("key", "bitmap"), "key")
-            if cursor is None:
+            if last is None:
                 members = members.withColumn("after_size", F.lit(-1).cast("long")).withColumn("after_key", F.lit(0).cast("long"))
-            else:  # a member without a cursor had no partner left
+            else:  # a member that found fewer than it might has no partner left
+                cursor = last.where(F.size("found") == most // MORE).select("key", F.element_at("found", -1).alias("at")).select("key", F.col("at.size").alias("after_size"), F.col("at.partner").alias("after_key"))
                 members = members.join(cursor, "key", "left").withColumn("after_size", F.coalesce("after_size", F.lit(1 << 62))).withColumn("after_key", F.coalesce("after_key", F.lit(0)))
             proposed = staged(_proposed(members, least, most), "proposed")
-            if cursor is not None:
-                unstage(cursor)
-            if proposed.isEmpty():
-                unstage(proposed)
-                break
+            if last is not None:
+                unstage(last)
+            last = proposed
             pairs = proposed.select(F.explode("found.partner").alias("leader"), F.col("key").alias("partner"))
             ends = pairs.select(F.col("leader").alias("key")).union(pairs.select("partner")).distinct()
             for m in made:
                 ends = ends.join(m.select("key"), "key", "left_anti")
             wanted = staged(ends.join(sets.select("key", "id"), "key"), "wanted")
-            made.append(staged(_sequences(docs, wanted, n, frequent, clash), "sequences"))
+            if not wanted.isEmpty():
+                made.append(staged(_sequences(docs, wanted, n, frequent, clash), "sequences"))
             unstage(wanted)
-            links = staged(_links(pairs, reduce(DataFrame.unionByName, made), least), "links")
-            if not links.isEmpty():
-                labels = _relabelled(labels, links)
-            unstage(links)
-            cursor = staged(
-                proposed.where(F.size("found") == most).select("key", F.element_at("found", -1).alias("last")).select("key", F.col("last.size").alias("after_size"), F.col("last.partner").alias("after_key")), "cursor"
-            )
-            unstage(proposed)
-            most *= 4
-            if wave == "early" or cursor.isEmpty():
-                unstage(cursor)
+            full = proposed.agg(F.count("*"), F.count(F.when(F.size("found") == most, 1))).first()
+            if full[0]:
+                found_links.append(staged(_links(pairs, reduce(DataFrame.unionByName, made), least), "links"))
+            if not full[1]:
+                unstage(last)
                 break
-    for t in (groups, *made):
+            if not found_links[-1].isEmpty():
+                labels = _relabelled(labels, found_links[-1], ROUND_STEPS)
+            most *= MORE
+        if found_links:
+            labels = _relabelled(labels, reduce(DataFrame.unionByName, found_links), None)
+    for t in (groups, *made, *found_links):
         unstage(t)
     named = sets.join(labels, sets["key"] == labels["node"]).groupBy("root").agg(F.min("least_id").alias("component"))
     label = labels.join(named, "root").select(F.col("node").alias("key"), "component")
