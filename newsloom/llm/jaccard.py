@@ -16,7 +16,9 @@ Two documents link when their n-gram sets have a Jaccard similarity of at least
    and drop pairs that can't link.  Each member is paired with the first few
    smaller ones, over all its groups, that may link to it and are not yet known
    to be in its component; so a round's pairs grow with the sets, not with the
-   groups' squares.
+   groups' squares.  The first round takes small bitmaps; the later ones, of the
+   few sets still in question, wide ones that pass hardly any pair that does not
+   link.
 5. These pairs are put in prefix trees, one for each leader and up to about
    ``CHUNK`` partners: sequences in global order, shared beginnings stored once.
    The leader walks the tree; overlap with a shared beginning is counted once
@@ -29,9 +31,9 @@ Two documents link when their n-gram sets have a Jaccard similarity of at least
    component.  Stars until nothing changes then give the components.
 
 An n-gram with many sets is filed by salt, each n-gram with its own, so groups stay at about
-``2 * block`` members; pairs across the salts of one n-gram come last, and only
-where labels differ: sets of its commonest label meet those of other labels,
-not each other.
+``2 * block`` members; pairs across the salts of one n-gram come after the first
+round, and only where labels differ: sets of its commonest label meet those of
+other labels, not each other.
 
 Broadcasts: the ``FREQUENT`` most frequent n-grams, and the wanted ids only if
 they are at most ``WANTED_IDS``; beyond it they are joined.
@@ -52,18 +54,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, unstage
+from .common import row_key_of, small_batches, staged, unstage
 from .hashing import blocks, byte_table, mixed, words_of
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _TABLE = byte_table(separators=SEPARATORS)
 _NONE = -(1 << 63)  # stands for a null id inside
 
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 LEAST_BITS, MOST_BITS = 1 << 6, 1 << 16
+WIDE = 8
 BLOCK = 512
 FIRST_PARTNERS, MORE = 4, 8
-ROUND_STEPS = 1
+ROUND_STEPS = 2
 CHUNK = 512
 MOST_CLASHES = 10_000
 WANTED_IDS = 1 << 19
@@ -122,9 +125,9 @@ def keys_of(owners: np.ndarray, hashes: np.ndarray, texts: int, clash: np.ndarra
     return size, key
 
 
-def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """For each text the parity of its n-grams by class, packed; about as many classes as n-grams, a power of two."""
-    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray, times: int = 1) -> list[bytes]:
+    """For each text the parity of its n-grams by class, packed; ``times`` about as many classes as n-grams, a power of two."""
+    bits = np.clip(times * 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, times * MOST_BITS)
     edges = np.append(0, np.cumsum(bits))
     places = edges[owners] + ((hashes >> np.uint64(40)).astype(np.int64) & (bits[owners] - 1))
     packed = np.packbits((np.bincount(places, minlength=edges[-1]) & 1).astype(np.uint8)).tobytes()
@@ -157,19 +160,19 @@ def ordered(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nd
 
 
 def _summaries(df: DataFrame, n: int) -> DataFrame:
-    """A row for each document (id, size, key, check, bitmap), and rows (ngram, times) of n-grams frequent in a task."""
+    """A row for each document (id, row, size, key, check, bitmap), and rows (ngram, times) of n-grams frequent in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, size = [], 0
-        names = ["id", "size", "key", "check", "bitmap", "ngram", "times"]
+        names = ["id", "row", "size", "key", "check", "bitmap", "ngram", "times"]
 
         def counted() -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             keep = times >= 4
             grams, times = grams[keep].view(np.int64), times[keep]
             none = lambda t: pa.nulls(len(grams), t)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(grams), pa.array(times.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([*[none(pa.int64())] * 5, none(pa.binary()), pa.array(grams), pa.array(times.astype(np.int64))], names=names)
 
         for batch in batches:
             texts, sizes, keys, checks, maps = batch.column(1).to_pylist(), [], [], [], []
@@ -190,7 +193,7 @@ def _summaries(df: DataFrame, n: int) -> DataFrame:
             none = lambda t: pa.nulls(len(texts), t)  # noqa: E731, B023
             if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(checks)), pa.array(maps, pa.binary()), none(pa.int64()), none(pa.int64())], names=names
+                    [batch.column(0), batch.column(2), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(checks)), pa.array(maps, pa.binary()), none(pa.int64()), none(pa.int64())], names=names
                 )
             if size > 2_000_000:
                 yield counted()
@@ -198,7 +201,7 @@ def _summaries(df: DataFrame, n: int) -> DataFrame:
         if held:
             yield counted()
 
-    return df.mapInArrow(run, "id long, size long, key long, check long, bitmap binary, ngram long, times long")
+    return df.mapInArrow(run, "id long, row long, size long, key long, check long, bitmap binary, ngram long, times long")
 
 
 def _texts_in(texts: list, first: int) -> int:
@@ -506,30 +509,46 @@ def walk(probe: np.ndarray, sequences: list[np.ndarray], least: int) -> list[int
     return found
 
 
-def _sequences(df: DataFrame, wanted: DataFrame, n: int, frequent, clash: np.ndarray) -> DataFrame:
-    """(key, sequence): the wanted sets in the global order, made anew from their texts."""
+def _again(df: DataFrame, keys: DataFrame, sets: DataFrame, n: int, clash: np.ndarray, make, name: str) -> DataFrame:
+    """(key, ``name``): what ``make`` gives for the sets of ``keys``, made anew from their texts."""
+    wanted = staged(keys.distinct().join(sets.select("key", "id"), "key"), "wanted")
     few = wanted.limit(WANTED_IDS + 1).count() <= WANTED_IDS
     near = (F.broadcast(wanted) if few else wanted).select(F.col("id").alias("_id"), "key")
     rows = df.join(near, F.col("id") == F.col("_id")).select("id", "text", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, rank, _ = frequent.value
         for batch in batches:
             texts, asked = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            keys, sequences = [], []
+            keys, made = [], []
             for first, owners, hashes in ngram_sets(texts, n):
                 here = _texts_in(texts, first)
                 size, k = keys_of(owners, hashes, here, clash)
-                place = ordered(hashes, grams, rank)
-                order = np.lexsort((place, owners))
-                place, edges = place[order], np.append(0, np.cumsum(size))
-                for i in range(here):
+                for i, value in enumerate(make(owners, hashes, size)):
                     if k[i] == asked[first + i]:
                         keys.append(int(k[i]))
-                        sequences.append(place[edges[i] : edges[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sequences, pa.binary())], names=["key", "sequence"])
+                        made.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], names=["key", name])
+
+    out = staged(rows.mapInArrow(run, f"key long, {name} binary").groupBy("key").agg(F.first(name).alias(name)), name)
+    unstage(wanted)
+    return out
+
+
+def _sequences(df: DataFrame, keys: DataFrame, sets: DataFrame, n: int, clash: np.ndarray, frequent) -> DataFrame:
+    """(key, sequence): the sets in the global order."""
+
+    def make(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> Iterator[bytes]:
+        grams, rank, _ = frequent.value
+        place = ordered(hashes, grams, rank)
+        place, edges = place[np.lexsort((place, owners))], np.append(0, np.cumsum(size))
+        return (place[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
-    return rows.mapInArrow(run, "key long, sequence binary").groupBy("key").agg(F.first("sequence").alias("sequence"))
+    return _again(df, keys, sets, n, clash, make, "sequence")
+
+
+def _wide(df: DataFrame, keys: DataFrame, sets: DataFrame, n: int, clash: np.ndarray) -> DataFrame:
+    """(key, bitmap): wide bitmaps of the sets."""
+    return _again(df, keys, sets, n, clash, lambda owners, hashes, size: bitmaps_of(owners, hashes, size, WIDE), "bitmap")
 
 
 def _links(pairs: DataFrame, made: DataFrame, least: int) -> DataFrame:
@@ -596,7 +615,12 @@ def _relabelled(labels: DataFrame, links: DataFrame, steps: int | None) -> DataF
     ends = links
     for end in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
-    joined = staged(components(ends.where("a <> b"), steps), "roots")
+    ends = staged(ends.where("a <> b").select("a", "b"), "ends")
+    if ends.isEmpty():
+        unstage(ends)
+        return labels
+    joined = staged(components(ends, steps), "roots")
+    unstage(ends)
     old = labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("r")), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
     out = staged(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
     unstage(joined)
@@ -607,16 +631,16 @@ def _relabelled(labels: DataFrame, links: DataFrame, steps: int | None) -> DataF
 # --- the join ----------------------------------------------------------------
 
 
-def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(signature, family, key, size, label) of all members."""
-    rows = groups.select("signature", "family", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("signature", "family", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"))
-    return rows.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").select("signature", "family", "key", "size", F.coalesce("root", "key").alias("label"))
+def _members(groups: DataFrame) -> DataFrame:
+    """(signature, family, split, key, size) of all members."""
+    rows = groups.select("signature", "family", "split", F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
+    return rows.select("signature", "family", "split", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"))
 
 
-def _mixed_groups(rows: DataFrame) -> DataFrame:
-    """Members of the groups with more than one label."""
-    live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("signature")
-    return rows.join(live, "signature").select("signature", "key", "size", "label")
+def _open_members(rows: DataFrame) -> DataFrame:
+    """Members of the groups with more than one label and a member that has a cursor."""
+    live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("within_size").alias("n")).where("lo <> hi and n > 0").select("signature")
+    return rows.join(live, "signature").select("signature", "key", "size", "label", F.coalesce("within_size", F.lit(1 << 62)).alias("after_size"), F.coalesce("within_key", F.lit(0)).alias("after_key"))
 
 
 def _across(rows: DataFrame, block: int) -> DataFrame:
@@ -637,19 +661,23 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda j: pair(F.greatest(F.col("at"), j), F.least(F.col("at"), j))),
     )
     met = own.withColumn("t", F.explode(F.when(F.col("common"), common).otherwise(other)))
-    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), "key", "size", "label").distinct()
+    after = [F.coalesce("across_size", F.lit(1 << 62)).alias("after_size"), F.coalesce("across_key", F.lit(0)).alias("after_key")]
+    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), "key", "size", "label", *after).distinct()
 
 
-def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 75, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``df``."""
+def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 75, block: int = BLOCK, rows: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of ``df``.
+
+    With ``rows`` also ``row_key`` (``row_key_of`` the row) and ``group_key``, which names the component whatever its ids; null without words.
+    """
     spark: SparkSession = df.sparkSession
     small_batches(spark)
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("id"), F.col(text).cast("string").alias("text"))
-    seen = staged(_summaries(docs, n), "summaries")
-    rows = seen.where("key is not null").select("id", "size", "key", "check", "bitmap")
+    seen = staged(_summaries(docs.withColumn("row", row_key_of(F.when(F.col("id") != _NONE, F.col("id")), F.col("text"))), n), "summaries")
+    each = seen.where("key is not null").select("id", "row", "size", "key", "check", "bitmap")
     clash = np.zeros(0, np.int64)
     while True:
-        found = rows.where("size > 0").groupBy("key").agg(
+        found = each.where("size > 0").groupBy("key").agg(
             F.min(F.when(F.col("id") != _NONE, F.col("id"))).alias("least_id"), F.min("id").alias("id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"),
             F.min("check").alias("lo"), F.max("check").alias("hi"),
         )
@@ -659,9 +687,14 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         if not clashing:
             break
         clash = np.sort(np.array(clashing, np.int64))
-        rows = rows.withColumn("key", F.when(F.col("key").isin(clashing), F.col("check")).otherwise(F.col("key")))
+        each = each.withColumn("key", F.when(F.col("key").isin(clashing), F.col("check")).otherwise(F.col("key")))
         unstage(sets)
-    top = seen.where("ngram is not null").groupBy("ngram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "ngram").limit(FREQUENT).toArrow()
+    counted = staged(seen.where("ngram is not null").groupBy("ngram").agg(F.sum("times").alias("times")), "ngrams")
+    # The counts from which at most FREQUENT n-grams are left, so that tasks send no more than these.
+    by_size = counted.groupBy(F.floor(F.log2("times")).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    kept = [r["size"] for r, total in zip(by_size, np.cumsum([r["n"] for r in by_size]), strict=True) if total <= FREQUENT]
+    top = counted.where(F.floor(F.log2("times")) >= (kept[-1] if kept else 1 << 30)).orderBy(F.desc("times"), "ngram").toArrow()
+    unstage(counted)
     grams, times = top.column("ngram").to_numpy().view(np.uint64), top.column("times").to_numpy()
     rank = np.arange(len(grams))[::-1]  # the most frequent last
     order = np.argsort(grams)
@@ -671,50 +704,61 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
 
     groups = staged(_groups(_filed(docs, n, least, frequent, clash, parts, block), least, parts, block), "groups")
     labels = staged(spark.createDataFrame([], "node long, root long"), "labels")
-    made: list[DataFrame] = []
-    found_links: list[DataFrame] = []
-    for wave in ("within", "across"):
-        here = groups if wave == "within" else groups.where("split")
-        if wave == "across" and here.isEmpty():
+    links: list[DataFrame] = []
+
+    def verify(proposed: DataFrame) -> DataFrame:
+        """``labels`` after the links among the proposed pairs."""
+        pairs = proposed.select(F.explode("found.partner").alias("leader"), F.col("key").alias("partner"))
+        made = _sequences(docs, pairs.select(F.col("leader").alias("key")).union(pairs.select("partner")), sets, n, clash, frequent)
+        links.append(staged(_links(pairs, made, least), "links"))
+        unstage(made)
+        return _relabelled(labels, links[-1], ROUND_STEPS)
+
+    first = _members(groups).join(sets.select("key", "bitmap"), "key").withColumns({"label": F.col("key"), "after_size": F.lit(-1).cast("long"), "after_key": F.lit(0).cast("long")})
+    proposed = staged(_proposed(first, least, FIRST_PARTNERS), "proposed")
+    if not proposed.isEmpty():
+        labels = verify(proposed)
+    # Where each member goes on: past its last partner, unless it found fewer than it might; across salts from the start.
+    at = F.element_at("found", -1)
+    cursor = staged(proposed.where(F.size("found") == FIRST_PARTNERS).select("key", at["size"].alias("within_size"), at["partner"].alias("within_key")), "cursor")
+    unstage(proposed)
+    cut, most, wide, start = not groups.where("split").isEmpty(), FIRST_PARTNERS * MORE, None, True
+    while True:
+        held = _members(groups).join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).join(cursor, "key", "left")
+        if start:
+            held = held.withColumns({"across_size": F.lit(-1).cast("long"), "across_key": F.lit(0).cast("long")})
+        members = _open_members(held)
+        if cut:
+            members = members.unionByName(_across(held.where("split"), block))
+        members = staged(members, "members")
+        if members.isEmpty():
+            unstage(members)
+            break
+        wide = wide if wide is not None else _wide(docs, members.select("key"), sets, n, clash)
+        proposed = staged(_proposed(members.join(wide, "key"), least, most), "proposed")
+        unstage(members)
+        if proposed.isEmpty():
+            unstage(proposed)
+            break
+        labels = verify(proposed)
+        full = proposed.where(F.size("found") == most).select("key", at["size"].alias("across_size"), at["partner"].alias("across_key"))
+        if full.isEmpty():
+            unstage(proposed)
             break
-        most, last = FIRST_PARTNERS, None
-        while True:
-            members = _labelled(here, labels)
-            members = _across(members, block) if wave == "across" else _mixed_groups(members)
-            members = members.join(sets.select("key", "bitmap"), "key")
-            if last is None:
-                members = members.withColumn("after_size", F.lit(-1).cast("long")).withColumn("after_key", F.lit(0).cast("long"))
-            else:  # a member that found fewer than it might has no partner left
-                cursor = last.where(F.size("found") == most // MORE).select("key", F.element_at("found", -1).alias("at")).select("key", F.col("at.size").alias("after_size"), F.col("at.partner").alias("after_key"))
-                members = members.join(cursor, "key", "left").withColumn("after_size", F.coalesce("after_size", F.lit(1 << 62))).withColumn("after_key", F.coalesce("after_key", F.lit(0)))
-            proposed = staged(_proposed(members, least, most), "proposed")
-            if last is not None:
-                unstage(last)
-            last = proposed
-            pairs = proposed.select(F.explode("found.partner").alias("leader"), F.col("key").alias("partner"))
-            ends = pairs.select(F.col("leader").alias("key")).union(pairs.select("partner")).distinct()
-            for m in made:
-                ends = ends.join(m.select("key"), "key", "left_anti")
-            wanted = staged(ends.join(sets.select("key", "id"), "key"), "wanted")
-            if not wanted.isEmpty():
-                made.append(staged(_sequences(docs, wanted, n, frequent, clash), "sequences"))
-            unstage(wanted)
-            full = proposed.agg(F.count("*"), F.count(F.when(F.size("found") == most, 1))).first()
-            if full[0]:
-                found_links.append(staged(_links(pairs, reduce(DataFrame.unionByName, made), least), "links"))
-            if not full[1]:
-                unstage(last)
-                break
-            if not found_links[-1].isEmpty():
-                labels = _relabelled(labels, found_links[-1], ROUND_STEPS)
-            most *= MORE
-        if found_links:
-            labels = _relabelled(labels, reduce(DataFrame.unionByName, found_links), None)
-    for t in (groups, *made, *found_links):
+        before = cursor if start else cursor.select("key", "within_size", "within_key")
+        further = F.greatest(F.struct("across_size", "across_key"), F.struct(F.col("within_size").alias("across_size"), F.col("within_key").alias("across_key")))
+        later = full.join(before, "key", "left").withColumn("w", F.when(F.col("within_size").isNotNull(), further))
+        cursor = staged(later.select("key", F.col("w.across_size").alias("within_size"), F.col("w.across_key").alias("within_key"), "across_size", "across_key"), "cursor")
+        unstage(proposed)
+        most, start = most * MORE, False
+    if links:  # what the rounds' few steps left apart
+        labels = _relabelled(labels, reduce(DataFrame.unionByName, links), None)
+    for t in (groups, *links, *([wide] if wide is not None else [])):
         unstage(t)
     named = sets.join(labels, sets["key"] == labels["node"]).groupBy("root").agg(F.min("least_id").alias("component"))
-    label = labels.join(named, "root").select(F.col("node").alias("key"), "component")
-    own = sets.select("key", "least_id").join(label, "key", "left").select("key", F.coalesce("component", "least_id").alias("component"))
-    out = rows.select("id", "size", "key").join(own, "key", "left")
+    label = labels.join(named, "root").select(F.col("node").alias("key"), "component", "root")
+    own = sets.select("key", "least_id").join(label, "key", "left").select("key", F.coalesce("component", "least_id").alias("component"), F.coalesce("root", "key").alias("root"))
+    out = each.select("id", "row", "size", "key").join(own, "key", "left")
     id_out = F.when(F.col("id") != _NONE, F.col("id"))
-    return out.select(id_out.alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(id_out).alias("component_id"))
+    more = [F.col("row").alias("row_key"), F.when(F.col("size") > 0, F.col("root")).alias("group_key")] if rows else []
+    return out.select(id_out.alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(id_out).alias("component_id"), *more)
