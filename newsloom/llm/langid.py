@@ -3,13 +3,15 @@
 UTF-8 bytes are embedded, filters of several widths run over fixed-length
 windows, each filter's maximum over a window is kept, and a softmax layer
 scores the languages.  The network is trained in numpy on the driver, on a
-bounded sample of labelled rows (``Settings.train_docs`` texts, and
-``Settings.train_windows`` windows of each); prediction covers every window of
-every whole text and averages the windows' log probabilities by their letters.
+bounded sample of labelled rows (``Settings.train_docs`` texts, whole ones):
+every window of them is trained on, each epoch taking its share of a long text's
+windows.  Prediction covers every window of every whole text and averages the
+windows' log probabilities by their letters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 without any labelled row every text is ``und``; repeated rows are scored one by
-one.
+one, and learned from once; a tie goes to the language whose name comes first;
+columns of the input named like a new one give way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import bounded_sample, with_columns
 
 
 @dataclass(frozen=True)
@@ -32,8 +34,7 @@ class Settings:
     embed: int = 4
     widths: tuple[int, ...] = (2, 3, 4, 5)
     filters: int = 8
-    train_docs: int = 3000
-    train_windows: int = 5
+    train_docs: int = 2000
     epochs: int = 8
     rate: float = 0.01
     batch: int = 128
@@ -88,7 +89,7 @@ def log_probabilities(model: Model, windows: np.ndarray) -> np.ndarray:
 
 
 def fit(samples: list[tuple[str, bytes]], settings: Settings = Settings()) -> Model:
-    """Train on (language, bytes of at most one window) pairs with Adam."""
+    """Train on (language, bytes of a text) pairs with Adam; texts weigh less by the root of their windows."""
     s, rng, wide = settings, np.random.default_rng(settings.seed), max(settings.widths)
     langs = sorted({lang for lang, _ in samples})
     total = s.filters * len(s.widths)
@@ -104,20 +105,21 @@ def fit(samples: list[tuple[str, bytes]], settings: Settings = Settings()) -> Mo
     }
     params["e"][0] = 0
     if len(langs) > 1:
-        x = np.zeros((len(samples), s.window), np.uint8)
-        for i, (_, data) in enumerate(samples):
-            cut = data[: s.window]
-            x[i, : len(cut)] = np.frombuffer(cut, np.uint8)
-        y = np.array([langs.index(lang) for lang, _ in samples])
+        windows = [_windows(data, s.window, wide) for _, data in samples]
+        x, owner = np.concatenate(windows), np.repeat(np.arange(len(samples)), [len(w) for w in windows])
+        first = np.concatenate([np.arange(len(w)) for w in windows])
+        y = np.array([langs.index(lang) for lang, _ in samples])[owner]
         share = np.bincount(y, minlength=len(langs)) / len(y)
-        weight = (1 / np.maximum(share, 1e-6) ** 0.5)[y]
+        # A text of no more windows than epochs gives them all in each; a longer one a share.
+        whole = np.bincount(owner)[owner] <= s.epochs
+        weight = (1 / np.maximum(share, 1e-6) ** 0.5)[y] / np.maximum(1, np.bincount(owner) / s.epochs)[owner] ** 0.5
         weight = (weight / weight.mean()).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in params.items()}
         v = {k: np.zeros_like(v) for k, v in params.items()}
         positions, step = s.window - wide + 1, 0
         for epoch in range(s.epochs):
-            order = rng.permutation(len(x))
-            for i in range(0, len(x), s.batch):
+            order = rng.permutation(np.flatnonzero(whole | (first % s.epochs == epoch)))
+            for i in range(0, len(order), s.batch):
                 at = order[i : i + s.batch]
                 n = len(at)
                 cols = _columns(params["e"], x[at], wide)
@@ -189,21 +191,11 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def training_windows(labelled: DataFrame, text: str, lang: str, order: str, settings: Settings = Settings()) -> list[tuple[str, bytes]]:
-    """Windows of a bounded sample: the ``train_docs`` rows that come first by the hash of ``order``."""
-    s = settings
-    n = F.length(text)
-    pieces = F.array(*[
-        F.substring(F.col(text), (F.greatest(n - s.window, F.lit(0)) * (k / max(1, s.train_windows - 1)) + 1).cast("int"), F.lit(s.window))
-        for k in range(s.train_windows)
-    ])
-    sample = (
-        labelled.where(F.col(lang).isNotNull() & (n > 0))
-        .select(F.xxhash64(order).alias("h"), F.col(lang).alias("lang"), F.array_distinct(pieces).alias("pieces"))
-        .orderBy("h", "lang", "pieces")
-        .limit(s.train_docs)
-    )
-    return [(r["lang"], p.encode("utf-8", "replace")) for r in sample.collect() for p in r["pieces"] if any(map(str.isalpha, p))]
+def training_texts(labelled: DataFrame, text: str, lang: str, settings: Settings = Settings()) -> list[tuple[str, bytes]]:
+    """A bounded sample of different labelled texts, whole: those that come first by hash."""
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and length(text) > 0")
+    sample = bounded_sample(rows, ["text", "lang"], settings.train_docs).collect()
+    return sorted((r["lang"], r["text"].encode("utf-8", "replace")) for r in sample if any(map(str.isalpha, r["text"])))
 
 
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
