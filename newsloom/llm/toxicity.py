@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, homoglyphs of other scripts to Latin
-letters, digits and signs inside words to the letters they stand for.  The
-lexicon is learned from labelled rows as words (and word beginnings) whose
+letters, then digits and signs in runs that touch a letter to the letters they
+stand for.  The lexicon is learned from labelled rows as words (and word beginnings) whose
 share among toxic texts is far above their share among the others, weighted by
 smoothed log odds.  Exception phrases, the lexicon word with the word before
 or after it, take a match back where the labels show them in clean texts only,
@@ -10,10 +10,13 @@ beside a few fixed ones.  The weights found in a whole text are summed and
 normalised by its length; a logistic curve fitted on the sample turns both into
 a score between 0 and 1.
 
-Fitting uses a bounded sample of labelled rows (``Settings.train_docs``); all
-scoring covers whole texts.  Defined results: a null or empty text has no
-match and gets the score of a text without any; without labelled rows the
-fixed lexicon decides; repeated rows are scored one by one.
+Fitting uses a bounded sample of different labelled texts
+(``Settings.train_docs``), which bounds the lexicon as well; all scoring covers
+whole texts.  Defined results: a null or empty text has no match and gets the
+score of a text without any; without labelled rows of both kinds the fixed
+lexicon decides; repeated rows are scored one by one, and learned from once; an
+id or a text with clashing labels counts as toxic; columns of the input named
+like a new one give way to it.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, unstage, with_columns
+from .common import bounded_sample, staged, unstage, with_columns
 
 #: Letters of other scripts that look like Latin ones. Fixed values.
 HOMOGLYPHS = {
@@ -39,22 +42,24 @@ HOMOGLYPHS = {
     "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ɡ": "g", "ı": "i", "ⅼ": "l",
 }
 #: Digits and signs that stand for letters. Fixed values.
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 #: Lexicon used before any label is seen, and phrases that are never meant badly. Fixed values.
 FIXED_LEXICON = {w: 4.0 for w in ("idiot", "moron", "stupid", "scum", "trash", "worthless", "pathetic", "disgusting", "loser", "clown")}
 FIXED_EXCEPTIONS = ("trash can", "trash bag", "clown fish", "clown nose", "sore loser bracket", "stupidity tax")
 
-_TABLE = str.maketrans({**HOMOGLYPHS, **DIGITS, "​": "", "‌": "", "‍": "", "­": ""})
+_TABLE = str.maketrans({**HOMOGLYPHS, "​": "", "‌": "", "‍": "", "­": ""})
+_DIGIT_TABLE = str.maketrans(DIGITS)
+_DIGIT = re.compile(r"(?<=[^\W\d_])[0-9]+|[0-9]+(?=[^\W\d_])")
 _SIGN = re.compile(r"(?<=\w)[@$!|](?=\w)|(?<!\S)[@$](?=\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
-    text = text.lower()
+    text = text.lower().translate(_TABLE)
     if any(s in text for s in SIGNS):
         text = _SIGN.sub(lambda m: SIGNS[m.group()], text)
-    return text.translate(_TABLE)
+    return _DIGIT.sub(lambda m: m.group().translate(_DIGIT_TABLE), text)
 
 
 @dataclass(frozen=True)
@@ -62,7 +67,6 @@ class Settings:
     train_docs: int = 16000
     prefix: int = 5
     min_support: int = 3
-    max_entries: int = 2000
     min_odds: float = 2.5
 
 
@@ -76,8 +80,9 @@ class Model:
         import ahocorasick
 
         auto = ahocorasick.Automaton()
-        for entry, weight in self.lexicon.items():
-            auto.add_word(entry.rstrip("*"), (len(entry.rstrip("*")), entry.endswith("*"), weight))
+        for word in {entry.rstrip("*") for entry in self.lexicon}:
+            whole, begins = self.lexicon.get(word), self.lexicon.get(word + "*")
+            auto.add_word(word, (len(word), begins if whole is None else whole, begins))
         if len(auto):
             auto.make_automaton()
         return auto
@@ -85,9 +90,32 @@ class Model:
 
 def _beside(folded: str, start: int, end: int) -> tuple[str, str]:
     """The words before and after a match, if a single space parts them."""
-    before = re.search(r"([^\W\d_]+) \Z", folded[max(0, start - 40) : start])
-    after = re.match(r" ([^\W\d_]+)", folded[end : end + 40])
-    return (before[1] if before else ""), (after[1] if after else "")
+    a, b = start - 1, end + 1
+    if start and folded[a] == " ":
+        while a and folded[a - 1].isalpha():
+            a -= 1
+    if folded[end : end + 1] == " ":
+        while b < len(folded) and folded[b].isalpha():
+            b += 1
+    return folded[max(a, 0) : max(start - 1, 0)], folded[end + 1 : b]
+
+
+def hits(model: Model, auto, folded: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, weight) of the entries found as words, or as beginnings of words."""
+    size = len(folded)
+    for last, (n, whole, begins) in auto.iter(folded):
+        start, end = last - n + 1, last + 1
+        if start and folded[start - 1].isalpha():
+            continue
+        weight = begins if end < size and folded[end].isalpha() else whole
+        if weight is not None:
+            yield start, end, weight
+
+
+def _phrases(folded: str, start: int, end: int) -> list[str]:
+    before, after = _beside(folded, start, end)
+    word = folded[start:end]
+    return [p for p in (f"{word} {after}" * bool(after), f"{before} {word}" * bool(before)) if p]
 
 
 def measure(model: Model, auto, text: str | None) -> tuple[float, int, float]:
@@ -95,24 +123,12 @@ def measure(model: Model, auto, text: str | None) -> tuple[float, int, float]:
     if not text or not len(auto):
         return 0.0, 0, 0.0
     folded, total, most = fold(text), 0.0, 0.0
-    size = len(folded)
-    for last, (n, begins, weight) in auto.iter(folded):
-        start, end = last - n + 1, last + 1
-        if start and folded[start - 1].isalpha():
+    for start, end, weight in hits(model, auto, folded):
+        if model.exceptions and any(p in model.exceptions for p in _phrases(folded, start, end)):
             continue
-        if end < size and folded[end].isalpha():
-            if not begins:
-                continue
-        elif begins and n and folded[start:end] in model.lexicon:
-            continue  # the whole word has its own entry
-        if model.exceptions:
-            before, after = _beside(folded, start, end)
-            word = folded[start:end]
-            if f"{word} {after}" in model.exceptions or f"{before} {word}" in model.exceptions:
-                continue
         total += weight
         most = max(most, weight)
-    return total, size // 6 + 1, most
+    return total, len(folded) // 6 + 1, most
 
 
 def _inputs(total: float, words: int, most: float) -> tuple[float, float, float, float]:
@@ -164,8 +180,9 @@ def _curve(rows: np.ndarray, labels: np.ndarray) -> tuple[float, float, float, f
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from ``labelled`` (text string, toxic int): at most ``train_docs`` rows, bounded by the caller."""
-    sample = staged(labelled.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic")).repartition(8), "toxicity-sample")
+    """Learn from ``labelled`` (text string, toxic int): a sample bounded by the caller, as ``labelled_sample``."""
+    rows = labelled.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = staged(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
     try:
         return _fit(sample, settings)
     finally:
@@ -179,21 +196,19 @@ def _fit(sample: DataFrame, settings: Settings) -> Model:
         return Model(dict(FIXED_LEXICON), set(FIXED_EXCEPTIONS))
     bad, good = totals[1], totals[0]
     odds = F.log((F.col("toxic") + 0.1) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
+    # What qualifies is bounded by the sample; a beginning counts only where no clean text has it.
+    whole = F.col("feature").endswith("*") & ((F.col("clean") > 0) | (F.col("toxic") < 3 * settings.min_support))
     found = (
-        _counted(sample, settings)
-        .where(F.col("toxic") >= settings.min_support)
-        .select("feature", "toxic", "clean", odds.alias("odds"))
-        .where(F.col("odds") >= settings.min_odds)
-        .orderBy(F.desc("odds"), F.desc("toxic"), "feature")
-        .limit(settings.max_entries)
-        .collect()
-    )
+        _counted(sample, settings).where((F.col("toxic") >= settings.min_support) & ~whole)
+        .select("feature", odds.alias("odds")).where(F.col("odds") >= settings.min_odds).orderBy("feature").collect()
+    )
     words = {r["feature"]: r for r in found if not r["feature"].endswith("*")}
-    begins = {r["feature"]: r for r in found if r["feature"].endswith("*") and r["clean"] == 0 and r["toxic"] >= 3 * settings.min_support}
+    begins = {r["feature"]: r for r in found if r["feature"].endswith("*")}
     # A beginning is worth an entry only if several words share it, else the word itself says as much.
     lexicon = {w: min(6.0, r["odds"]) for w, r in words.items()}
+    shared_by = Counter(w[:k] + "*" for w in words for k in range(len(w) + 1))
     for b, r in begins.items():
-        if sum(w.startswith(b[:-1]) for w in words) >= 3:
+        if shared_by[b] >= 3:
             lexicon[b] = 0.7 * min(6.0, r["odds"])
     for w, weight in FIXED_LEXICON.items():
         lexicon.setdefault(w, weight)
@@ -210,11 +225,8 @@ def _fit(sample: DataFrame, settings: Settings) -> Model:
                 total, size, most = measure(shared.value, auto, text)
                 rows.append(("", toxic, 1, total, size, most))
                 seen, folded = set(), fold(text)
-                if total:
-                    for last, (n, _, _) in auto.iter(folded):
-                        before, after = _beside(folded, last - n + 1, last + 1)
-                        word = folded[last - n + 1 : last + 1]
-                        seen |= {x for x in (f"{word} {after}" * bool(after), f"{before} {word}" * bool(before)) if x}
+                for start, end, _ in hits(shared.value, auto, folded):
+                    seen.update(_phrases(folded, start, end))
                 phrases[toxic].update(seen)
         rows += [(p, t, c, 0.0, 0, 0.0) for t in (0, 1) for p, c in phrases[t].items()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -226,7 +238,7 @@ def _fit(sample: DataFrame, settings: Settings) -> Model:
     harmless = (
         measured.where("phrase <> ''").groupBy("phrase")
         .agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"))
-        .where("clean >= 3 and bad = 0").orderBy(F.desc("clean"), "phrase").limit(settings.max_entries)
+        .where("clean >= 3 and bad = 0")
     )
     model.exceptions |= {r["phrase"] for r in harmless.collect()}
     table = measured.where("phrase = ''").select("toxic", "total", "size", "most").orderBy("toxic", "total", "size", "most").collect()
@@ -252,15 +264,11 @@ def rate(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(text, toxic) of at most ``train_docs`` labelled rows, by hash; equal rows of a document count once.
+    """(text, toxic) of at most ``train_docs`` different labelled texts, by hash.
 
-    The labels are bounded first, which makes the broadcast safe, and then the rows, as a doc_id may repeat.
+    The labels are bounded first, which makes the broadcast safe, and then the texts, as a doc_id may repeat.
     """
-    few = (
-        labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.train_docs)
-    )
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    rows = rows.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
-    first = rows.select("h").distinct().orderBy("h").limit(settings.train_docs)
-    return rows.join(F.broadcast(first), "h", "left_semi").dropDuplicates(["h"]).select("text", "toxic")
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    few = bounded_sample(known, ["doc_id"], settings.train_docs)
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select((-F.col("toxic")).alias("clean"), "text")
+    return bounded_sample(rows, ["text"], settings.train_docs).select("text", (-F.col("clean")).alias("toxic"))  # toxic if any row is
