@@ -3,28 +3,32 @@
 Vectors are turned into integers and, for the bounds, moved to a sphere: with
 one more component ``sqrt(M^2 - |x|^2)`` (M: the largest norm) every vector has
 norm M, and the largest inner product is the smallest distance.  Each data
-partition is indexed where it lies: every vector is keyed by its nearest pivot
-and its distance to it, and each pivot's vectors are sorted by that distance.
-Pivots come from a bounded sample (``pivots`` of ``sample_rows`` vectors); every
-row is indexed.
-
-Queries come in blocks of at most ``block_rows``, each broadcast and held
-against all partitions.  For a query at distance d from a pivot, only the
-annulus [d - r, d + r] can hold a vector within distance r (triangle
-inequality); it is expanded outwards from d, chunk by chunk, while r shrinks
-with the k-th best score, and stops when both sides lie beyond the bound.  r
-starts from the k-th best score against the sample, a valid lower bound as the
-sample consists of candidates.  Rounding is covered by a margin on the radius;
-scores themselves are integer sums and exact.
+partition is indexed where it lies, in segments: every vector is keyed by its
+nearest pivot and its distance to it, and each pivot's vectors are sorted by
+that distance.  Pivots come from a bounded sample (``pivots`` of ``sample_rows``
+vectors); every row is indexed.  The segments are written once and read by every
+block of queries.
+
+Queries come in blocks of at most about ``block_rows``, one at a time, each
+broadcast and held against all segments.  For a query at distance d from a
+pivot, only the annulus [d - r, d + r] can hold a vector within distance r
+(triangle inequality); each query goes outwards from its own d, chunk by chunk,
+while r shrinks with the k-th best score, and stops on either side once that
+lies beyond the bound.  r starts from the k-th best score against the sample, a
+valid lower bound as the sample consists of candidates.  Rounding is covered by
+a margin on the radius; scores are sums of integers, exact while the largest
+squared norm is below 2^53, and rounded to a double beyond.
 
 Defined results: vectors that are null, hold null or non-finite components, or
-have another length than the first sampled one take no part; ties go to the
-smaller id; rows with a null id take no part; repeated ids count as they come.
-No valid vector: no rows.
+have another length than most of those without (the shorter, on a tie) take no
+part; ties go to the smaller id; rows with a null id take no part; repeated ids
+count as they come, and a query leaves out all rows of its id; other columns
+play no part.  No valid vector: no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,7 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_sample, staged
+
 CHUNK = 512
+SEGMENT = 65536
 MARGIN = 1e-6
 
 
@@ -79,41 +86,57 @@ class Segment:
         bounds = np.searchsorted(near, np.arange(len(pivots) + 1))
         self.cells = [(p, int(bounds[p]), int(bounds[p + 1])) for p in range(len(pivots)) if bounds[p] < bounds[p + 1]]
 
+    @classmethod
+    def of(cls, held: tuple) -> Segment:
+        out = cls.__new__(cls)
+        out.ids, x, out.dist, out.cells = held
+        out.x = x.astype(np.float64)
+        return out
+
 
 def search(segment: Segment, q: np.ndarray, q_ids: np.ndarray, q_pivot: np.ndarray, floor: np.ndarray, m2: float, k: int, own: dict):
     """Bring ``own`` (query -> (scores, ids)) up to date with the segment's vectors; ``floor`` rises with it."""
     q2 = (q * q).sum(1)
     # Query norm differs from M: |q~ - x~|^2 = |q|^2 + M^2 - 2 q.x with the query's extra component 0.
+    def reach(who: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(q2[who] + m2 - 2 * floor[who], 0)) * (1 + MARGIN) + MARGIN
+
+    def hold(who: np.ndarray, a: int, b: int) -> None:
+        scores = q[who] @ segment.x[a:b].T
+        hit = scores >= floor[who][:, None]
+        for row in np.flatnonzero(hit.any(1)):
+            j = who[row]
+            cols = np.flatnonzero(hit[row])
+            s, i = scores[row, cols], segment.ids[a:b][cols]
+            other = i != q_ids[j]
+            s, i = s[other], i[other]
+            if len(s):
+                old = own.get(j)
+                if old is not None:
+                    s, i = np.concatenate([old[0], s]), np.concatenate([old[1], i])
+                own[j] = best = _best(s, i, k)
+                if len(best[0]) == k:
+                    floor[j] = max(floor[j], best[0][-1])
+
     for p, start, stop in sorted(segment.cells, key=lambda c: float(q_pivot[:, c[0]].mean())):
-        d = q_pivot[:, p]
-        reach = np.sqrt(np.maximum(q2 + m2 - 2 * floor, 0)) * (1 + MARGIN) + MARGIN
-        live = np.flatnonzero((segment.dist[start] <= d + reach) & (segment.dist[stop - 1] >= d - reach))
-        if not len(live):
-            continue
-        # Chunks of the sorted annuli, from the live queries' own distance outwards.
-        chunks = [(i, min(i + CHUNK, stop)) for i in range(start, stop, CHUNK)]
-        middle = float(np.median(d[live]))
-        chunks.sort(key=lambda c: max(segment.dist[c[0]] - middle, middle - segment.dist[c[1] - 1], 0))
-        for a, b in chunks:
-            reach = np.sqrt(np.maximum(q2[live] + m2 - 2 * floor[live], 0)) * (1 + MARGIN) + MARGIN
-            who = live[(segment.dist[a] <= d[live] + reach) & (segment.dist[b - 1] >= d[live] - reach)]
-            if not len(who):
-                continue
-            scores = q[who] @ segment.x[a:b].T
-            hit = scores >= floor[who][:, None]
-            for row in np.flatnonzero(hit.any(1)):
-                j = who[row]
-                cols = np.flatnonzero(hit[row])
-                s, i = scores[row, cols], segment.ids[a:b][cols]
-                other = i != q_ids[j]
-                s, i = s[other], i[other]
-                if len(s):
-                    old = own.get(j)
-                    if old is not None:
-                        s, i = np.concatenate([old[0], s]), np.concatenate([old[1], i])
-                    own[j] = best = _best(s, i, k)
-                    if len(best[0]) == k:
-                        floor[j] = max(floor[j], best[0][-1])
+        edges = np.append(np.arange(start, stop, CHUNK), stop)
+        inner, outer = segment.dist[edges[:-1]], segment.dist[edges[1:] - 1]  # of each chunk
+        home = np.clip(np.searchsorted(inner, q_pivot[:, p], side="right") - 1, 0, len(inner) - 1)
+        # Step by step outwards; a query stays on a side while the next chunk there meets its annulus.
+        sides = [(np.arange(len(q)), 0, 1), (np.arange(len(q)), -1, -1)]
+        while sides:
+            following = []
+            for who, step, way in sides:
+                at = home[who] + step
+                who, at = who[(at >= 0) & (at < len(inner))], at[(at >= 0) & (at < len(inner))]
+                d, r = q_pivot[who, p], reach(who)
+                more = inner[at] <= d + r if way > 0 else outer[at] >= d - r
+                near = more & (inner[at] <= d + r) & (outer[at] >= d - r)
+                for c in np.unique(at[near]):
+                    hold(who[near & (at == c)], int(edges[c]), int(edges[c + 1]))
+                if more.any():
+                    following.append((who[more], step + way, way))
+            sides = following
 
 
 def top_k(
@@ -125,15 +148,16 @@ def top_k(
     schema = "query_id long, vec_id long, score long"
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"))
     asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    usable = rows.where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x))")
-    first = usable.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
-    s_ids, s_x = quantised(first.column("id").combine_chunks(), first.column("v"), scale, None)
-    if not len(s_ids):
+    usable = rows.where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))")
+    common = usable.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
+    if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = s_x.shape[1]
-    whole = lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.floor(x.cast("double") * scale).cast("double")).otherwise(0.0)
-    top_norm = rows.select(F.max(F.aggregate(F.transform("v", whole), F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    m2 = float(max(top_norm or 0.0, (s_x * s_x).sum(1).max()))
+    dims = int(common["n"])
+    usable = usable.where(F.size("v") == dims)
+    first = bounded_sample(usable, ["id"], sample_rows).toArrow()
+    s_ids, s_x = quantised(first.column("id").combine_chunks(), first.column("v"), scale, dims)
+    whole = F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    m2 = float(usable.select(F.max(F.aggregate(whole, F.lit(0.0), lambda a, x: a + x * x))).first()[0])
     lifted = np.column_stack([s_x, np.sqrt(np.maximum(m2 - (s_x * s_x).sum(1), 0))])
     # Pivots far from each other: each next one is the sampled vector farthest from those taken.
     chosen, away = [0], np.full(len(lifted), np.inf)
@@ -144,12 +168,32 @@ def top_k(
         chosen.append(int(away.argmax()))
     centres = lifted[chosen]
 
-    count = asked.count()
-    blocks = max(1, -(-count * 5 // (block_rows * 4)))
-    parts = []
+    asked = asked.where(F.size("v") == dims)
+    blocks = max(1, -(-asked.count() * 5 // (block_rows * 4)))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def segment() -> pa.RecordBatch:
+            made = Segment(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]), centres, m2)
+            row = [pickle.dumps((made.ids, made.x if m2 >= 1 << 48 else made.x.astype(np.float32), made.dist, made.cells), 5)]
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.binary())], names=["segment"])
+
+        for batch in batches:
+            ids, x = quantised(batch.column(0), batch.column(1), scale, dims)
+            if len(ids):
+                held.append((ids, x))
+                size += len(ids)
+            if size >= SEGMENT:
+                yield segment()
+                held, size = [], 0
+        if held:
+            yield segment()
+
+    index = staged(rows.mapInArrow(build, "segment binary"), "segments")
+    parts: list[DataFrame] = []
     for block in range(blocks):
-        here = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        table = here.toArrow()
+        table = (asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else asked).toArrow()
         q_ids, q = quantised(table.column("id").combine_chunks(), table.column("v"), scale, dims)
         if not len(q_ids):
             continue
@@ -163,24 +207,12 @@ def top_k(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q, floor, centres, m2 = shared.value
-            floor, own, held, size = floor.copy(), {}, [], 0
+            floor, own = floor.copy(), {}
             d2 = (q * q).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * q @ centres[:, :-1].T
             q_pivot = np.sqrt(np.maximum(d2, 0))
-
-            def index() -> None:
-                if held:
-                    segment = Segment(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]), centres, m2)
-                    search(segment, q, q_ids, q_pivot, floor, m2, k, own)
-
             for batch in batches:
-                ids, x = quantised(batch.column(0), batch.column(1), scale, dims)
-                if len(ids):
-                    held.append((ids, x))
-                    size += len(ids)
-                if size >= 65536:
-                    index()
-                    held, size = [], 0
-            index()
+                for packed in batch.column(0):
+                    search(Segment.of(pickle.loads(packed.as_py())), q, q_ids, q_pivot, floor, m2, k, own)
             found = sorted(own)
             for i in range(0, len(found), 2000):
                 part = found[i : i + 2000]
@@ -194,9 +226,10 @@ def top_k(
                     names=["query_id", "vec_id", "score"],
                 )
 
-        parts.append(rows.mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return merged.select("query_id", "rank", "vec_id", "score")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = index.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:  # one block's queries at a time
+            best = staged(best, "best")
+            shared.destroy()
+        parts.append(best)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
