@@ -6,17 +6,28 @@ the others become revisit records that name the kept one.  Files are written by
 Spark's own committed text writer, so task retries leave no halves: it puts one
 byte after each value, and a gzip member ends in a zero byte (the high byte of
 a size below 16 MB), so a member without its last byte and a zero byte as
-separator give the exact archive bytes.
+separator give the exact archive bytes.  A file holds at most ``FILE_BYTES`` of
+payload, a single larger one aside: the longest payload up to ``LONG`` bounds
+the records of a file, and longer ones go to files of their own bound.  Only
+digests are joined, so payloads are not shuffled while the repeated digests fit
+a broadcast (``BROADCAST_DIGESTS``); beyond it adaptive execution splits hot
+ones.
 
 Reader: members and bare records are checked (gzip sums, version line, content
 length, payload digest).  After a failed check it searches for the next member
 or version line that passes them all, goes on there, and logs the skipped bytes
-as a quarantined gap.
+as a quarantined gap.  A member that is damaged or cut short is read as far as it
+inflates, and version lines are searched for in what it gives: records there
+whose payload digest holds are recovered, the others are gaps.  Each member is
+inflated once, in pieces.
+
+Positions and lengths count archive bytes.  A member's first record or gap has
+the member's length, what follows in the same member length 0.
 
 Defined results: null html is an empty payload; rows whose id equals the
 group's smallest are responses, also when repeated; in a group without any id
 all are responses; a null url is left out of the record; an empty table gives
-an archive without records.
+an archive without records; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,8 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged_path
+from .common import small_batches, staged, staged_path, unstage
 
+FILE_BYTES, LONG = 1 << 30, 8 << 20
+BROADCAST_DIGESTS = 1 << 18
+PIECE = 1 << 16
 GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -66,15 +80,18 @@ def write_archives(
     pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_revisit: int = 100,
     date: str = "2024-01-01T00:00:00Z",
 ) -> None:
-    """Archive files under ``path``, one for each partition."""
+    """Archive files under ``path``."""
     small_batches(pages.sparkSession, 500)
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    kept = (
-        rows.where(F.octet_length("payload") >= least_revisit)
-        .groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1 and first_id is not null").select("digest", "first_id")
+    digests = rows.select("page_id", "digest", F.octet_length("payload").alias("n_bytes"))
+    kept = staged(
+        digests.where(F.col("n_bytes") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+        .where("n > 1 and first_id is not null").select("digest", "first_id"),
+        "digests",
     )
+    few = kept.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    longest, long_rows, usual = digests.agg(F.max("n_bytes"), F.count(F.when(F.col("n_bytes") > LONG, 1)), F.max(F.when(F.col("n_bytes") <= LONG, F.col("n_bytes")))).first()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,8 +101,15 @@ def write_archives(
                 made.append(_member(record(r["page_id"], r["url"], r["payload"], r["digest"], again, date))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
-    records = rows.join(kept, "digest", "left").select("page_id", "url", "payload", "digest", "first_id").mapInArrow(build, "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    def write(part: DataFrame, most: int) -> None:
+        joined = part.join(F.broadcast(kept) if few else kept, "digest", "left").select("page_id", "url", "payload", "digest", "first_id")
+        values = joined.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
+        values.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", max(1, FILE_BYTES // max(most, 4096))).text(path)
+
+    write(rows.where(F.octet_length("payload") <= LONG) if long_rows else rows, usual or 0)
+    if long_rows:
+        write(rows.where(F.octet_length("payload") > LONG), longest)
+    unstage(kept)
 
 
 def _parsed(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -117,55 +141,84 @@ def _parsed(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return {"fields": fields, "type": kind, "body": body, "digest": want.removeprefix("sha256:") if kind == "revisit" else digest}, end, ""
 
 
-def _one(data: bytes, at: int) -> tuple[list[dict], int, str]:
-    """Records of the member or the bare record at ``at``, where it ends, and a reason for failure."""
-    if data[at : at + 3] == GZIP:
-        inflate = zlib.decompressobj(31)
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` gives, where it ends, and why it failed; of a damaged one, what comes before the damage."""
+    inflate, view, out, pos = zlib.decompressobj(31), memoryview(data), [], at
+    while not inflate.eof:
+        if pos >= len(data):
+            return b"".join(out), pos, "gzip end"
+        piece = view[pos : pos + PIECE]
         try:
-            inner = inflate.decompress(data[at:] if at else data)
+            out.append(inflate.decompress(piece))
         except zlib.error:
-            return [], at, "gzip data"
-        if not inflate.eof:
-            return [], at, "gzip end"
-        end = len(data) - len(inflate.unused_data)
-        out, pos = [], 0
-        while pos < len(inner):
-            found, pos2, why = _parsed(inner, pos)
-            if found is None:
-                return [], at, why
-            out.append(found)
-            pos = pos2
-        return out, end, ""
-    found, end, why = _parsed(data, at)
-    return ([found] if found else []), end, why
+            # Byte by byte: what the piece gives before the damage counts too.
+            again = zlib.decompressobj(31)
+            size = sum(map(len, out))
+            kept = [again.decompress(view[at:pos])] if pos > at else []
+            try:
+                for i in range(len(piece)):
+                    kept.append(again.decompress(piece[i : i + 1]))
+            except zlib.error:
+                pass
+            found = b"".join(kept)
+            return found if len(found) >= size else b"".join(out), at, "gzip data"
+        pos += len(piece)
+    return b"".join(out), pos - len(inflate.unused_data), ""
+
+
+def _inside(inner: bytes, trusted: bool) -> Iterator[tuple[dict | None, str]]:
+    """Records and gaps of a member's content; in an untrusted one only records with a payload digest count."""
+    pos, failed = 0, ""
+    while pos < len(inner):
+        found, end, why = _parsed(inner, pos)
+        if found is not None and (trusted or found["fields"].get("warc-payload-digest", "").startswith("sha256:")):
+            if failed:
+                yield None, failed
+            yield found, ""
+            pos, failed = end, ""
+            continue
+        failed = failed or why or "no payload digest"
+        following = _VERSION.search(inner, pos + 1)
+        pos = following.start() if following else len(inner)
+    if failed:
+        yield None, failed
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """(offset, length, record or None for a gap, reason of a gap), in order, over all bytes."""
-    # A bounded view first: most members end far before the file does.
-    pos, gap, reason = 0, None, ""
+    pos, gap, reason = 0, 0, ""
     while pos < len(data):
         found, end, why = [], pos, "no record start"
-        if _START.match(data, pos):
-            for reach in (1 << 16, 1 << 20, len(data) - pos):
-                found, end, why = _one(data[pos : pos + reach], 0)
-                end += pos
-                if not why or pos + reach >= len(data):
-                    break
+        if data[pos : pos + 3] == GZIP:
+            inner, end, why = _inflated(data, pos)
+            found = list(_inside(inner, not why)) if inner else []
+            if why and not any(x for x, _ in found):
+                found = []
+        elif _VERSION.match(data, pos):
+            record, end, why = _parsed(data, pos)
+            found = [(record, "")] if record else []
+        if found and gap < pos:
+            yield gap, pos - gap, None, reason or "no record start"
         if why:
-            if gap is None:
-                gap, reason = pos, why
             following = _START.search(data, pos + 1)
-            pos = following.start() if following else len(data)
-            continue
-        if gap is not None:
-            yield gap, pos - gap, None, reason
-            gap = None
-        for x in found:
-            yield pos, end - pos, x, ""
+            end = following.start() if following else len(data)
+            if found:  # a damaged member with records: its bytes up to the next start are the gap
+                yield pos, end - pos, None, why
+                yield from ((pos, 0, x, "") for x, _ in found if x)
+                gap, reason = end, ""
+            elif gap == pos or not reason:
+                reason = why
+        elif found:
+            for i, (x, inner_why) in enumerate(found):
+                yield pos, 0 if i else end - pos, x, inner_why
+            gap, reason = end, ""
+        else:  # an empty member
+            if gap < pos:
+                yield gap, pos - gap, None, reason or "no record start"
+            gap, reason = end, ""
         pos = end
-    if gap is not None:
-        yield gap, len(data) - gap, None, reason
+    if gap < len(data) and gap < pos:
+        yield gap, len(data) - gap, None, reason or "no record start"
 
 
 READ_SCHEMA = (
