@@ -4,9 +4,13 @@ Each stage works on all rows its predecessor kept and returns the columns of
 ``documents``; the last one returns the packed pieces.  Stages are written as
 Parquet to the shared folder and read again, so a lost executor costs one stage.
 
-Defined results: rows without text are kept until they are packed as an end id
-alone; a row without a doc_id is judged by its text, and kept; of rows with the
-same doc_id one stays after the second stage.
+Decisions are made on rows, by id and text: rows that share a doc_id, or have
+none, are judged each by its own text.  Defined results: rows without text or
+words are kept until they are packed as an end id alone; of a group of near
+duplicates the row with the smallest doc_id stays (of several with that id, or
+where all ids are null, the one with the smallest key of its text), and of equal
+rows one; columns beyond those of ``documents`` are left out; empty tables give
+empty stages.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, jaccard, packing, pii, toxicity
-from newsloom.llm.common import fold_of, read, staged
+from newsloom.llm.common import fold_of, read, row_key_of, staged, staged_path, swept, unstage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,25 +34,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs, model).where("predicted = 0").select(COLUMNS)
 
 
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without those whose id and text are among ``rows`` (doc_id, row_key)."""
+    keyed = docs.withColumn("_key", row_key_of(F.col("doc_id"), F.col("text")))
+    gone = rows.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_gone"))
+    return keyed.join(gone, (F.col("_key") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(COLUMNS)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id."""
+    """One row of each group of near duplicates."""
     docs = docs.select(COLUMNS)
-    member = staged(jaccard.cluster(docs), "members")
-    dropped = member.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    member = staged(jaccard.cluster(docs, rows=True).where("group_key is not null"), "members")
+    first = member.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("group_key", F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_key"))
+    of_group = member.join(first, "group_key")
+    stays = (F.col("row_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    gone = staged(of_group.where(~stays).select("doc_id", "row_key").distinct(), "duplicates")
+    again = staged(of_group.where(stays).groupBy("doc_id", "row_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "row_key"), "repeated")
+    kept = _without(docs, gone)
     if again.isEmpty():
-        return kept.select(COLUMNS)
-    single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(single.select(COLUMNS))
+        return kept
+    keyed = kept.withColumn("row_key", row_key_of(F.col("doc_id"), F.col("text")))
+    near = again.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    same = (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = keyed.join(near, same, "left_semi").groupBy("doc_id", "row_key").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row"))
+    once = once.select("doc_id", "row.*").select(COLUMNS)
+    return _without(kept, again).unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage that repeats a benchmark item."""
     docs = docs.select(COLUMNS)
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    leaks = staged(found.where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), rows=True)
+    return _without(docs, staged(found.select("doc_id", "row_key").distinct(), "leaks"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +96,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read(spark, sf_dir, "documents").select(COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = staged_path(spark, name)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        docs._newsloom_path = path
+        unstage(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    unstage(docs)  # the packing has read it
+    return out
