@@ -16,19 +16,19 @@ Two documents link when their n-gram sets have a Jaccard similarity of at least
    and drop pairs that can't link.  Each member is paired with the first few
    smaller ones, over all its groups, that may link to it and are not yet known
    to be in its component; so a round's pairs grow with the sets, not with the
-   groups' squares.  The first round takes small bitmaps; the later ones, of the
-   few sets still in question, wide ones that pass hardly any pair that does not
-   link.
+   groups' squares.  One partner of each component will do, as a link to it joins
+   the rest; where it does not link, later rounds take ever more.  The first two rounds take small bitmaps; later ones, of the few
+   sets still in question, wide ones that pass hardly any pair that does not link.
 5. These pairs are put in prefix trees, one for each leader and up to about
    ``CHUNK`` partners: sequences in global order, shared beginnings stored once.
    The leader walks the tree; overlap with a shared beginning is counted once
    for all below it, and a subtree is left as soon as the overlap so far plus
    the remaining length can't reach the bound.  The count at a leaf is exact.
 6. Star steps over the links label the sets, each label within one component.
-   Rounds go on, each with ``MORE`` times the partners and from where each member
-   stopped, over the groups that still have several labels, until no member has
-   a partner left: every pair of a group is then linked, refuted, or within one
-   component.  Stars until nothing changes then give the components.
+   Rounds go on, from where each member first left a candidate out, over the
+   groups that still have several labels, until no member has a candidate left:
+   every pair of a group is then linked, refuted, or within one component.  Stars
+   until nothing changes then give the components.
 
 An n-gram with many sets is filed by salt, each n-gram with its own, so groups stay at about
 ``2 * block`` members; pairs across the salts of one n-gram come after the first
@@ -65,8 +65,10 @@ FREQUENT = 1 << 17
 LEAST_BITS, MOST_BITS = 1 << 6, 1 << 16
 WIDE = 8
 BLOCK = 512
-FIRST_PARTNERS, MORE = 4, 8
+FIRST_PARTNERS, PARTNERS = 4, 16
+NARROW_ROUNDS, MORE = 2, 8
 ROUND_STEPS = 2
+NOWHERE = 1 << 62  # a size beyond all
 CHUNK = 512
 MOST_CLASHES = 10_000
 WANTED_IDS = 1 << 19
@@ -412,54 +414,84 @@ def may_link(maps: Bitmaps, sizes: np.ndarray, x: int, others: np.ndarray, least
     return ok
 
 
-def first_partners(table: pa.Table, least: int, most: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """For each member the ``most`` first smaller members, by size and key, after its cursor that may link to it and bear another label."""
+Place = tuple[int, int]  # size and key
+
+
+def first_partners(table: pa.Table, least: int, most: int, each: int = 1) -> Iterator[tuple[int, dict[int, list[Place]], Place]]:
+    """For each member (key, partners, resume): the first ``each`` smaller members, by size and key, of each of up to ``most`` other labels
+    that may link to it, from its own start on, and the first candidate left out, from which it has to go on.
+    """
     keys, sizes, labels = (table.column(c).to_numpy() for c in ("key", "size", "label"))
-    after_size, after_key = table.column("after_size").to_numpy(), table.column("after_key").to_numpy()
+    from_size, from_key = table.column("from_size").to_numpy(), table.column("from_key").to_numpy()
     maps = Bitmaps(table.column("bitmap").to_pylist())
     low = np.searchsorted(100 * sizes, least * sizes)
     for x in range(1, len(keys)):
-        if after_size[x] > sizes[x]:
+        if from_size[x] > sizes[x]:
             continue
-        begin = max(int(low[x]), int(np.searchsorted(sizes, after_size[x])))
-        found: list[tuple[int, int]] = []
-        step = 32
-        while begin < x and len(found) < most:
+        begin, step = max(int(low[x]), int(np.searchsorted(sizes, from_size[x]))), 32
+        found: dict[int, list[Place]] = {}
+        full: list[int] = []  # labels that have enough partners
+        resume = (NOWHERE, 0)
+        while begin < x and (len(full) < most or resume[0] == NOWHERE):
             y = np.arange(begin, min(x, begin + step))
             begin, step = begin + step, step * 2
-            y = y[(labels[y] != labels[x]) & ((sizes[y] > after_size[x]) | (keys[y] > after_key[x]))]
-            if len(y):
-                y = y[may_link(maps, sizes, x, y, least)][: most - len(found)]
-                found += [(int(sizes[i]), int(keys[i])) for i in y]
+            y = y[(labels[y] != labels[x]) & ((sizes[y] > from_size[x]) | (keys[y] >= from_key[x]))]
+            known = np.isin(labels[y], full) if len(full) < most else np.ones(len(y), bool)
+            if known.any():
+                i = y[known][0]
+                resume = min(resume, (int(sizes[i]), int(keys[i])))
+                y = y[~known]
+            if not len(y):
+                continue
+            for i in y[may_link(maps, sizes, x, y, least)].tolist():
+                at, label = (int(sizes[i]), int(keys[i])), int(labels[i])
+                mine = found.get(label, ())
+                if len(mine) == each or (not mine and len(found) == most):
+                    resume = min(resume, at)
+                    continue
+                found.setdefault(label, []).append(at)
+                if len(found[label]) == each:
+                    full.append(label)
         if found:
-            yield int(keys[x]), found
+            yield int(keys[x]), found, resume
 
 
-def _proposed(members: DataFrame, least: int, most: int) -> DataFrame:
-    """(key, found): up to ``most`` partners of each member over all its groups.
+def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataFrame:
+    """(key, found, resume): partners of each member over all its groups, ``each`` of up to ``most`` labels, and where it has to go on.
 
-    ``members``: signature, key, size, label, bitmap, after_size, after_key.
+    ``members``: signature, key, size, label, bitmap, from_size, from_key.
     """
-    names, kinds = ["key", "size", "partner"], [pa.int64()] * 3
+    names, kinds = ["key", "label", "size", "partner", "rsize", "rkey"], [pa.int64()] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[tuple[int, int]]] = {}
+        held: dict[int, tuple[dict[int, list[Place]], Place]] = {}
 
         def out() -> pa.RecordBatch:
-            return _rows([(k, s, p) for k, v in held.items() for s, p in sorted(v)[:most]], kinds, names)
+            return _rows([(k, label, *at, *r) for k, (v, r) in held.items() for label, places in v.items() for at in places], kinds, names)
 
         for table in runs(batches, ["signature"]):
             if table.num_rows > 1:
-                for k, found in first_partners(table, least, most):
-                    held.setdefault(k, set()).update(found)
+                for k, found, resume in first_partners(table, least, most, each):
+                    mine, before = held.get(k, ({}, (NOWHERE, 0)))
+                    resume = min(resume, before)
+                    for label, places in found.items():
+                        both = sorted({*mine.get(label, ()), *places})
+                        mine[label] = both[:each]
+                        resume = min([resume, *both[each : each + 1]])
+                    held[k] = mine, resume
             if len(held) > 50_000:
                 yield out()
                 held = {}
         yield out()
 
     dealt = members.repartition("signature").sortWithinPartitions("signature", "size", "key")
-    made = dealt.mapInArrow(run, "key long, size long, partner long")
-    return made.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(F.struct("size", "partner"))), 1, most).alias("found"))
+    made = dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    every = made.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("label", "size", "partner"))).alias("c"), F.min(F.struct("rsize", "rkey")).alias("r"))
+    place = lambda e: F.struct(e["size"].alias("size"), e["partner"].alias("partner"))
+    among_first = lambda e, i: (i < each) | (F.get("c", i - each)["label"] != e["label"])
+    every = every.withColumn("f", F.array_sort(F.transform(F.filter("c", among_first), place)))
+    left = F.concat(F.transform(F.filter("c", lambda e, i: ~among_first(e, i)), place), F.slice("f", most * each + 1, 1 << 30), F.array(F.struct(F.col("r.rsize").alias("size"), F.col("r.rkey").alias("partner"))))
+    return every.select("key", F.slice("f", 1, most * each).alias("found"), F.array_min(left).alias("resume"))
 
 
 # --- the prefix tree ---------------------------------------------------------
@@ -638,9 +670,9 @@ def _members(groups: DataFrame) -> DataFrame:
 
 
 def _open_members(rows: DataFrame) -> DataFrame:
-    """Members of the groups with more than one label and a member that has a cursor."""
+    """Members of the groups with more than one label and a member that has to go on."""
     live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("within_size").alias("n")).where("lo <> hi and n > 0").select("signature")
-    return rows.join(live, "signature").select("signature", "key", "size", "label", F.coalesce("within_size", F.lit(1 << 62)).alias("after_size"), F.coalesce("within_key", F.lit(0)).alias("after_key"))
+    return rows.join(live, "signature").select("signature", "key", "size", "label", F.coalesce("within_size", F.lit(NOWHERE)).alias("from_size"), F.coalesce("within_key", F.lit(0)).alias("from_key"))
 
 
 def _across(rows: DataFrame, block: int) -> DataFrame:
@@ -661,8 +693,8 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda j: pair(F.greatest(F.col("at"), j), F.least(F.col("at"), j))),
     )
     met = own.withColumn("t", F.explode(F.when(F.col("common"), common).otherwise(other)))
-    after = [F.coalesce("across_size", F.lit(1 << 62)).alias("after_size"), F.coalesce("across_key", F.lit(0)).alias("after_key")]
-    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), "key", "size", "label", *after).distinct()
+    start = [F.coalesce("across_size", F.lit(NOWHERE)).alias("from_size"), F.coalesce("across_key", F.lit(0)).alias("from_key")]
+    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), "key", "size", "label", *start).distinct()
 
 
 def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 75, block: int = BLOCK, rows: bool = False) -> DataFrame:
@@ -708,49 +740,46 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
 
     def verify(proposed: DataFrame) -> DataFrame:
         """``labels`` after the links among the proposed pairs."""
+        if proposed.isEmpty():
+            return labels
         pairs = proposed.select(F.explode("found.partner").alias("leader"), F.col("key").alias("partner"))
         made = _sequences(docs, pairs.select(F.col("leader").alias("key")).union(pairs.select("partner")), sets, n, clash, frequent)
         links.append(staged(_links(pairs, made, least), "links"))
         unstage(made)
         return _relabelled(labels, links[-1], ROUND_STEPS)
 
-    first = _members(groups).join(sets.select("key", "bitmap"), "key").withColumns({"label": F.col("key"), "after_size": F.lit(-1).cast("long"), "after_key": F.lit(0).cast("long")})
-    proposed = staged(_proposed(first, least, FIRST_PARTNERS), "proposed")
-    if not proposed.isEmpty():
+    narrow = sets.select("key", "bitmap")
+    first = _members(groups).withColumns({"label": F.col("key"), "from_size": F.lit(0).cast("long"), "from_key": F.lit(0).cast("long")})
+    proposed = staged(_proposed(first.join(narrow, "key"), least, FIRST_PARTNERS), "proposed")
+    cut, wide, done = not groups.where("split").isEmpty(), None, 1
+    # Where each member goes on, within its groups and across the salts of cut n-grams.
+    go_on = proposed.where(F.col("resume.size") < NOWHERE).select("key", F.col("resume.size").alias("within_size"), F.col("resume.partner").alias("within_key"))
+    cursor = staged(go_on.withColumns({"across_size": F.lit(0).cast("long"), "across_key": F.lit(0).cast("long")}), "cursor")
+    while not proposed.isEmpty() or (cut and done == 1):
         labels = verify(proposed)
-    # Where each member goes on: past its last partner, unless it found fewer than it might; across salts from the start.
-    at = F.element_at("found", -1)
-    cursor = staged(proposed.where(F.size("found") == FIRST_PARTNERS).select("key", at["size"].alias("within_size"), at["partner"].alias("within_key")), "cursor")
-    unstage(proposed)
-    cut, most, wide, start = not groups.where("split").isEmpty(), FIRST_PARTNERS * MORE, None, True
-    while True:
+        unstage(proposed)
         held = _members(groups).join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).join(cursor, "key", "left")
-        if start:
-            held = held.withColumns({"across_size": F.lit(-1).cast("long"), "across_key": F.lit(0).cast("long")})
         members = _open_members(held)
         if cut:
-            members = members.unionByName(_across(held.where("split"), block))
+            start = {"across_size": F.lit(0).cast("long"), "across_key": F.lit(-(1 << 63)).cast("long")} if done == 1 else {}
+            members = members.unionByName(_across(held.where("split").withColumns(start), block))
         members = staged(members, "members")
         if members.isEmpty():
             unstage(members)
             break
-        wide = wide if wide is not None else _wide(docs, members.select("key"), sets, n, clash)
-        proposed = staged(_proposed(members.join(wide, "key"), least, most), "proposed")
+        done += 1
+        if done > NARROW_ROUNDS and wide is None:
+            wide = _wide(docs, members.select("key"), sets, n, clash)
+        grown = MORE ** max(0, done - NARROW_ROUNDS)
+        proposed = staged(_proposed(members.join(wide if wide is not None else narrow, "key"), least, PARTNERS, grown), "proposed")
         unstage(members)
-        if proposed.isEmpty():
-            unstage(proposed)
-            break
-        labels = verify(proposed)
-        full = proposed.where(F.size("found") == most).select("key", at["size"].alias("across_size"), at["partner"].alias("across_key"))
-        if full.isEmpty():
-            unstage(proposed)
-            break
-        before = cursor if start else cursor.select("key", "within_size", "within_key")
-        further = F.greatest(F.struct("across_size", "across_key"), F.struct(F.col("within_size").alias("across_size"), F.col("within_key").alias("across_key")))
-        later = full.join(before, "key", "left").withColumn("w", F.when(F.col("within_size").isNotNull(), further))
-        cursor = staged(later.select("key", F.col("w.across_size").alias("within_size"), F.col("w.across_key").alias("within_key"), "across_size", "across_key"), "cursor")
-        unstage(proposed)
-        most, start = most * MORE, False
+        go_on = proposed.where(F.col("resume.size") < NOWHERE).select("key", F.col("resume.size").alias("rs"), F.col("resume.partner").alias("rk"))
+        at = lambda kind: F.greatest(F.struct(F.col("rs").alias("s"), F.col("rk").alias("k")), F.struct(F.col(f"{kind}_size").alias("s"), F.col(f"{kind}_key").alias("k")))
+        before = cursor
+        later = go_on.join(before, "key", "left").withColumn("w", F.when(F.col("within_size").isNotNull(), at("within"))).withColumn("a", F.when(F.col("across_size").isNotNull(), at("across")).otherwise(F.struct(F.col("rs").alias("s"), F.col("rk").alias("k"))))
+        cursor = staged(later.select("key", F.col("w.s").alias("within_size"), F.col("w.k").alias("within_key"), F.col("a.s").alias("across_size"), F.col("a.k").alias("across_key")), "cursor")
+        unstage(before)
+    unstage(cursor)
     if links:  # what the rounds' few steps left apart
         labels = _relabelled(labels, reduce(DataFrame.unionByName, links), None)
     for t in (groups, *links, *([wide] if wide is not None else [])):
