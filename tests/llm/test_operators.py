@@ -260,15 +260,18 @@ def test_first_partners_misses_none():
     maps = jaccard.bitmaps_of(owners, hashes, size)
     held = [set(hashes[owners == i].tolist()) for i in range(len(sets))]
     want = {(int(key[a]), int(key[b])) for x, a in enumerate(order) for b in order[:x] if 100 * (n := len(held[a] & held[b])) >= 75 * (len(held[a]) + len(held[b]) - n)}
-    got, cursor = set(), {int(k): (-1, 0) for k in key}
-    while cursor:
-        columns = {"key": key[order], "size": size[order], "label": key[order], "bitmap": [maps[i] for i in order]}
-        columns["after_size"] = np.array([cursor.get(int(k), (1 << 62, 0))[0] for k in key[order]])
-        columns["after_key"] = np.array([cursor.get(int(k), (1 << 62, 0))[1] for k in key[order]])
-        found = dict(jaccard.first_partners(pa.table(columns), 75, 2))
-        got |= {(k, p) for k, v in found.items() for _, p in v}
-        cursor = {k: v[-1] for k, v in found.items() if len(v) == 2}
-    assert want <= got and len(want) > 100
+    for most, each in ((1, 1), (3, 1), (3, 4)):
+        got, start, label = set(), {int(k): (0, -(1 << 63)) for k in key}, key % 7
+        for _ in range(500):
+            columns = {"key": key[order], "size": size[order], "label": label[order], "bitmap": [maps[i] for i in order]}
+            columns["from_size"], columns["from_key"] = (np.array([start.get(int(k), (jaccard.NOWHERE, 0))[c] for k in key[order]]) for c in (0, 1))
+            found = list(jaccard.first_partners(pa.table(columns), 75, most, each))
+            assert all(len(v) <= most and max(map(len, v.values())) <= each for _, v, _ in found)
+            got |= {(k, p) for k, v, _ in found for places in v.values() for _, p in places}
+            start = {k: r for k, _, r in found if r[0] < jaccard.NOWHERE}
+            if not start:
+                break
+        assert not start and {(a, b) for a, b in want if a % 7 != b % 7} <= got and len(want) > 100
 
 
 def test_keys_that_clash_are_told_apart():
