@@ -459,7 +459,8 @@ def first_partners(table: pa.Table, least: int, most: int, each: int = 1) -> Ite
 def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataFrame:
     """(key, found, resume): partners of each member over all its groups, ``each`` of up to ``most`` labels, and where it has to go on.
 
-    ``members``: signature, key, size, label, bitmap, from_size, from_key.
+    ``members``: signature, key, size, label, bitmap, from_size, from_key, and ``anchor``, by which groups are dealt out.  Groups that
+    share many pairs share it, as of a pair that comes up again in a task one row goes on.
     """
     names, kinds = ["key", "label", "size", "partner", "rsize", "rkey"], [pa.int64()] * 6
 
@@ -484,7 +485,7 @@ def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataF
                 held = {}
         yield out()
 
-    dealt = members.repartition("signature").sortWithinPartitions("signature", "size", "key")
+    dealt = members.repartition("anchor").sortWithinPartitions("signature", "size", "key")
     made = dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
     every = made.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("label", "size", "partner"))).alias("c"), F.min(F.struct("rsize", "rkey")).alias("r"))
     place = lambda e: F.struct(e["size"].alias("size"), e["partner"].alias("partner"))
@@ -671,8 +672,9 @@ def _members(groups: DataFrame) -> DataFrame:
 
 def _open_members(rows: DataFrame) -> DataFrame:
     """Members of the groups with more than one label and a member that has to go on."""
-    live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("within_size").alias("n")).where("lo <> hi and n > 0").select("signature")
-    return rows.join(live, "signature").select("signature", "key", "size", "label", F.coalesce("within_size", F.lit(NOWHERE)).alias("from_size"), F.coalesce("within_key", F.lit(0)).alias("from_key"))
+    first = F.min(F.when(F.col("within_size").isNotNull(), F.col("key")))
+    live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first.alias("anchor")).where("lo <> hi and anchor is not null").select("signature", "anchor")
+    return rows.join(live, "signature").select("signature", "anchor", "key", "size", "label", F.coalesce("within_size", F.lit(NOWHERE)).alias("from_size"), F.coalesce("within_key", F.lit(0)).alias("from_key"))
 
 
 def _across(rows: DataFrame, block: int) -> DataFrame:
@@ -684,7 +686,7 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
     top = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels")).where("labels > 1")
     blocks = top.select("family", "top", F.ceil(F.col("most") / block).cast("int").alias("big"), F.ceil((F.col("total") - F.col("most")) / block).cast("int").alias("small"))
     own = rows.join(blocks, "family").withColumn("common", F.col("label") == F.col("top"))
-    own = own.withColumn("at", F.pmod(F.xxhash64("key", "family"), F.when(F.col("common"), F.col("big")).otherwise(F.col("small"))).cast("int"))
+    own = own.withColumn("at", F.pmod(F.xxhash64("key"), F.when(F.col("common"), F.col("big")).otherwise(F.col("small"))).cast("int"))
     # Tasks (i, j): block i of the others with block j of the others (j <= i), or with block -1-j of the common label.
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     common = F.transform(F.sequence(F.lit(0), F.col("small") - 1), lambda i: pair(i, -1 - F.col("at")))
@@ -694,7 +696,7 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
     )
     met = own.withColumn("t", F.explode(F.when(F.col("common"), common).otherwise(other)))
     start = [F.coalesce("across_size", F.lit(NOWHERE)).alias("from_size"), F.coalesce("across_key", F.lit(0)).alias("from_key")]
-    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), "key", "size", "label", *start).distinct()
+    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), F.xxhash64("top", "t.i", "t.j").alias("anchor"), "key", "size", "label", *start).distinct()
 
 
 def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 75, block: int = BLOCK, rows: bool = False) -> DataFrame:
@@ -749,7 +751,7 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         return _relabelled(labels, links[-1], ROUND_STEPS)
 
     narrow = sets.select("key", "bitmap")
-    first = _members(groups).withColumns({"label": F.col("key"), "from_size": F.lit(0).cast("long"), "from_key": F.lit(0).cast("long")})
+    first = _members(groups).withColumns({"anchor": F.col("signature"), "label": F.col("key"), "from_size": F.lit(0).cast("long"), "from_key": F.lit(0).cast("long")})
     proposed = staged(_proposed(first.join(narrow, "key"), least, FIRST_PARTNERS), "proposed")
     cut, wide, done = not groups.where("split").isEmpty(), None, 1
     # Where each member goes on, within its groups and across the salts of cut n-grams.
