@@ -69,6 +69,7 @@ FIRST_PARTNERS, PARTNERS = 4, 16
 NARROW_ROUNDS, MORE = 2, 8
 ROUND_STEPS = 2
 NOWHERE = 1 << 62  # a size beyond all
+SPREAD = 16
 CHUNK = 512
 MOST_CLASHES = 10_000
 WANTED_IDS = 1 << 19
@@ -234,6 +235,15 @@ def _edges(*sorted_columns: np.ndarray) -> list[int]:
     return [*np.flatnonzero(new).tolist(), len(new)]
 
 
+def _narrowed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in two bytes each if they fit, else in four; the last byte says which."""
+    return values.astype(np.uint16).tobytes() + b"\2" if not len(values) or values.max() < 1 << 16 else values.astype(np.uint32).tobytes() + b"\4"
+
+
+def _widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[:-1], np.uint16 if data[-1] == 2 else np.uint32).astype(np.int64)
+
+
 def _filed(df: DataFrame, n: int, least: int, frequent, clash: np.ndarray, parts: int, block: int) -> DataFrame:
     """Packed blocks (part, hot, salt, ngrams, owners, keys, sizes) of the sets under the n-grams of their prefixes.
 
@@ -263,7 +273,7 @@ def _filed(df: DataFrame, n: int, least: int, frequent, clash: np.ndarray, parts
                     edges = _edges(h, salt)
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         part = int(mixed(np.array([int(h[a]) * 0x10001 + int(salt[a])], np.uint64))[0] % np.uint64(parts))
-                        rows.append((part, int(h[a]), int(salt[a]), b"", b"", k[owner[a:b]].tobytes(), s[owner[a:b]].tobytes()))
+                        rows.append((part, int(h[a]), int(salt[a]), b"", b"", k[owner[a:b]].tobytes(), _narrowed(s[owner[a:b]])))
                     t, o = t[~hot], o[~hot]
             part = (t % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((o, part))
@@ -273,7 +283,7 @@ def _filed(df: DataFrame, n: int, least: int, frequent, clash: np.ndarray, parts
                 a, b = edges[p], edges[p + 1]
                 if a < b:
                     mine, local = np.unique(o[a:b], return_inverse=True)
-                    rows.append((p, -1, 0, ((t[a:b] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), k[mine].tobytes(), s[mine].tobytes()))
+                    rows.append((p, -1, 0, ((t[a:b] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), _narrowed(local), k[mine].tobytes(), _narrowed(s[mine])))
             return _rows(rows, kinds, names)
 
         for batch in batches:
@@ -326,11 +336,11 @@ def _groups(filed: DataFrame, least: int, parts: int, block: int) -> DataFrame:
     def group(table: pa.Table) -> pa.Table:
         ngrams, keys, sizes, hot, p = [], [], [], {}, 0
         for r in table.to_pylist():
-            k, s, p = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32), r["part"]
+            k, s, p = np.frombuffer(r["keys"], np.int64), _widened(r["sizes"]), r["part"]
             if r["hot"] >= 0:
                 hot.setdefault((r["hot"], r["salt"]), []).append((k, s))
                 continue
-            local = np.frombuffer(r["owners"], np.uint32)
+            local = _widened(r["owners"])
             ngrams.append(np.frombuffer(r["ngrams"], np.uint32))
             keys.append(k[local])
             sizes.append(s[local])
@@ -460,7 +470,7 @@ def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataF
     """(key, found, resume): partners of each member over all its groups, ``each`` of up to ``most`` labels, and where it has to go on.
 
     ``members``: signature, key, size, label, bitmap, from_size, from_key, and ``anchor``, by which groups are dealt out.  Groups that
-    share many pairs share it, as of a pair that comes up again in a task one row goes on.
+    share many pairs share one of ``SPREAD``, as of a pair that comes up again in a task one row goes on.
     """
     names, kinds = ["key", "label", "size", "partner", "rsize", "rkey"], [pa.int64()] * 6
 
@@ -673,7 +683,7 @@ def _members(groups: DataFrame) -> DataFrame:
 def _open_members(rows: DataFrame) -> DataFrame:
     """Members of the groups with more than one label and a member that has to go on."""
     first = F.min(F.when(F.col("within_size").isNotNull(), F.col("key")))
-    live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first.alias("anchor")).where("lo <> hi and anchor is not null").select("signature", "anchor")
+    live = rows.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first.alias("open")).where("lo <> hi and open is not null").select("signature", F.xxhash64("open", F.pmod("signature", F.lit(SPREAD))).alias("anchor"))
     return rows.join(live, "signature").select("signature", "anchor", "key", "size", "label", F.coalesce("within_size", F.lit(NOWHERE)).alias("from_size"), F.coalesce("within_key", F.lit(0)).alias("from_key"))
 
 
@@ -696,7 +706,7 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
     )
     met = own.withColumn("t", F.explode(F.when(F.col("common"), common).otherwise(other)))
     start = [F.coalesce("across_size", F.lit(NOWHERE)).alias("from_size"), F.coalesce("across_key", F.lit(0)).alias("from_key")]
-    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), F.xxhash64("top", "t.i", "t.j").alias("anchor"), "key", "size", "label", *start).distinct()
+    return met.select(F.xxhash64("family", "t.i", "t.j").alias("signature"), F.xxhash64("top", "t.i", "t.j", F.pmod("family", F.lit(SPREAD))).alias("anchor"), "key", "size", "label", *start).distinct()
 
 
 def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 75, block: int = BLOCK, rows: bool = False) -> DataFrame:
@@ -757,24 +767,28 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     # Where each member goes on, within its groups and across the salts of cut n-grams.
     go_on = proposed.where(F.col("resume.size") < NOWHERE).select("key", F.col("resume.size").alias("within_size"), F.col("resume.partner").alias("within_key"))
     cursor = staged(go_on.withColumns({"across_size": F.lit(0).cast("long"), "across_key": F.lit(0).cast("long")}), "cursor")
+    within = members_before = None
     while not proposed.isEmpty() or (cut and done == 1):
         labels = verify(proposed)
         unstage(proposed)
-        held = _members(groups).join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("label", F.coalesce("root", "key")).join(cursor, "key", "left")
-        members = _open_members(held)
+        named, of_cut = labels.select(F.col("node").alias("key"), "root"), _members(groups.where("split"))
+        with_label = lambda rows: rows.join(named, "key", "left").withColumn("label", F.coalesce("root", "key")).join(cursor, "key", "left")
+        # Only groups that were open before can be open still.
+        members = _open_members(with_label(_members(groups) if within is None else within)).withColumn("is_within", F.lit(True))
         if cut:
             start = {"across_size": F.lit(0).cast("long"), "across_key": F.lit(-(1 << 63)).cast("long")} if done == 1 else {}
-            members = members.unionByName(_across(held.where("split").withColumns(start), block))
-        members = staged(members, "members")
+            members = members.unionByName(_across(with_label(of_cut).withColumns(start), block).withColumn("is_within", F.lit(False)))
+        members, before = staged(members, "members"), members_before
+        if before is not None:
+            unstage(before)
+        members_before, within = members, members.where("is_within").select("signature", "key", "size")
         if members.isEmpty():
-            unstage(members)
             break
         done += 1
         if done > NARROW_ROUNDS and wide is None:
             wide = _wide(docs, members.select("key"), sets, n, clash)
         grown = MORE ** max(0, done - NARROW_ROUNDS)
         proposed = staged(_proposed(members.join(wide if wide is not None else narrow, "key"), least, PARTNERS, grown), "proposed")
-        unstage(members)
         go_on = proposed.where(F.col("resume.size") < NOWHERE).select("key", F.col("resume.size").alias("rs"), F.col("resume.partner").alias("rk"))
         at = lambda kind: F.greatest(F.struct(F.col("rs").alias("s"), F.col("rk").alias("k")), F.struct(F.col(f"{kind}_size").alias("s"), F.col(f"{kind}_key").alias("k")))
         before = cursor
@@ -782,6 +796,8 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         cursor = staged(later.select("key", F.col("w.s").alias("within_size"), F.col("w.k").alias("within_key"), F.col("a.s").alias("across_size"), F.col("a.k").alias("across_key")), "cursor")
         unstage(before)
     unstage(cursor)
+    if members_before is not None:
+        unstage(members_before)
     if links:  # what the rounds' few steps left apart
         labels = _relabelled(labels, reduce(DataFrame.unionByName, links), None)
     for t in (groups, *links, *([wide] if wide is not None else [])):
