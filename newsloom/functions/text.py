@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..vocabulary import ACRONYMS, CANDIDATE_NOISE, EVENT_REWRITES, GUARDED, PROJECT_SUFFIXES, SMALL_WORDS
@@ -174,9 +174,15 @@ def profile_signature() -> Column:
     return F.sha2(F.to_json(F.struct(*names)).cast("binary"), 256)
 
 
-def batch_prompt() -> Column:
-    """One document of a batch as text: title, source, the content's beginning."""
-    return F.concat_ws("\n", F.concat(F.lit("Title: "), F.col("title")), F.concat(F.lit("Source: "), F.col("source_name")), F.concat(F.lit("Content: "), F.substring("content", 1, 500)))
+def batch_prompt(documents: DataFrame) -> DataFrame:
+    """(batch_id, prompt): the documents of each batch, in order of ``ord``, as one text: number, title, source, beginning of the content."""
+    c = lambda *names: first_filled(*[F.col(n) for n in names if n in documents.columns])
+    title, content = c("translated_title", "title"), c("translated_content", "content", "translated_full_content", "full_content")
+    source = F.when(c("source_title", "source_name") == "", "unknown").otherwise(c("source_title", "source_name"))
+    shown = F.concat(F.lit("title: "), title, F.lit("\nsource: "), source, F.lit("\ncontent: "), F.substring(content, 1, 500), F.lit("\n"))
+    held = documents.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t")))).alias("d"))
+    numbered = F.transform("d", lambda x, i: F.concat(F.lit("[DOC "), (i + 1).cast("string"), F.lit("]\n"), x["t"]))
+    return held.select("batch_id", F.array_join(numbered, "\n").alias("prompt"))
 
 
 def profile_summary() -> Column:

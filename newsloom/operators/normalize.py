@@ -22,11 +22,13 @@ def column_or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def parsed_time(c: Column, now: Column) -> Column:
-    """Numbers are seconds, or milliseconds above 1e10; text is ISO; anything else is ``now``."""
-    text = c.cast("string")
+    """Numbers are seconds, or milliseconds above 1e10; text is ISO, UTC unless it says otherwise; anything else is ``now``."""
+    text = F.trim(c.cast("string"))
+    has_zone = text.rlike(r"[Zz]$|:\d{2}(\.\d+)? ?[+-]\d{2}(:?\d{2})?$")
+    zoned = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(has_zone, text).otherwise(F.concat(text, F.lit("Z")))
     number = text.try_cast("double")
     epoch = F.when(number > 1e10, number / 1000).otherwise(number)
-    return F.coalesce(F.timestamp_micros((epoch * 1_000_000).cast("long")), text.try_cast("timestamp"), now)
+    return F.coalesce(F.timestamp_micros((epoch * 1_000_000).cast("long")), zoned.try_cast("timestamp"), text.try_cast("timestamp"), now)
 
 
 def base_items(raw: DataFrame, now: Column) -> DataFrame:
@@ -47,7 +49,7 @@ def base_items(raw: DataFrame, now: Column) -> DataFrame:
         parsed_time(c("publish_time"), now).alias("published_at"),
         F.coalesce(c("source_lang"), c("language"), F.lit("unknown")).alias("language"),
         F.transform(F.coalesce(tags, F.array().cast("array<struct<type:string,name:string,symbol:string>>")), lambda t: first_filled(t["symbol"], t["name"])).alias("raw_tags"),
-        tags.alias("_tags"), *[F.col(x) for x in ("ord", "route", "feed_type") if x in raw.columns],
+        tags.alias("_tags"), *[F.col(x) for x in ("ord", "route", "feed_type", "embedding") if x in raw.columns],
     )
 
 
@@ -230,20 +232,28 @@ ITEM = [
 
 
 def normalize(raw: DataFrame, lexicon: Lexicon | None = None, now: Column | None = None) -> DataFrame:
-    """Items of raw rows, a row each; ``ord``, ``route`` and ``feed_type`` pass through if present."""
+    """Items of raw rows, a row each; ``ord``, ``route``, ``feed_type`` and ``embedding`` pass through if present."""
     lexicon = lexicon or Lexicon()
     items = with_event_type(with_entities(base_items(raw, now if now is not None else F.current_timestamp()), lexicon), lexicon)
     items = items.withColumn("credibility_score", credibility(F.col("source_type"))).withColumn("importance_score", importance())
-    return items.select(*ITEM, *[x for x in ("ord", "route", "feed_type") if x in raw.columns])
+    return items.select(*ITEM, *[x for x in ("ord", "route", "feed_type", "embedding") if x in raw.columns])
 
 
 def alias_hits(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(id, bucket, canonical, alias, in_title, in_body): docs against a lexicon table, for vocabularies too large for generated columns.
 
-    The lexicon is broadcast only below ``spark.sql.autoBroadcastJoinThreshold``, by Spark's own size check.
+    An alias with a-z or 0-9 is found by its first run of these, which is a whole
+    run of any text that has it: an equi-join on the distinct runs of the texts.
+    The others, few, are held against each text.
     """
     from ..functions.text import contains_column
 
+    run = "[a-z0-9]+"
+    lexicon = lexicon.withColumn("_run", F.regexp_extract(F.lower("alias"), run, 0))
     d = docs.select("id", F.lower("title").alias("_t"), F.lower("content").alias("_b"))
-    pairs = d.join(lexicon, contains_column(F.col("_t"), F.col("alias")) | contains_column(F.col("_b"), F.col("alias")))
-    return pairs.select("id", "bucket", "canonical", "alias", contains_column(F.col("_t"), F.col("alias")).alias("in_title"), contains_column(F.col("_b"), F.col("alias")).alias("in_body"))
+    runs = d.withColumn("_run", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "_t", "_b"), F.lit(f"({run})"), 1))))
+    latin = runs.join(lexicon.where("_run <> ''"), "_run").drop("_run")
+    other = d.join(lexicon.where("_run = ''").drop("_run"), F.contains(F.col("_t"), F.lower("alias")) | F.contains(F.col("_b"), F.lower("alias")))
+    pairs = latin.unionByName(other)
+    found = pairs.select("id", "bucket", "canonical", "alias", contains_column(F.col("_t"), F.col("alias")).alias("in_title"), contains_column(F.col("_b"), F.col("alias")).alias("in_body"))
+    return found.where("in_title or in_body")

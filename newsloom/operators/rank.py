@@ -17,6 +17,7 @@ WEIGHTS = {
 }
 LAMBDA = 0.78
 LOOK_BACK = 5
+MOST_PROFILES = 1000
 
 
 def _levels(weak: float, medium: float) -> Column:
@@ -46,9 +47,17 @@ def signals(clusters: DataFrame, now: Column) -> dict[str, Column]:
 
 
 def scored(clusters: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
-    """Clusters with ``signals`` and ``score`` for each profile; profiles without ``user_id`` in clusters meet all of them."""
-    on = [c for c in ("user_id",) if c in clusters.columns]
-    joined = clusters.join(profiles, on) if on else clusters.join(profiles)
+    """Clusters with ``signals`` and ``score`` for each profile.
+
+    Clusters with a ``user_id`` meet that user's profile.  Shared ones meet each
+    of at most ``MOST_PROFILES`` profiles, whose number is checked.
+    """
+    if "user_id" in clusters.columns:
+        joined = clusters.join(profiles, "user_id")
+    else:
+        if profiles.limit(MOST_PROFILES + 1).count() > MOST_PROFILES:
+            raise ValueError(f"more than {MOST_PROFILES} profiles need clusters with a user_id")
+        joined = clusters.crossJoin(F.broadcast(profiles))
     joined = joined.withColumn("signals", F.struct(*[s.alias(n) for n, s in signals(joined, now).items()]))
     score = F.lit(0.0)
     for name, share in WEIGHTS.items():

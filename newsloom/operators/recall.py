@@ -72,13 +72,26 @@ def pending(items: DataFrame, embeddings: DataFrame, key: str = "item_id") -> Da
 
 
 def similar(pool: DataFrame, query: list[float] | Column, vector: str = "embedding") -> DataFrame:
-    """The pool with ``semantic_match_score``, rounded to four places; 0 without a vector."""
+    """The pool with ``semantic_match_score``, rounded to four places; 0 without a vector. ``similarity`` keeps the unrounded one."""
     q = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
-    return pool.withColumn("semantic_match_score", F.round(cosine(F.col(vector), q), 4))
+    return pool.withColumn("similarity", cosine(F.col(vector), q)).withColumn("semantic_match_score", F.round("similarity", 4))
 
 
 def top_similar(pool: DataFrame, k: int, order: str = "ord") -> DataFrame:
-    return pool.orderBy(F.desc("semantic_match_score"), F.col(order)).limit(k)
+    return pool.orderBy(F.desc("similarity"), F.col(order)).limit(k)
+
+
+def supplemented(base: DataFrame, wider: DataFrame | None, query: list[float], k: int, vector: str = "embedding") -> DataFrame:
+    """``base`` with semantic scores, and the ``k`` items of the pool nearest to the query as one more route.
+
+    The pool is ``base`` and, behind it, ``wider``; both have ``ord`` and ``embedding``, and the first row of an id counts.
+    """
+    shift = 1_000_000_000
+    behind = [] if wider is None else [wider.withColumn("ord", F.col("ord") + shift)]
+    pool = similar(keep_first(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [base, *behind]), "id"), query, vector)
+    hits = top_similar(pool.where(F.col(vector).isNotNull()), k).withColumn("route", F.lit("semantic")).withColumn("ord", F.col("ord") + 2 * shift)
+    out = similar(base, query, vector).unionByName(hits, allowMissingColumns=True)
+    return out.drop(vector, "similarity")
 
 
 def pair_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -169,8 +169,52 @@ def lifecycle(qualified: DataFrame, existing: DataFrame, seen: DataFrame, run_id
 
 
 def in_status_order(rows: DataFrame) -> DataFrame:
+    """A snapshot by status, then score, hits, sources and mentions, the highest first."""
+    return rows.orderBy(*status_order())
+
+
+def status_order() -> list[Column]:
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status")), F.lit(0)), F.lit(9))
-    return rows.orderBy(place, F.desc("decayed_run_score"), F.desc("run_hits"), F.desc("total_mentions"), F.desc("max_doc_count"), "canonical_name")
+    return [place, *map(F.desc, ("decayed_run_score", "run_hits", "source_diversity", "total_mentions")), F.col("category"), F.col("canonical_name")]
+
+
+def in_score_order(rows: DataFrame) -> DataFrame:
+    """Promoted candidates by score, hits, sources, mentions and documents, the highest first."""
+    return rows.orderBy(*score_order())
+
+
+def score_order() -> list[Column]:
+    return [*map(F.desc, ("decayed_run_score", "run_hits", "source_diversity", "total_mentions", "max_doc_count")), F.col("category"), F.col("canonical_name")]
+
+
+def in_count_order(rows: DataFrame) -> DataFrame:
+    """Candidates by documents, then mentions, the highest first."""
+    return rows.orderBy(*count_order())
+
+
+def count_order() -> list[Column]:
+    return [F.desc("doc_count"), F.desc("mention_count"), F.col("category"), F.col("canonical_name")]
+
+
+def discovery_examples(mentions: DataFrame, known: DataFrame, min_mentions: int = 2, min_docs: int = 2, most: int = 10) -> DataFrame:
+    """(reason, category, canonical_name, count, doc_count, place): the commonest candidates that cleaning, the vocabulary or the thresholds filter."""
+    kept = sanitised(mentions)
+    new = new_only(kept, known)
+    keys = ["category", "canonical_name"]
+    left = kept.groupBy(*keys).agg(F.count("*").alias("_kept"))
+    every = mentions.groupBy(*keys).agg(F.count("*").alias("_all")).join(left, keys, "left")
+    cleaned = every.withColumn("count", F.col("_all") - F.coalesce("_kept", F.lit(0))).where(F.col("count") > 0)
+    existing = kept.join(known.select("category", "key").distinct(), ["category", "key"], "left_semi").groupBy("category", F.col("name").alias("canonical_name")).agg(F.count("*").alias("count"))
+    groups = new.groupBy("category", "key").agg(F.count("*").alias("count"), F.countDistinct(F.nullif(F.trim("evidence_title"), F.lit(""))).alias("doc_count"))
+    few = groups.where((F.col("count") < min_mentions) | (F.col("doc_count") < min_docs)).withColumnRenamed("key", "canonical_name")
+    none = F.lit(None).cast("long").alias("doc_count")
+    parts = [("cleaning", cleaned.select(*keys, "count", none), []), ("existing", existing.select(*keys, "count", none), []), ("threshold", few.select(*keys, "count", "doc_count"), ["doc_count"])]
+    out = []
+    for reason, rows, first in parts:
+        top = rows.orderBy(*[F.desc(c) for c in first], F.desc("count"), *keys).limit(most)
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*[F.desc(c) for c in first], F.desc("count"), *keys))
+        out.append(top.select(F.lit(reason).alias("reason"), *keys, "count", "doc_count", place.alias("place")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import jaccard
-from ..functions.text import title_tokens
+from ..functions.text import batch_prompt, title_tokens
 from ..operators import cluster, rank, recall, similarity, vocab
 from ..operators.normalize import alias_hits, normalize
 from ..sources.feeds import Cursor, TableFeed, first_of_each
+from ..sources import store
+from ..streaming import indexer
 from ..vocabulary import Lexicon
 from . import fixtures as fx
-from .feed import Session, step
+from .feed import NewsFeed, Session, step
 from .fixtures import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,12 +63,17 @@ def trending_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(_feed(spark, sf_dir).trending("hot_news", 20))
 
 
-@query("SELECT id, title, at_s FROM raw WHERE doc_id % 5 = 0 ORDER BY at_s DESC LIMIT 20", "raw")
+@query("SELECT id, title, at_s FROM raw WHERE doc_id % 5 = 0 AND kind = 'tag_information_feed' ORDER BY at_s DESC LIMIT 20", "raw")
 def project_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(_feed(spark, sf_dir).project("TAU", limit=20))
 
 
-@query("SELECT id, title, at_s FROM raw WHERE doc_id % 5 = 0 ORDER BY at_s DESC LIMIT 10", "raw")
+@query("SELECT id, title, at_s FROM raw WHERE doc_id % 5 = 0 AND kind = 'news' ORDER BY at_s DESC LIMIT 20", "raw")
+def project_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(_feed(spark, sf_dir).project("tau", "news"))
+
+
+@query("SELECT id, title, at_s FROM raw WHERE doc_id % 5 = 0 AND kind = 'opinions' ORDER BY at_s DESC LIMIT 10", "raw")
 def project_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(_feed(spark, sf_dir).opinions("tau", 10))
 
@@ -142,14 +149,37 @@ def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT id, arg_min(route, o) AS route FROM (
 SELECT id, 'latest' AS route, 0 AS o FROM (SELECT id FROM raw ORDER BY at_s DESC LIMIT 20) UNION ALL
 SELECT id, 'trending', 1 FROM (SELECT id FROM raw WHERE feed_type = 'hot_news' ORDER BY at_s DESC LIMIT 20) UNION ALL
-SELECT id, 'project', 2 FROM (SELECT id FROM raw WHERE doc_id % 5 = 0 ORDER BY at_s DESC LIMIT 10) UNION ALL
-SELECT id, 'interest', 3 FROM (SELECT id FROM (SELECT * FROM raw ORDER BY at_s DESC LIMIT 30) WHERE contains(lower(title), 'the') OR contains(lower(content), 'the') ORDER BY at_s DESC LIMIT 10)
-) GROUP BY id""", "raw")
+SELECT id, 'project', 2 FROM (SELECT id FROM raw WHERE doc_id % 5 = 0 AND kind = 'tag_information_feed' ORDER BY at_s DESC LIMIT 10) UNION ALL
+SELECT id, 'interest', 3 FROM (SELECT id FROM (SELECT * FROM raw ORDER BY at_s DESC LIMIT 30) WHERE contains(lower(title), 'the') OR contains(lower(content), 'the') ORDER BY at_s DESC LIMIT 10) UNION ALL
+SELECT id, 'semantic', 4 FROM hits12
+) GROUP BY id""", "hits12")
 def recall_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = _feed(spark, sf_dir)
-    makers = [("latest", lambda: feed.latest(20)), ("trending", lambda: feed.trending("hot_news", 20)), ("project", lambda: feed.project("tau", limit=10)), ("interest", lambda: feed.search("the", 10))]
-    rows = normalize(recall.routes(recall.attempted(makers)), fx.LEXICON, fx.now_of(spark, sf_dir)).withColumn("semantic_match_score", F.lit(0.0))
-    return recall.best_variant(rows).select("id", "route")
+    return _recalled(spark, sf_dir).select("id", "route")
+
+
+def _news(spark: SparkSession, sf_dir: str) -> NewsFeed:
+    """The feed over the fixture, with a stored vector for each of its items."""
+    class Vectors(NewsFeed):
+        def vector_of(self, items: DataFrame) -> DataFrame:
+            return items.join(fx.item_vectors(spark, sf_dir), "id", "left")
+
+    return Vectors(_feed(spark, sf_dir), fx.LEXICON, fx.now_of(spark, sf_dir))
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in fx.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()["embedding"]]
+
+
+def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = {"latest": 20, "trending": 20, "project": 10, "interest": 10, "pool": 30, "top_k": 12}
+    rows = _news(spark, sf_dir).recalled(["the"], ["tau"], _query_vector(spark, sf_dir), limits)
+    return rows.withColumn("route", F.split("route", ":")[0])
+
+
+@query("SELECT id, round(score, 4) AS semantic_match_score FROM pool WHERE id IN (SELECT id FROM hits12) OR base", "hits12")
+def semantic_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of all candidates: those of the other routes, and the pool's nearest to the query."""
+    return _recalled(spark, sf_dir).select("id", "semantic_match_score")
 
 
 _COSINE = """SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 4) AS semantic_match_score
@@ -284,7 +314,7 @@ def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = [(r["event_id"], tuple(r["ids"])) for r in order]
     session, out = Session("s", "p"), []
     for page in range(3):
-        session, ids, more = step(session, 2, lambda s, n: (events, False), float(page))
+        session, ids, more = step(session, 2, lambda s, n: (events, ""), float(page))
         out += [(page, i, e, more) for i, e in enumerate(ids)]
     return spark.createDataFrame(out, "page int, place int, event_id string, has_more boolean")
 
@@ -379,11 +409,99 @@ def newest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.newest_run(fx.run_candidates(spark, sf_dir)[1])
 
 
-def personal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: every day's clusters ranked and reranked for the fixture profile."""
+@query("""SELECT category, key AS canonical_name, row_number() OVER (ORDER BY doc_count DESC, mention_count DESC, category, key) AS place FROM candidates""", "candidates")
+def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vocab.aggregated(fx.mentions(spark, sf_dir), _known(spark))
+    return rows.select("category", "canonical_name", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*vocab.count_order())).cast("long").alias("place"))
+
+
+@query("""SELECT category, name AS key, array_to_string(list_sort(list(DISTINCT title))[1:5], '|') AS titles, array_to_string(list_sort(list(DISTINCT source))[1:8], '|') AS sources
+FROM mentions WHERE (category, name) IN (SELECT category, key FROM candidates) GROUP BY ALL""", "mentions", "candidates")
+def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vocab.aggregated(fx.mentions(spark, sf_dir), _known(spark))
+    return rows.select("category", "key", F.array_join("evidence_titles", "|").alias("titles"), F.array_join("source_names", "|").alias("sources"))
+
+
+_PLACED = """row_number() OVER (ORDER BY round(decay, 4) DESC, run_hits DESC, source_diversity DESC, total_mentions DESC, max_doc_count DESC, category, canonical_name)"""
+
+
+@query(f"SELECT category, canonical_name, {_PLACED} AS place FROM promoted", "promoted")
+def promoted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*vocab.score_order())).cast("long")
+    return vocab.promoted(_recent(spark, sf_dir)).select("category", "canonical_name", place.alias("place"))
+
+
+@query("""SELECT * FROM (
+SELECT 'cleaning' AS reason, category, name AS canonical_name, n AS count, NULL::BIGINT AS doc_count, row_number() OVER (ORDER BY n DESC, category, name) AS place
+  FROM (SELECT category, name, count(*) AS n FROM odd WHERE noise GROUP BY ALL) UNION ALL
+SELECT 'existing', category, title, n, NULL, row_number() OVER (ORDER BY n DESC, category, title) FROM (SELECT category, 'name 3' AS title, count(*) AS n FROM odd WHERE name = 'name 3' GROUP BY ALL) UNION ALL
+SELECT 'threshold', category, key, n, d, row_number() OVER (ORDER BY d DESC, n DESC, category, key) FROM (
+  SELECT category, key, count(*) AS n, count(DISTINCT title) AS d FROM odd WHERE NOT noise AND name <> 'name 3' GROUP BY ALL) WHERE n < 40 OR d < 40) WHERE place <= 10""", "odd")
+def discovery_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.discovery_examples(fx.odd_mentions(spark, sf_dir), _odd_known(spark), 40, 40).select("reason", "category", "canonical_name", "count", "doc_count", F.col("place").cast("long").alias("place"))
+
+
+def _odd_known(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, "name 3") for c in ("project", "token", "topic", "event_keyword")], "category string, key string")
+
+
+@query("""SELECT category, key, count(*) AS mention_count, count(DISTINCT title) AS doc_count FROM odd WHERE NOT noise AND name <> 'name 3' GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT title) >= 2""", "odd")
+def noisy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up of mentions with noise, names of the vocabulary, suffixes and rewrites."""
+    return vocab.aggregated(fx.odd_mentions(spark, sf_dir), _odd_known(spark)).select("category", "key", "mention_count", "doc_count")
+
+
+@query("SELECT batch_id, count(*) AS n_docs, md5(string_agg(chunk, chr(10) ORDER BY ord)) AS prompt_md5 FROM (SELECT *, '[DOC ' || row_number() OVER (PARTITION BY batch_id ORDER BY ord) || ']' || chr(10) || 'title: ' || title || chr(10) || 'source: ' || source_name || chr(10) || 'content: ' || substr(content, 1, 500) || chr(10) AS chunk FROM (SELECT *, doc_id // 12 AS batch_id FROM raw)) GROUP BY batch_id", "raw")
+def batch_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.raw_feed(spark, sf_dir).withColumn("batch_id", F.floor(F.col("ord") / 12).cast("long"))
+    n = rows.groupBy("batch_id").agg(F.count("*").alias("n_docs"))
+    return batch_prompt(rows).join(n, "batch_id").select("batch_id", "n_docs", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+@query("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS item_id, md5(text) AS item_hash FROM documents")
+def indexer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector index that a stream over the documents fills."""
+    shape = fx.table(spark, sf_dir, "documents").schema
+    rows = spark.readStream.schema(shape).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    items = rows.select(
+        F.col("doc_id").cast("string").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("item_hash"), F.lit("m").alias("model"),
+        F.timestamp_seconds(F.lit(fx.EPOCH)).alias("published_at"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("source_name"), "n_chars",
+    )
+    path = store.scratch(spark, "vectors")
+    embed = lambda df: df.withColumn("embedding", F.array(F.col("n_chars").cast("float")))
+    indexer.index_stream(items, embed, path, store.scratch(spark, "indexer")).awaitTermination()
+    return store.vectors(spark, path).select("item_id", "item_hash")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS page, CAST(event_id AS VARCHAR) AS events, false AS has_more FROM events""")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a stream of requests, one for each event, that offers it and what was offered with the one before."""
+    shape = fx.table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    asked = rows.select(F.col("user_id").cast("string").alias("user_id"), (F.lit(fx.EPOCH * 1000) + F.col("event_id")).alias("at"), F.lit(1).alias("most"), F.array(F.col("event_id").cast("string"), F.col("event_id").cast("string")).alias("offered"))
+    path = store.scratch(spark, "pages")
+    pages = indexer.session_stream(asked, ttl_ms=1 << 36)
+    pages.writeStream.format("parquet").option("path", path).option("checkpointLocation", store.scratch(spark, "sessions")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return store.table_or_empty(spark, path, indexer.SESSION_OUT).select("user_id", "page", F.array_join("events", "|").alias("events"), "has_more")
+
+
+def daily_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's clusters ranked and reranked for the fixture profile."""
     rows = _ranked(spark, sf_dir)
     order = rank.rerank(rows).select("user_id", "event_id", "rank")
     return rows.join(order, ["user_id", "event_id"]).select("user_id", "rank", "raw_rank", "event_id", "title", "event_type", "score", "n_items")
 
 
-QUERIES["personal_feed"] = personal_feed
+def personal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: the first pages of the fixture profile's feed, from recall over clusters, ranking and the session."""
+    feed, vector, cursor, out = _news(spark, sf_dir), _query_vector(spark, sf_dir), None, []
+    for page in range(3):
+        answer = feed.personal_feed(fx.profiles(spark), 5, cursor, query_vector=vector)
+        out += [(page, i, c["event_id"], c["title"], c["event_type"], float(c["score"]), c["n_items"], answer["has_more"]) for i, c in enumerate(answer["clusters"])]
+        cursor = answer["next_cursor"]
+        if not cursor:
+            break
+    return spark.createDataFrame(out, "page int, place int, event_id string, title string, event_type string, score double, n_items long, has_more boolean")
+
+
+QUERIES |= {"daily_ranking": daily_ranking, "personal_feed": personal_feed}

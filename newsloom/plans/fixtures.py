@@ -24,6 +24,7 @@ LEXICON = Lexicon(
     boosts={},
 )
 PROFILE = {"user_id": "u1", "interests": ["Alpha", "Origin", "With"], "followed_projects": ["Beta"], "muted_topics": ["State"]}
+KINDS = ("tag_information_feed", "tag_discussion_feed", "news", "key_events", "opinions")
 CATEGORY = {"click": "project", "view": "token", "purchase": "topic", "signup": "event_keyword"}
 
 
@@ -51,6 +52,7 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, ("official", "media", "twitter", "other"))), (i % 4 + 1).cast("int")).alias("source_name"),
         F.col("source").alias("source_title"), F.col("lang").alias("language"), at.alias("published_at"), (EPOCH + i * STEP).cast("string").alias("publish_time"),
         F.when(i % 2 == 0, "hot_news").otherwise("pop_info").alias("feed_type"),
+        F.element_at(F.array(*map(F.lit, KINDS)), (F.floor(i / 5) % 5 + 1).cast("int")).alias("kind"),
         F.when(i % 5 == 0, tag("token")).when(i % 5 == 1, tag("other")).otherwise(F.slice(tag("none"), 1, 0)).alias("tags"), i.alias("ord"),
     )
 
@@ -60,6 +62,14 @@ def now_of(spark: SparkSession, sf_dir: str):
     return F.timestamp_seconds(F.lit(EPOCH + STEP * (table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0)))
 
 
+def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding): a stored vector for each document, the vectors dealt out in turn."""
+    v = table(spark, sf_dir, "embeddings")
+    n = v.count()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % n).alias("vec_id"))
+    return docs.join(v.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     p = PROFILE
     row = (p["user_id"], p["interests"], p["muted_topics"], ["en"], p["followed_projects"], [], "medium")
@@ -92,6 +102,17 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of which some are noise or empty, and some have suffixes and words that cleaning takes off."""
+    n = F.col("user_id") % 25
+    name = F.when(n == 0, "skill").when(n == 1, "  ").when(n == 2, F.concat(F.lit("Name 2 "), F.when(_category() == "event_keyword", "incident").otherwise("account"))).otherwise(F.concat(F.lit("name "), n.cast("string")))
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.floor(F.col("event_id") / 12).cast("long").alias("batch_id"), F.col("event_id").alias("ord"), _category().alias("category"), name.alias("canonical_name"),
+        F.array().cast("array<string>").alias("aliases"), F.col("props").alias("evidence_title"), (F.col("user_id") % 7).cast("string").alias("evidence_source"),
+    )
+
+
 def run_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(candidates, runs): one run for each day of events."""
     e = table(spark, sf_dir, "events").withColumn("day", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).cast("long"))
@@ -120,7 +141,8 @@ def _any(text: str, words) -> str:
 SQL = {
     "raw": f"""SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, doc_id AS ord, substr(text, 1, 60) AS title, text AS content,
         ['official', 'media', 'twitter', 'other'][CAST(doc_id % 4 + 1 AS INTEGER)] AS source_type, source AS source_name, lang AS language,
-        {EPOCH} + doc_id * {STEP} AS at_s, CASE WHEN doc_id % 2 = 0 THEN 'hot_news' ELSE 'pop_info' END AS feed_type FROM documents""",
+        {EPOCH} + doc_id * {STEP} AS at_s, CASE WHEN doc_id % 2 = 0 THEN 'hot_news' ELSE 'pop_info' END AS feed_type,
+        [{", ".join(f"'{k}'" for k in KINDS)}][CAST(doc_id // 5 % 5 + 1 AS INTEGER)] AS kind FROM documents""",
     "lex": f"SELECT * FROM (VALUES {_values(LEXICON.rows())}) t(bucket, canonical, alias, co, ao)",
     "hits": f"""SELECT * FROM (SELECT r.id, l.bucket, l.canonical, l.alias, {_HIT.format("r.title", "l.alias")} AS in_title, {_HIT.format("r.content", "l.alias")} AS in_body
         FROM raw r, lex l) WHERE in_title OR in_body""",
@@ -165,6 +187,19 @@ SQL = {
         FROM (SELECT *, ((SELECT max(at_s) FROM raw) - last_at) / 3600.0 AS h FROM clusters) c""",
     "mentions": """SELECT event_id // 12 AS batch_id, event_id AS ord, CASE event_type WHEN 'click' THEN 'project' WHEN 'view' THEN 'token' WHEN 'purchase' THEN 'topic' WHEN 'signup' THEN 'event_keyword' ELSE 'topic' END AS category,
         'name ' || (user_id % 25) AS name, props AS title, CAST(user_id % 7 AS VARCHAR) AS source, 'alias ' || (user_id % 3) AS alias FROM events""",
+    "odd": """SELECT *, CASE WHEN n = 2 AND category IN ('project', 'event_keyword') THEN 'name 2' ELSE lower(name) END AS key, name = '  ' OR (name = 'skill' AND category <> 'token') AS noise
+        FROM (SELECT m.* EXCLUDE (name), n, CASE n WHEN 0 THEN 'skill' WHEN 1 THEN '  ' WHEN 2 THEN 'Name 2 ' || CASE WHEN category = 'event_keyword' THEN 'incident' ELSE 'account' END ELSE 'name ' || n END AS name
+        FROM (SELECT *, CAST(substr(name, 6) AS INTEGER) AS n FROM mentions) m)""",
+    "pool": """SELECT id, min(o) AS o, bool_or(o < 1000000000) AS base, max(score) AS score FROM (
+        SELECT id, row_number() OVER (ORDER BY at_s DESC) AS o FROM (SELECT * FROM raw ORDER BY at_s DESC LIMIT 20) UNION ALL
+        SELECT id, 1000000 + row_number() OVER (ORDER BY at_s DESC) FROM (SELECT * FROM raw WHERE feed_type = 'hot_news' ORDER BY at_s DESC LIMIT 20) UNION ALL
+        SELECT id, 2000000 + row_number() OVER (ORDER BY at_s DESC) FROM (SELECT * FROM raw WHERE doc_id % 5 = 0 AND kind = 'tag_information_feed' ORDER BY at_s DESC LIMIT 10) UNION ALL
+        SELECT id, 3000000 + row_number() OVER (ORDER BY at_s DESC) FROM (SELECT * FROM (SELECT * FROM raw ORDER BY at_s DESC LIMIT 30) WHERE contains(lower(title), 'the') OR contains(lower(content), 'the') ORDER BY at_s DESC LIMIT 10) UNION ALL
+        SELECT id, 1000000000 + row_number() OVER (ORDER BY at_s DESC) FROM (SELECT * FROM raw ORDER BY at_s DESC LIMIT 30) UNION ALL
+        SELECT id, 1001000000 + row_number() OVER (ORDER BY at_s DESC) FROM (SELECT * FROM raw WHERE feed_type = 'hot_news' ORDER BY at_s DESC LIMIT 30))
+        JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, list_cosine_similarity(v.embedding::DOUBLE[], q.e) AS score FROM documents, (SELECT count(*) AS n FROM embeddings) c,
+          (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) q, embeddings v WHERE v.vec_id = doc_id % c.n) USING (id) GROUP BY id""",
+    "hits12": "SELECT id FROM pool ORDER BY score DESC, o LIMIT 12",
     "candidates": """SELECT category, name AS key, count(*) AS mention_count, count(DISTINCT title) AS doc_count, count(DISTINCT source) AS sources
         FROM mentions GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT title) >= 2""",
     "runs": "SELECT DISTINCT epoch(ts)::BIGINT // 86400 AS run_id FROM events",
@@ -179,7 +214,7 @@ SQL = {
 _NEEDS = {
     "hits": ["raw", "lex"], "ent": ["hits"], "conf": ["ent"], "flags": ["conf"], "points": ["flags"], "scored": ["points"], "typed": ["scored"], "items": ["typed"],
     "weights": ["conf"], "tokens": ["raw"], "clusters": ["items"], "terms": ["items"], "signals": ["clusters", "terms"], "candidates": ["mentions"],
-    "recent": ["runs", "run_candidates"], "promoted": ["recent"],
+    "recent": ["runs", "run_candidates"], "promoted": ["recent"], "odd": ["mentions"], "pool": ["raw"], "hits12": ["pool"],
 }
 
 

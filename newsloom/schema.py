@@ -15,7 +15,10 @@ MENTION = "batch_id long, ord long, category string, canonical_name string, alia
 DECISION = (
     "source_id string, action string, final_category string, final_canonical_name string, final_aliases array<string>, reason string"
 )
-DISCOVERY_RUN = "run_id long, created_at timestamp, model string, doc_count long"
+DISCOVERY_RUN = (
+    "run_id long, created_at timestamp, model string, latest_limit long, trending_limit long, batch_size long, min_mentions long, "
+    "min_docs long, doc_count long, candidate_count long, token string"
+)
 DISCOVERY_CANDIDATE = (
     "run_id long, category string, canonical_name string, mention_count long, doc_count long, aliases array<string>, "
     "evidence_titles array<string>, source_names array<string>"

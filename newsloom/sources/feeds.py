@@ -19,7 +19,8 @@ from ..functions.text import first_filled
 MOST_ITEMS = 30
 MOST_TOPICS = 10
 TRENDING = ("hot_news", "pop_info")
-PROJECT_FEEDS = ("tag_information_feed", "hot_news", "pop_info", "opinions")
+PROJECT_FEEDS = ("tag_discussion_feed", "tag_information_feed", "news", "key_events")
+OPINIONS = "opinions"
 PAGE_DEFAULTS = {"cursor": "", "next_cursor": "", "last_cursor": "", "has_more": False, "has_next": False}
 
 
@@ -34,12 +35,30 @@ class Cursor:
     at: datetime
     id: str
 
+    def __str__(self) -> str:
+        return f"{self.at.isoformat()}|{self.id}"
+
+    @classmethod
+    def of(cls, value: Cursor | str | None) -> Cursor | None:
+        """The cursor that a page's text names; none for none or an empty text."""
+        if not value or isinstance(value, Cursor):
+            return value or None
+        at, bar, key = value.partition("|")
+        try:
+            return cls(datetime.fromisoformat(at), key) if bar else cls._bad(value)
+        except ValueError:
+            return cls._bad(value)
+
+    @staticmethod
+    def _bad(value: str) -> Cursor:
+        raise SourceError(f"not a cursor: {value!r}")
+
 
 class Feed(Protocol):
-    def latest(self, limit: int = 20, cursor: Cursor | None = None, no_tag: bool = False, only_important: bool = False) -> DataFrame: ...
+    def latest(self, limit: int = 20, cursor: Cursor | str | None = None, no_tag: bool = False, only_important: bool = False) -> DataFrame: ...
     def trending(self, feed_type: str, limit: int = 20) -> DataFrame: ...
-    def project(self, symbol: str, feed_type: str, limit: int = 20, cursor: Cursor | None = None) -> DataFrame: ...
-    def opinions(self, symbol: str, limit: int = 20, cursor: Cursor | None = None) -> DataFrame: ...
+    def project(self, symbol: str, feed_type: str, limit: int = 20, cursor: Cursor | str | None = None) -> DataFrame: ...
+    def opinions(self, symbol: str, limit: int = 20, cursor: Cursor | str | None = None) -> DataFrame: ...
     def topics(self, limit: int = 10) -> DataFrame: ...
     def search(self, query: str, limit: int = 20) -> DataFrame: ...
 
@@ -65,8 +84,9 @@ def bounded(limit: int, most: int = MOST_ITEMS) -> int:
     return max(0, min(limit, most))
 
 
-def after(cursor: Cursor | None, at: str = "published_at", key: str = "id") -> Column:
+def after(cursor: Cursor | str | None, at: str = "published_at", key: str = "id") -> Column:
     """Rows that come after the cursor in newest-first order."""
+    cursor = Cursor.of(cursor)
     if cursor is None:
         return F.lit(True)
     t = F.lit(cursor.at)
@@ -83,34 +103,46 @@ def has_symbol(symbol: str) -> Column:
 
 @dataclass
 class TableFeed:
-    """A feed over raw items with ``published_at`` and, for typed feeds, ``feed_type``; topic days as nested rows."""
+    """A feed over raw items with ``published_at``; topic days as nested rows.
+
+    ``feed_type`` names the trending feed of an item and ``kind`` its place in
+    project feeds, one of ``PROJECT_FEEDS`` or ``opinions``.  A call that needs a
+    column the items lack fails, as it could not be answered.
+    """
 
     items: DataFrame
     topic_days: DataFrame | None = None
 
-    def latest(self, limit: int = 20, cursor: Cursor | None = None, no_tag: bool = False, only_important: bool = False) -> DataFrame:
+    def latest(self, limit: int = 20, cursor: Cursor | str | None = None, no_tag: bool = False, only_important: bool = False) -> DataFrame:
         rows = self.items.where(after(cursor))
         if no_tag:
             rows = rows.where(F.coalesce(F.size("tags"), F.lit(0)) <= 0)
-        if only_important and "important" in rows.columns:
-            rows = rows.where("important")
+        if only_important:
+            rows = self._having(rows, "important").where("important")
         return newest(rows, bounded(limit))
 
     def trending(self, feed_type: str, limit: int = 20) -> DataFrame:
         if feed_type not in TRENDING:
             raise ValueError(f"feed_type must be one of {TRENDING}")
-        return newest(self.items.where(F.col("feed_type") == feed_type), bounded(limit))
+        return newest(self._having(self.items, "feed_type").where(F.col("feed_type") == feed_type), bounded(limit))
 
-    def project(self, symbol: str, feed_type: str = "tag_information_feed", limit: int = 20, cursor: Cursor | None = None) -> DataFrame:
+    def project(self, symbol: str, feed_type: str = "tag_information_feed", limit: int = 20, cursor: Cursor | str | None = None) -> DataFrame:
         if feed_type not in PROJECT_FEEDS:
             raise ValueError(f"feed_type must be one of {PROJECT_FEEDS}")
-        rows = self.items.where(has_symbol(symbol) & after(cursor))
-        if feed_type in TRENDING:
-            rows = rows.where(F.col("feed_type") == feed_type)
+        return self._of_project(symbol, feed_type, limit, cursor)
+
+    def opinions(self, symbol: str, limit: int = 20, cursor: Cursor | str | None = None) -> DataFrame:
+        return self._of_project(symbol, OPINIONS, limit, cursor)
+
+    def _of_project(self, symbol: str, kind: str, limit: int, cursor: Cursor | str | None) -> DataFrame:
+        rows = self._having(self.items, "kind").where((F.col("kind") == kind) & has_symbol(symbol) & after(cursor))
         return newest(rows, bounded(limit))
 
-    def opinions(self, symbol: str, limit: int = 20, cursor: Cursor | None = None) -> DataFrame:
-        return newest(self.items.where(has_symbol(symbol) & after(cursor)), bounded(limit))
+    @staticmethod
+    def _having(rows: DataFrame, name: str) -> DataFrame:
+        if name not in rows.columns:
+            raise SourceError(f"the items have no column {name}")
+        return rows
 
     def topics(self, limit: int = MOST_TOPICS) -> DataFrame:
         if self.topic_days is None:
@@ -161,7 +193,7 @@ def chunked(rows: DataFrame, size: int, *order: Column) -> DataFrame:
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The Parquet table at ``path``; empty with the schema where there is none. Missing columns are null."""
+    """The Parquet table at ``path``; empty with the schema where there is none. Missing columns have their defaults, else null."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -169,5 +201,14 @@ def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException:
         return spark.createDataFrame([], schema)
     fields = spark.createDataFrame([], schema).schema
-    return found.select(*[F.col(f.name).cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    return found.select(*[F.col(f.name).cast(f.dataType) if f.name in found.columns else _default(f.name, f.dataType) for f in fields])
+
+
+#: What columns added later hold in rows written before. Fixed values.
+DEFAULTS = {"source_names": F.array, "status": "active", "stale_cycles": 0, "last_evaluated_run_id": 0, "last_qualified_run_id": 0}
+
+
+def _default(name: str, kind) -> Column:
+    value = DEFAULTS.get(name)
+    return (value() if callable(value) else F.lit(value)).cast(kind).alias(name)
 

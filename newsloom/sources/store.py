@@ -6,15 +6,29 @@ reader sees a whole version and a lost executor leaves the old one intact.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.recall import latest_vectors
-from ..operators.vocab import export_document
+from ..operators.vocab import STATUS_ORDER, export_document, in_count_order, in_status_order, status_counts
 from ..schema import DISCOVERY_CANDIDATE, DISCOVERY_RUN, EMBEDDING, PROMOTED
+from ..vocabulary import Lexicon
 from .feeds import table_or_empty
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a local master may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="newsloom-")
+    return f"{root.rstrip('/')}/newsloom/{name}-{uuid.uuid4().hex}"
+
+
 def append_vectors(new: DataFrame, path: str) -> None:
     """Vectors by (item, hash, model): rows not yet stored are appended; readers take the last written."""
     stored = table_or_empty(new.sparkSession, path, EMBEDDING)
@@ -25,23 +39,43 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return latest_vectors(table_or_empty(spark, path, EMBEDDING))
 
 
-def append_run(candidates: DataFrame, root: str, model: str, doc_count: int) -> int:
-    """A discovery run and its candidates, partitioned by run; the new run's id is one more than the largest."""
+RUN_SETTINGS = ("latest_limit", "trending_limit", "batch_size", "min_mentions", "min_docs", "doc_count")
+
+
+def append_run(candidates: DataFrame, root: str, model: str, doc_count: int, **settings: int) -> int:
+    """A discovery run with its settings and candidates, partitioned by run; returns its id.
+
+    The run row is written first and claims the id: of two writers with the same
+    id the one whose claim names the smaller token keeps it, the other takes the
+    next.  A run that fails before its candidates are written is one without any.
+    """
     spark = candidates.sparkSession
-    runs = table_or_empty(spark, f"{root}/runs", DISCOVERY_RUN)
-    run_id = (runs.agg(F.max("run_id")).first()[0] or 0) + 1
+    counted = candidates.count()
+    values = {**{k: settings.get(k) for k in RUN_SETTINGS}, "doc_count": doc_count, "candidate_count": counted}
+    while True:
+        run_id, token = (runs(spark, root).agg(F.max("run_id")).first()[0] or 0) + 1, uuid.uuid4().hex
+        row = [F.lit(run_id).cast("long").alias("run_id"), F.current_timestamp().alias("created_at"), F.lit(model).alias("model"), *[F.lit(v).cast("long").alias(k) for k, v in values.items()], F.lit(token).alias("token")]
+        spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(f"{root}/runs")
+        if claims(spark, root).where(F.col("run_id") == run_id).agg(F.min("token")).first()[0] == token:
+            break
     rows = candidates.select("category", "canonical_name", "mention_count", "doc_count", "aliases", "evidence_titles", "source_names")
     rows.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("append").partitionBy("run_id").parquet(f"{root}/candidates")
-    spark.range(1).select(F.lit(run_id).cast("long").alias("run_id"), F.current_timestamp().alias("created_at"), F.lit(model).alias("model"), F.lit(doc_count).cast("long").alias("doc_count")).write.mode("append").parquet(f"{root}/runs")
     return run_id
 
 
+def claims(spark: SparkSession, root: str) -> DataFrame:
+    return table_or_empty(spark, f"{root}/runs", DISCOVERY_RUN)
+
+
 def run_candidates(spark: SparkSession, root: str) -> DataFrame:
     return table_or_empty(spark, f"{root}/candidates", DISCOVERY_CANDIDATE)
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    return table_or_empty(spark, f"{root}/runs", DISCOVERY_RUN)
+    """Runs, one row for each id: the claim that kept it."""
+    rows = claims(spark, root)
+    rest = [c for c in rows.columns if c != "run_id"]
+    return rows.groupBy("run_id").agg(F.min_by(F.struct(*rest), F.coalesce("token", F.lit(""))).alias("r")).select("run_id", "r.*").drop("token")
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -79,3 +113,48 @@ def export_vocabulary(promoted: DataFrame, path: str) -> None:
 def report(df: DataFrame) -> str:
     """A one-row summary as JSON text."""
     return df.limit(1).toJSON().first() or "{}"
+
+
+def discovery_report(meta: dict, candidates: DataFrame, debug: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row ``value``: the run's settings and candidates as a JSON object, with debug tables if given."""
+    parts = {"meta": _object(candidates.sparkSession, meta), "candidates": _listed(in_count_order(candidates))}
+    if debug:
+        parts["debug"] = _nested({k: _listed(v) for k, v in debug.items()})
+    return _nested(parts)
+
+
+def promotion_report(meta: dict, promoted: DataFrame) -> DataFrame:
+    """One row ``value``: settings, counts by status, and the snapshot in its order as a JSON object."""
+    counts = {r["status"]: r["n"] for r in status_counts(promoted).collect()}
+    meta = {**meta, **{f"{s}_count": counts.get(s, 0) for s in STATUS_ORDER}}
+    return _nested({"meta": _object(promoted.sparkSession, meta), "promoted_candidates": _listed(in_status_order(promoted))})
+
+
+def _object(spark: SparkSession, values: dict) -> DataFrame:
+    return spark.range(1).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in values.items()])).alias("value"))
+
+
+def _listed(ordered: DataFrame) -> DataFrame:
+    """One row ``value``: the rows, in their order, as a JSON array. Reports are of vocabularies, which fit a row."""
+    rows = ordered.select(F.monotonically_increasing_id().alias("o"), F.struct(*ordered.columns).alias("r"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("o", F.to_json("r").alias("j")))), lambda x: x["j"])
+    return rows.agg(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("value"))
+
+
+def _nested(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row ``value``: a JSON object of one-row JSON values."""
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.concat(F.lit(f'"{name}":'), "value").alias(f"v_{name}"))
+        out = one if out is None else out.crossJoin(one)
+    return out.select(F.concat(F.lit("{"), F.concat_ws(",", *out.columns), F.lit("}")).alias("value"))
+
+
+def vocabulary_rows(lexicon: Lexicon, promoted: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """(category, canonical_name, aliases, status): the built-in vocabulary, and the promoted entries that are active or cooling."""
+    kinds = {"project": lexicon.projects, "token": lexicon.tokens, "topic": lexicon.topics}
+    built_in = [(c, name, list(aliases), "builtin") for c, names in kinds.items() for name, aliases in names.items()]
+    rows = spark.createDataFrame(built_in, "category string, canonical_name string, aliases array<string>, status string")
+    if promoted is None:
+        return rows
+    return rows.unionByName(promoted.where(F.col("status").isin("active", "cooling")).select(*rows.columns))

@@ -36,10 +36,15 @@ def session_stream(requests: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
 
     State per user: delivered and pending event ids and the time of the last
     request (``at``, in milliseconds); a request more than ``ttl_ms`` later
-    begins anew.
+    begins anew.  The state of a user without a request for that long is removed
+    as the watermark, ``ttl_ms`` behind the newest request, passes it; requests
+    from before the watermark are too late and dropped.
     """
 
     def serve(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = json.loads(state.get[0]) if state.exists else {"delivered": [], "pending": [], "page": 0, "at": None}
         rows = []
         requests_now = pd.concat(list(frames)).sort_values("at")
@@ -54,9 +59,13 @@ def session_stream(requests: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
             rows.append((key[0], held["page"], page, bool(held["pending"])))
             held["page"] += 1
         state.update((json.dumps(held),))
+        if ttl_ms > 0:
+            state.setTimeoutTimestamp(held["at"] + ttl_ms)
         yield pd.DataFrame(rows, columns=["user_id", "page", "events", "has_more"])
 
-    return requests.groupBy("user_id").applyInPandasWithState(serve, SESSION_OUT, SESSION_STATE, "append", "NoTimeout")
+    if ttl_ms > 0:
+        requests = requests.withColumn("_at", F.timestamp_millis(F.col("at"))).withWatermark("_at", f"{ttl_ms} milliseconds")
+    return requests.groupBy("user_id").applyInPandasWithState(serve, SESSION_OUT, SESSION_STATE, "append", "EventTimeTimeout" if ttl_ms > 0 else "NoTimeout")
 
 
 def replay(source: DataFrame, name: str, checkpoint: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as tx
 from newsloom.operators import cluster, rank, vocab
 from newsloom.operators.normalize import normalize
-from newsloom.plans.feed import NewsFeed, Session, expired, fill_limits, step
+from newsloom.plans.feed import Session, expired, fill_limits, step
 from newsloom.schema import PROFILE, PROMOTED, RAW_ITEM
 from newsloom.sources import store
 from newsloom.sources.feeds import SourceError, TableFeed, filled_meta, page_meta, unwrapped
@@ -102,7 +102,7 @@ def test_sessions():
     events = [(f"e{i}", (f"i{i}",)) for i in range(7)]
     session, seen, more = Session("s", "p"), [], True
     while more:
-        session, page, more = step(session, 3, lambda s, n: (events, False), 0.0)
+        session, page, more = step(session, 3, lambda s, n: (events, ""), 0.0)
         assert not set(page) & set(seen)
         seen += page
         if not page:
@@ -112,17 +112,6 @@ def test_sessions():
     assert fill_limits(20) == {"latest": 20, "trending": 20, "interest": 10, "project": 10, "pool": 40, "top_k": 12}
 
 
-def test_personal_feed_pages(spark):
-    from newsloom.plans import fixtures as fx
-
-    sf = "/root/testdata/sf0.001"
-    feed = NewsFeed(TableFeed(fx.raw_feed(spark, sf)), fx.LEXICON, fx.now_of(spark, sf))
-    first = feed.personal_feed(fx.profiles(spark), most=2)
-    assert len(first["events"]) == 2 and first["has_more"]
-    second = feed.personal_feed(fx.profiles(spark), most=2, cursor=first["next_cursor"])
-    assert not set(first["events"]) & set(second["events"])
-
-
 def test_arguments_and_meta(spark):
     feed = TableFeed(raw(spark).withColumn("published_at", F.lit(NOW)).withColumn("feed_type", F.lit("")))
     with pytest.raises(ValueError):
