@@ -36,6 +36,7 @@ class Settings:
     filters: int = 8
     train_docs: int = 2000
     epochs: int = 8
+    least_windows: int = 60_000  # shown in training; a small sample is gone through again
     rate: float = 0.01
     batch: int = 128
     seed: int = 7
@@ -117,8 +118,10 @@ def fit(samples: list[tuple[str, bytes]], settings: Settings = Settings()) -> Mo
         m = {k: np.zeros_like(v) for k, v in params.items()}
         v = {k: np.zeros_like(v) for k, v in params.items()}
         positions, step = s.window - wide + 1, 0
-        for epoch in range(s.epochs):
-            order = rng.permutation(np.flatnonzero(whole | (first % s.epochs == epoch)))
+        shown = sum(int((whole | (first % s.epochs == e)).sum()) for e in range(s.epochs))
+        epochs = s.epochs * max(1, min(32, s.least_windows // max(1, shown)))
+        for epoch in range(epochs):
+            order = rng.permutation(np.flatnonzero(whole | (first % s.epochs == epoch % s.epochs)))
             for i in range(0, len(order), s.batch):
                 at = order[i : i + s.batch]
                 n = len(at)
@@ -147,7 +150,7 @@ def fit(samples: list[tuple[str, bytes]], settings: Settings = Settings()) -> Mo
                 ge[0] = 0
                 grad["e"] = ge
                 step += 1
-                rate = s.rate * (1 - 0.9 * epoch / s.epochs)
+                rate = s.rate * (1 - 0.9 * epoch / epochs)
                 for k, g in grad.items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
