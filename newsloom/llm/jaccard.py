@@ -62,12 +62,12 @@ _TABLE = byte_table(separators=SEPARATORS)
 _NONE = -(1 << 63)  # stands for a null id inside
 
 FREQUENT = 1 << 17
-LEAST_BITS, MOST_BITS = 1 << 6, 1 << 16
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 16
 WIDE = 8
 BLOCK = 512
-FIRST_PARTNERS, PARTNERS = 4, 16
+FIRST_PARTNERS, PARTNERS = 4, 4
 NARROW_ROUNDS, MORE = 2, 8
-ROUND_STEPS = 2
+FIRST_STEPS, ROUND_STEPS = 4, 2
 NOWHERE = 1 << 62  # a size beyond all
 SPREAD = 16
 CHUNK = 512
@@ -130,7 +130,7 @@ def keys_of(owners: np.ndarray, hashes: np.ndarray, texts: int, clash: np.ndarra
 
 def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray, times: int = 1) -> list[bytes]:
     """For each text the parity of its n-grams by class, packed; ``times`` about as many classes as n-grams, a power of two."""
-    bits = np.clip(times * 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, times * MOST_BITS)
+    bits = np.clip(times * 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), min(times, 4) * LEAST_BITS, times * MOST_BITS)
     edges = np.append(0, np.cumsum(bits))
     places = edges[owners] + ((hashes >> np.uint64(40)).astype(np.int64) & (bits[owners] - 1))
     packed = np.packbits((np.bincount(places, minlength=edges[-1]) & 1).astype(np.uint8)).tobytes()
@@ -688,12 +688,12 @@ def _open_members(rows: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, block: int) -> DataFrame:
-    """Members of cut families with more than one label, dealt out so that any two of different labels meet.
+    """Members of cut families with more than one label and a member that has to go on, dealt out so that any two of different labels meet.
 
     Members of the commonest label meet all others, but not each other.
     """
-    counts = rows.select("family", "key", "label").distinct().groupBy("family", "label").agg(F.count("*").alias("n"))
-    top = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels")).where("labels > 1")
+    counts = rows.select("family", "key", "label", "across_size").distinct().groupBy("family", "label").agg(F.count("*").alias("n"), F.count("across_size").alias("open"))
+    top = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels"), F.sum("open").alias("open")).where("labels > 1 and open > 0")
     blocks = top.select("family", "top", F.ceil(F.col("most") / block).cast("int").alias("big"), F.ceil((F.col("total") - F.col("most")) / block).cast("int").alias("small"))
     own = rows.join(blocks, "family").withColumn("common", F.col("label") == F.col("top"))
     own = own.withColumn("at", F.pmod(F.xxhash64("key"), F.when(F.col("common"), F.col("big")).otherwise(F.col("small"))).cast("int"))
@@ -758,7 +758,7 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         made = _sequences(docs, pairs.select(F.col("leader").alias("key")).union(pairs.select("partner")), sets, n, clash, frequent)
         links.append(staged(_links(pairs, made, least), "links"))
         unstage(made)
-        return _relabelled(labels, links[-1], ROUND_STEPS)
+        return _relabelled(labels, links[-1], ROUND_STEPS if len(links) > 1 else FIRST_STEPS)
 
     narrow = sets.select("key", "bitmap")
     first = _members(groups).withColumns({"anchor": F.col("signature"), "label": F.col("key"), "from_size": F.lit(0).cast("long"), "from_key": F.lit(0).cast("long")})
@@ -788,7 +788,7 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         if done > NARROW_ROUNDS and wide is None:
             wide = _wide(docs, members.select("key"), sets, n, clash)
         grown = MORE ** max(0, done - NARROW_ROUNDS)
-        proposed = staged(_proposed(members.join(wide if wide is not None else narrow, "key"), least, PARTNERS, grown), "proposed")
+        proposed = staged(_proposed(members.join(wide if wide is not None else narrow, "key"), least, PARTNERS * max(1, grown // MORE), grown), "proposed")
         go_on = proposed.where(F.col("resume.size") < NOWHERE).select("key", F.col("resume.size").alias("rs"), F.col("resume.partner").alias("rk"))
         at = lambda kind: F.greatest(F.struct(F.col("rs").alias("s"), F.col("rk").alias("k")), F.struct(F.col(f"{kind}_size").alias("s"), F.col(f"{kind}_key").alias("k")))
         before = cursor
