@@ -313,7 +313,7 @@ def _filed(df: DataFrame, n: int, least: int, frequent, clash: np.ndarray, parts
                 sizes_held.append(s)
                 sets += here
                 size += int(keep.sum())
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield flush()
                     tokens, owners_held, keys_held, sizes_held, sets, size = [], [], [], [], 0, 0
         if size:
