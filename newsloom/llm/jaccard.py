@@ -62,7 +62,7 @@ _TABLE = byte_table(separators=SEPARATORS)
 _NONE = -(1 << 63)  # stands for a null id inside
 
 FREQUENT = 1 << 17
-LEAST_BITS, MOST_BITS = 1 << 9, 1 << 16
+LEAST_BITS, MOST_BITS = 1 << 8, 1 << 16
 WIDE = 8
 BLOCK = 512
 FIRST_PARTNERS, PARTNERS = 4, 4
@@ -130,7 +130,7 @@ def keys_of(owners: np.ndarray, hashes: np.ndarray, texts: int, clash: np.ndarra
 
 def bitmaps_of(owners: np.ndarray, hashes: np.ndarray, size: np.ndarray, times: int = 1) -> list[bytes]:
     """For each text the parity of its n-grams by class, packed; ``times`` about as many classes as n-grams, a power of two."""
-    bits = np.clip(times * 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), min(times, 4) * LEAST_BITS, times * MOST_BITS)
+    bits = np.clip(times * 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), times * LEAST_BITS, times * MOST_BITS)
     edges = np.append(0, np.cumsum(bits))
     places = edges[owners] + ((hashes >> np.uint64(40)).astype(np.int64) & (bits[owners] - 1))
     packed = np.packbits((np.bincount(places, minlength=edges[-1]) & 1).astype(np.uint8)).tobytes()
