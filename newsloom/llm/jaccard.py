@@ -69,7 +69,7 @@ FIRST_PARTNERS, PARTNERS = 4, 4
 NARROW_ROUNDS, MORE = 2, 8
 FIRST_STEPS, ROUND_STEPS = 4, 2
 NOWHERE = 1 << 62  # a size beyond all
-SPREAD = 16
+SPREAD = 4
 CHUNK = 512
 MOST_CLASHES = 10_000
 WANTED_IDS = 1 << 19
