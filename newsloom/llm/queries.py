@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, licences, packing, pii, topk, toxicity, warc, wrappers
+from . import chat, decontaminate, jaccard, langid, licences, merkle, packing, pii, topk, toxicity, trie, warc, wrappers
 from .common import fold_of, read
 
 
@@ -66,6 +66,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return trie.prefix_trie(trie.rebuilt(turns))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), merkle.every_fifth(F.col("doc_id")))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema)
+    return chat.read_back(chat.expand(turns.unionByName(planted)), together=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -77,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_jaccard": op9_jaccard,
     "op10_decontaminate": op10_decontaminate,
+    "op11_trie": op11_trie,
+    "op12_merkle": op12_merkle,
+    "op13_chat": op13_chat,
 }
 
 OP5_SQL = """
@@ -123,4 +142,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_warc": OP7_SQL, "op9_jaccard": OP9_SQL, "op8_licences": licences.scan_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_topk": OP5_SQL, "op7_warc": OP7_SQL, "op9_jaccard": OP9_SQL, "op8_licences": licences.scan_sql(), "op11_trie": trie.TRIE_SQL, "op12_merkle": merkle.MANIFEST_SQL,
+    "op13_chat": chat.CHAT_SQL,
+}
