@@ -114,7 +114,9 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     tree = F.coalesce(F.concat(F.lit(" "), F.col("source").cast("string")), F.lit(""))
     claimed = F.when(changed, leaf_of(text=lowered_ascii(F.col("text"))))
     leaves = docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf_of().alias("node"), claimed.alias("claimed"))
-    blocks = staged(_blocks(placed(sorted_rows(leaves, "tree", "doc_id", "node", name="leaves"), "tree"), ["doc_id", "claimed"]), "blocks")
+    # Sorting reads its rows twice, texts only once.
+    in_order = sorted_rows(staged(leaves, "leaves"), "tree", "doc_id", "node")
+    blocks = staged(_blocks(placed(in_order, "tree"), ["doc_id", "claimed"]), "blocks")
     above = _above(blocks)
     subroots = above.where("pos = 0").select(F.lit("").alias("all"), "tree", F.col("root").alias("node"))
     top = staged(placed(sorted_rows(subroots, "all", "tree", name="subroots"), "all"), "subroots")
