@@ -1,18 +1,27 @@
 """Same-event clusters: the greedy assignment and the roll-up of its groups.
 
-The assignment depends on order, so it is a fold over one key's items, newest
-first (``applyInPandas`` on a partition column such as user and day); the
-roll-up is plain aggregation.
+Each item, newest first, joins the best cluster whose first item is at most 48
+hours newer, or opens one.  :func:`assign` folds one key's items at once and is
+for pools, such as a user's candidates.  :func:`assign_timeline` takes a table
+of any length: items that could ever meet are connected first, and each
+component is folded by itself, which gives what one fold over all would give.
+A fold keeps only clusters younger than 48 hours and holds an item only against
+those it shares something with, so a component of any length streams through.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Iterator
+from datetime import timedelta
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BUCKETS
-from .similarity import MATCH, MERGE_AT, WINDOW_HOURS, with_weights
+from ..sources.store import staged
+from .similarity import MATCH, MERGE_AT, TITLE_AT, VECTOR_AT, WINDOW_HOURS, with_weights
 
 RISK = "Possible security incident, needs closer tracking."
 
@@ -31,7 +40,7 @@ def _cos(a, b) -> float:
 
 
 class _Group:
-    """What a fold keeps of a cluster: its newest item, its types, its largest weights, its number of items."""
+    """What a fold keeps of a cluster: its newest item, its types, its largest weights."""
 
     def __init__(self, item: dict):
         self.head, self.types, self.weights = item, {item["event_type"]}, {k: dict(item[f"w_{k}"]) for k in MATCH}
@@ -52,7 +61,7 @@ class _Group:
         a, b = item["title_set"], self.head["title_set"]
         title = len(a & b) / len(a | b) if a and b else 0.0
         meaning = _cos(item.get("embedding"), self.head.get("embedding"))
-        if not any(v for _, v in overlaps) and title < 0.4 and meaning < 0.55:
+        if not any(v for _, v in overlaps) and title < TITLE_AT and meaning < VECTOR_AT:
             return 0.0
         return s + sum(w * v for w, v in overlaps) + 0.18 * title + 0.15 * meaning
 
@@ -64,40 +73,156 @@ class _Group:
                 mine[key] = max(mine.get(key, 0.0), w)
 
 
+class Fold:
+    """The greedy assignment of items that come newest first."""
+
+    def __init__(self, merge_at: float = MERGE_AT):
+        self.merge_at = merge_at
+        self.open: deque[int] = deque()  # in the order of opening, so the newest heads go first
+        self.groups: dict[int, _Group] = {}
+        self.index: dict[tuple, set[int]] = defaultdict(set)
+        self.opened = 0
+
+    @staticmethod
+    def _features(weights: dict[str, dict]) -> list[tuple]:
+        return [(k, key) for k in MATCH for key in weights[k]]
+
+    @staticmethod
+    def _of_head(item: dict) -> list[tuple]:
+        return [("title", t) for t in item["title_set"]] + ([("vector",)] if item.get("embedding") is not None else [])
+
+    def _open(self, group: _Group) -> None:
+        number, self.opened = self.opened, self.opened + 1
+        self.groups[number] = group
+        self.open.append(number)
+        for f in self._features(group.weights) + self._of_head(group.head):
+            self.index[f].add(number)
+
+    def _expire(self, now) -> None:
+        while self.open and self.groups[self.open[0]].head["published_at"] - now > timedelta(hours=WINDOW_HOURS):
+            del self.groups[self.open.popleft()]
+
+    def add(self, item: dict) -> dict:
+        """The first item of the cluster that ``item`` joins or opens; of equally good clusters the earliest opened."""
+        self._expire(item["published_at"])
+        near: set[int] = set()
+        own = self._features({k: item[f"w_{k}"] for k in MATCH})
+        for f in own + self._of_head(item):
+            if found := self.index.get(f):
+                found &= self.groups.keys()
+                near |= found
+        best, at = 0.0, -1
+        for number in sorted(near):
+            if (s := self.groups[number].score(item)) > best:
+                best, at = s, number
+        if best < self.merge_at or at < 0:
+            self._open(_Group(item))
+            return item
+        self.groups[at].add(item)
+        for f in own:
+            self.index[f].add(at)
+        return self.groups[at].head
+
+
 def fold(items: list[dict], merge_at: float = MERGE_AT) -> list[int]:
     """Cluster number of each item; items come newest first, and the earliest best cluster wins."""
-    groups: list[_Group] = []
-    out = []
-    for item in items:
-        best, at = 0.0, -1
-        for g, group in enumerate(groups):
-            if (s := group.score(item)) > best:
-                best, at = s, g
-        if best >= merge_at:
-            groups[at].add(item)
-        else:
-            groups.append(_Group(item))
-            at = len(groups) - 1
-        out.append(at)
-    return out
+    numbers: dict[int, int] = {}
+    made = Fold(merge_at)
+    return [numbers.setdefault(id(made.add(item)), len(numbers)) for item in items]
+
+
+def _records(frame: pd.DataFrame) -> list[dict]:
+    records = frame.to_dict("records")
+    for r in records:
+        r["title_set"] = set(r["title_set"])
+        for k in MATCH:
+            r[f"w_{k}"] = {e["key"]: e["value"] for e in r[f"w_{k}"]}
+    return records
+
+
+def _input(items: DataFrame, order: str, *keys: Column) -> DataFrame:
+    extra = ["embedding"] if "embedding" in items.columns else []
+    return with_weights(items).select(*keys, "id", F.col(order).cast("long").alias("ord"), "event_type", "published_at", "title_set", *extra, *[F.map_entries(f"w_{k}").alias(f"w_{k}") for k in MATCH])
 
 
 def assign(items: DataFrame, key: str, order: str = "ord", merge_at: float = MERGE_AT) -> DataFrame:
     """(key, id, cluster_no): greedy clusters within each value of ``key``; bound its items before."""
-    extra = ["embedding"] if "embedding" in items.columns else []
-    rows = with_weights(items).select(key, "id", F.col(order).cast("long").alias("_ord"), "event_type", "published_at", "title_set", *extra, *[F.map_entries(f"w_{k}").alias(f"w_{k}") for k in MATCH])
     kind = dict(items.dtypes)[key]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["published_at", "_ord"], ascending=[False, True], kind="stable")
-        records = frame.to_dict("records")
-        for r in records:
-            r["title_set"] = set(r["title_set"])
-            for k in MATCH:
-                r[f"w_{k}"] = {e["key"]: e["value"] for e in r[f"w_{k}"]}
-        return pd.DataFrame({key: frame[key], "id": frame["id"], "cluster_no": fold(records, merge_at)})
+        frame = frame.sort_values(["published_at", "ord"], ascending=[False, True], kind="stable")
+        return pd.DataFrame({key: frame[key], "id": frame["id"], "cluster_no": fold(_records(frame), merge_at)})
+
+    return _input(items, order, F.col(key)).groupBy(key).applyInPandas(run, f"{key} {kind}, id string, cluster_no long")
+
+
+def _features() -> Column:
+    """What an item must share with one of a cluster to join it: an entity, a word among its longest of the title, or that there is a vector.
+
+    Titles with a likeness of 0.4 share a word among all but the last two fifths of their words, in any fixed order of words.
+    """
+    named = [F.transform(f"w_{k}", lambda e, k=k: F.concat(F.lit(f"{k}:"), e["key"])) for k in MATCH]
+    size = F.size("title_set")
+    words = F.transform(F.array_sort(F.transform("title_set", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: F.concat(F.lit("title:"), x["t"]))
+    return F.concat(*named, F.when(size > 0, F.slice(words, 1, size - F.ceil(size * TITLE_AT).cast("int") + 1)).otherwise(F.array().cast("array<string>")))
+
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, id string, cluster_no long")
+def components(rows: DataFrame) -> DataFrame:
+    """(id, component) of items (scope, id, published_at, features); items that share nothing are left out.
+
+    Items that share a feature within 48 hours are connected.  A feature's times are cut where it is missing for longer;
+    each stretch is a hub, found from the first and last time in each slot of 48 hours.  The hubs of an item are
+    connected, and the least hub is carried along these links until nothing changes.
+    """
+    width = WINDOW_HOURS * 3600
+    at = F.unix_micros("published_at")
+    seen = rows.select("scope", "id", at.alias("at"), F.floor(at / (width * 1_000_000)).alias("slot"), F.explode("features").alias("feature"))
+    slots = seen.groupBy("scope", "feature", "slot").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+    by_time = Window.partitionBy("scope", "feature").orderBy("slot")
+    gap = F.coalesce(F.col("lo") - F.lag("hi").over(by_time) > width * 1_000_000, F.lit(False)).cast("int")
+    stretch = slots.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(by_time))
+    many = F.sum("n").over(Window.partitionBy("scope", "feature", "stretch"))
+    hubs = stretch.withColumn("many", many).where("many > 1").select("scope", "feature", "slot", F.xxhash64("scope", "feature", "stretch").alias("hub"))
+    of_item = staged(seen.join(hubs, ["scope", "feature", "slot"]).groupBy("id").agg(F.array_sort(F.collect_set("hub")).alias("hubs")), "hubs")
+    pairs = of_item.select(F.element_at("hubs", 1).alias("a"), F.explode("hubs").alias("b")).distinct()
+    links = staged(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = staged(links.groupBy("a").agg(F.min("b").alias("label")), "labels")
+    while True:
+        least = links.join(label.select(F.col("a").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("least"))
+        onward = label.select(F.col("a").alias("least"), F.col("label").alias("beyond"))
+        label = staged(label.withColumnRenamed("label", "old").join(least, "a").join(onward, "least").select("a", "old", F.least("old", "least", "beyond").alias("label")), "labels")
+        if label.where("label <> old").isEmpty():
+            break
+        label = label.drop("old")
+    return of_item.select("id", F.element_at("hubs", 1).alias("a")).join(label, "a").select("id", F.col("label").alias("component"))
+
+
+def assign_timeline(items: DataFrame, key: str | None = None, order: str = "ord", merge_at: float = MERGE_AT) -> DataFrame:
+    """(scope, id, head_id): greedy clusters of each value of ``key`` (or of all items), named by their newest item; ids differ.
+
+    Items of different components cannot meet, so each component is folded by itself, as its rows stream by.
+    """
+    scope = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")
+    rows = _input(items, order, scope.alias("scope"))
+    found = _features()
+    if "embedding" in rows.columns:
+        found = F.concat(found, F.when(F.col("embedding").isNotNull(), F.array(F.lit("vector"))).otherwise(F.array().cast("array<string>")))
+    rows = staged(rows.withColumn("features", found), "timeline")
+    joined = rows.join(components(rows), "id", "left").withColumn("component", F.coalesce("component", F.xxhash64(F.lit("alone"), "id"))).drop("features")
+    by = [F.asc("component"), F.asc("scope"), F.desc("published_at"), F.asc("ord"), F.asc("id")]
+    dealt = joined.repartition("component").sortWithinPartitions(*by)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, now = Fold(merge_at), None
+        for frame in frames:
+            heads = []
+            for item in _records(frame):
+                if (item["component"], item["scope"]) != now:
+                    made, now = Fold(merge_at), (item["component"], item["scope"])
+                heads.append(made.add(item)["id"])
+            yield pd.DataFrame({"scope": frame["scope"], "id": frame["id"], "head_id": heads})
+
+    return dealt.mapInPandas(run, "scope string, id string, head_id string")
 
 
 def _in_order(value: Column) -> Column:
@@ -137,6 +262,15 @@ def _levels_of(bucket: str) -> Column:
     return F.transform(F.col("entities")[bucket], lambda n: F.struct(F.lit(bucket).alias("bucket"), n.alias("name"), level(n).alias("level")))
 
 
+def cluster_timeline(items: DataFrame, key: str | None = None, order: str = "ord") -> DataFrame:
+    """Clusters over a table of any length; ``head_id`` is the newest item of each."""
+    scope = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.lit("")
+    used = ["id", "ord", "title", "summary", "event_type", "published_at", "importance_score", "credibility_score", "entities", "entity_confidence"]
+    more = [c for c in ("embedding", "semantic_match_score") if c in items.columns]
+    rows = staged(items.select(scope.alias("scope"), *used[:1], F.col(order).cast("long").alias("ord"), *used[2:], *more), "items")
+    return roll_up(rollup_input(rows).join(assign_timeline(rows, "scope"), ["scope", "id"]), "scope", "head_id")
+
+
 def cluster_events(items: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """Clusters of each key, with ``bucket_no``, the order in which they were opened."""
     number = assign(items, key, order)

@@ -151,7 +151,7 @@ def _topic_event(name: Column, lexicon: Lexicon) -> Column:
 
 def event_scores(lexicon: Lexicon) -> dict[str, Column]:
     """Score of each event type for an item with entities, in declaration order."""
-    title, text = F.col("_title"), F.lower(F.concat_ws(" ", "title", "content"))
+    title, text = F.col("_title"), F.col("_text")
     size = lambda b: F.size(F.col("entities")[b])
     crypto = (size("projects") > 0) | (size("tokens") > 0) | (size("chains") > 0) | (size("topics") > 0)
     order = [*[e for e in EVENT_TYPES if e in lexicon.rules], "institutional_adoption", "product_launch", "macro"]
@@ -189,7 +189,7 @@ def event_scores(lexicon: Lexicon) -> dict[str, Column]:
 
 def with_event_type(items: DataFrame, lexicon: Lexicon, least: float = 0.35) -> DataFrame:
     """Adds ``event_type``; ties go to the type declared first."""
-    text = F.lower(F.concat_ws(" ", "title", "content"))
+    items, text = items.withColumn("_text", F.lower(F.concat_ws(" ", "title", "content"))), F.col("_text")
     noise = reduce(Column.__or__, [text.contains(k) for k in lexicon.noise], F.lit(False))
     items = items.withColumn("_macro", contains_any(text, lexicon.macro))
     size = lambda b: F.size(F.col("entities")[b])

@@ -10,6 +10,9 @@ from ..functions.text import title_tokens
 
 WINDOW_HOURS = 48
 MERGE_AT = 0.45
+#: Likeness of titles and of vectors that counts where no entity is shared. Fixed values.
+TITLE_AT = 0.4
+VECTOR_AT = 0.55
 #: Share of each overlap in a match score, and in the redundancy of two clusters. Fixed values.
 MATCH = {"projects": 0.30, "tokens": 0.18, "chains": 0.12, "topics": 0.10}
 REDUNDANCY = {"projects": 0.34, "tokens": 0.20, "topics": 0.20, "chains": 0.10}
@@ -52,7 +55,7 @@ def match_score(a: str, b: str, semantic: Column | None = None) -> Column:
     bare = F.lit(True)
     for v in overlaps.values():
         bare = bare & (v == 0)
-    return F.when((event == 0) | (time == 0), 0.0).when(bare & (title < 0.4) & (meaning < 0.55), 0.0).otherwise(score)
+    return F.when((event == 0) | (time == 0), 0.0).when(bare & (title < TITLE_AT) & (meaning < VECTOR_AT), 0.0).otherwise(score)
 
 
 def candidate_pairs(items: DataFrame) -> DataFrame:

@@ -241,9 +241,16 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).withColumn("day", F.floor(F.unix_seconds("published_at") / 86400).cast("long"))
 
 
-@query()
+@query("""SELECT event_id, head_id, title, event_type, importance_score, n_items, points, risks FROM rolled""", "rolled")
 def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_events(_days(spark, sf_dir), "day").select("day", "bucket_no", "event_id", "title", "event_type", "importance_score", "n_items", "key_points", "risks")
+    """The greedy clusters of all items, whatever their number."""
+    return cluster.cluster_timeline(_items(spark, sf_dir)).select("event_id", "head_id", "title", "event_type", "importance_score", "n_items", F.array_join("key_points", "|").alias("points"), F.size("risks").alias("risks"))
+
+
+@query("""SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id < b.id AND abs(a.at_s - b.at_s) <= 172800 AND (a.event_type = b.event_type OR 'unknown' IN (a.event_type, b.event_type))""", "items")
+def pair_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items that are near in time and may be of one type."""
+    return similarity.candidate_pairs(_items(spark, sf_dir).drop("content", "summary")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,23 @@ def _any(text: str, words) -> str:
     return f"regexp_matches(lower({text}), '(^|[^a-z0-9])({'|'.join(words)})($|[^a-z0-9])')"
 
 
+#: Weights of an item as a list in the order of these keys, and the score of an item (its columns) against an open cluster ``x``.
+_KEYS = [(b, c.lower()) for b, cs in (("projects", LEXICON.projects), ("tokens", LEXICON.tokens), ("chains", LEXICON.chains), ("topics", LEXICON.topics)) for c in cs]
+_W = ", ".join(f"coalesce(x.m['{b}:{c}'], 0)" for b, c in _KEYS)
+
+
+def _overlap(bucket: str) -> str:
+    at = [i + 1 for i, (b, _) in enumerate(_KEYS) if b == bucket]
+    sums = [" + ".join(f"{f}(w[{i}], x.w[{i}])" for i in at) for f in ("least", "greatest")]
+    return f"coalesce(({sums[0]}) / nullif({sums[1]}, 0), 0)"
+
+
+_SHARED = " + ".join(f"{share}::DOUBLE * {_overlap(k)}" for k, share in (("projects", 0.30), ("tokens", 0.18), ("chains", 0.12), ("topics", 0.10)))
+_TITLE = "CASE WHEN len(t) = 0 OR len(x.t) = 0 THEN 0 ELSE len(list_intersect(t, x.t)) / len(list_distinct(list_concat(t, x.t))) END::DOUBLE"
+_SCORE = f"""CASE WHEN NOT (list_contains(x.types, event_type) OR event_type = 'unknown' OR list_contains(x.types, 'unknown')) OR ({_SHARED} = 0 AND {_TITLE} < 0.4) THEN 0 ELSE
+    CASE WHEN list_contains(x.types, event_type) THEN 0.35::DOUBLE ELSE 0.12::DOUBLE END + CASE WHEN x.at_s - at_s <= 21600 THEN 0.2::DOUBLE WHEN x.at_s - at_s <= 86400 THEN 0.12::DOUBLE ELSE 0.06::DOUBLE END
+    + ({_SHARED}) + 0.18::DOUBLE * {_TITLE} END"""
+
 SQL = {
     "raw": f"""SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, doc_id AS ord, substr(text, 1, 60) AS title, text AS content,
         ['official', 'media', 'twitter', 'other'][CAST(doc_id % 4 + 1 AS INTEGER)] AS source_type, source AS source_name, lang AS language,
@@ -185,6 +202,27 @@ SQL = {
         0::DOUBLE AS semantic_match_score, c.avg_credibility AS source_quality_score, CASE WHEN c.event_type = 'exploit' THEN 1 ELSE 0 END::DOUBLE AS risk_boost_score,
         CASE WHEN EXISTS (SELECT 1 FROM terms t WHERE t.event_type = c.event_type AND t.day = c.day AND t.key = 'state') THEN 1 ELSE 0 END::DOUBLE AS mute_penalty
         FROM (SELECT *, ((SELECT max(at_s) FROM raw) - last_at) / 3600.0 AS h FROM clusters) c""",
+    "vectors": f"""SELECT i.id, i.event_type, i.at_s, i.ord, k.t, [{_W}] AS w, row_number() OVER (ORDER BY i.at_s DESC, i.ord) AS k FROM items i JOIN tokens k ON k.id = i.id
+        LEFT JOIN (SELECT id, map(list(bucket || ':' || key), list(w)) AS m FROM weights GROUP BY id) x ON x.id = i.id""",
+    # A row for each item, newest first, with the clusters that are open after it and the head of its own.
+    "greedy": f"""SELECT * FROM (
+        WITH RECURSIVE g(k, id, head_id, open) AS (
+          SELECT 0::BIGINT, '', '', []::STRUCT(id VARCHAR, at_s BIGINT, t VARCHAR[], types VARCHAR[], w DOUBLE[])[]
+          UNION ALL
+          SELECT k, id, CASE WHEN best THEN near[place].id ELSE id END,
+            CASE WHEN best THEN list_transform(near, lambda x, n: CASE WHEN n = place THEN {{{{'id': x.id, 'at_s': x.at_s, 't': x.t, 'types': list_append(x.types, event_type),
+              'w': list_transform(x.w, lambda y, j: greatest(y, w[j]))}}}} ELSE x END) ELSE list_append(near, {{{{'id': id, 'at_s': at_s, 't': t, 'types': [event_type], 'w': w}}}}) END
+          FROM (SELECT *, list_position(scores, list_max(scores)) AS place, coalesce(list_max(scores) >= 0.45::DOUBLE, false) AS best FROM (
+            SELECT *, list_transform(near, lambda x: {_SCORE}) AS scores FROM (
+              SELECT v.*, list_filter(g.open, lambda x: x.at_s - v.at_s <= 172800) AS near FROM g JOIN vectors v ON v.k = g.k + 1)))
+        ) SELECT id, head_id FROM g WHERE k > 0)""".replace("{{", "{").replace("}}", "}"),
+    "rolled": """SELECT head_id, substr(md5(string_agg(id, '|' ORDER BY id)), 1, 10) AS event_id, arg_max(title, (importance_score, at_s, -ord)) AS title,
+        max(importance_score) AS importance_score, count(*) AS n_items, max(CASE WHEN event_type = 'exploit' THEN 1 ELSE 0 END) AS risks,
+        (SELECT arg_max(event_type, (c, -f, -o)) FROM (SELECT event_type, count(*) AS c, min(at_s) AS f, arg_min(ord, (at_s, ord)) AS o FROM member z WHERE z.head_id = m.head_id GROUP BY event_type)) AS event_type,
+        (SELECT string_agg(summary, '|' ORDER BY r DESC) FROM (SELECT summary, max((importance_score, at_s, -ord)) AS r FROM member z WHERE z.head_id = m.head_id AND summary <> '' GROUP BY summary ORDER BY r DESC LIMIT 3)) AS points
+        FROM member m GROUP BY head_id""",
+    "member": """SELECT i.*, g.head_id, substr(c, 1, 120) || CASE WHEN length(c) > 120 THEN '...' ELSE '' END AS summary
+        FROM (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS c FROM items) i JOIN greedy g ON g.id = i.id""",
     "mentions": """SELECT event_id // 12 AS batch_id, event_id AS ord, CASE event_type WHEN 'click' THEN 'project' WHEN 'view' THEN 'token' WHEN 'purchase' THEN 'topic' WHEN 'signup' THEN 'event_keyword' ELSE 'topic' END AS category,
         'name ' || (user_id % 25) AS name, props AS title, CAST(user_id % 7 AS VARCHAR) AS source, 'alias ' || (user_id % 3) AS alias FROM events""",
     "odd": """SELECT *, CASE WHEN n = 2 AND category IN ('project', 'event_keyword') THEN 'name 2' ELSE lower(name) END AS key, name = '  ' OR (name = 'skill' AND category <> 'token') AS noise
@@ -213,7 +251,7 @@ SQL = {
 }
 _NEEDS = {
     "hits": ["raw", "lex"], "ent": ["hits"], "conf": ["ent"], "flags": ["conf"], "points": ["flags"], "scored": ["points"], "typed": ["scored"], "items": ["typed"],
-    "weights": ["conf"], "tokens": ["raw"], "clusters": ["items"], "terms": ["items"], "signals": ["clusters", "terms"], "candidates": ["mentions"],
+    "weights": ["conf"], "tokens": ["raw"], "clusters": ["items"], "terms": ["items"], "signals": ["clusters", "terms"], "vectors": ["items", "tokens", "weights"], "greedy": ["vectors"], "member": ["items", "greedy"], "rolled": ["member"], "candidates": ["mentions"],
     "recent": ["runs", "run_candidates"], "promoted": ["recent"], "odd": ["mentions"], "pool": ["raw"], "hits12": ["pool"],
 }
 

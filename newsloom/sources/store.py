@@ -29,6 +29,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/newsloom/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what is lost is made anew from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_vectors(new: DataFrame, path: str) -> None:
     """Vectors by (item, hash, model): rows not yet stored are appended; readers take the last written."""
     stored = table_or_empty(new.sparkSession, path, EMBEDDING)
