@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import clamp
 from ..functions.text import contains_alias, contains_any, contains_topic, first_filled, strip, summary
 from ..vocabulary import EVENT_IMPORTANCE, EVENT_TYPES, PRESENCE, Lexicon
+from .aliases import found_aliases, guarded_aliases
 
 _EVIDENCE = "array<struct<name:string,sources:array<string>>>"
 
@@ -57,7 +58,7 @@ def base_items(raw: DataFrame, now: Column) -> DataFrame:
 
 
 def _found(name: str, hit: Column, sources: list[Column]) -> Column:
-    evidence = F.filter(F.array(*sources), lambda s: s.isNotNull())
+    evidence = F.array_distinct(F.filter(F.array(*sources), lambda s: s.isNotNull()))
     return F.when(hit, F.struct(F.lit(name).alias("name"), evidence.alias("sources")))
 
 
@@ -87,6 +88,13 @@ def _topics(table: dict[str, list[str]], title: Column, body: Column, full: Colu
     return _collected(found)
 
 
+def guarded_hits(lexicon: Lexicon) -> Column:
+    """For each guarded topic alias of the lexicon whether it is in title, body, and both joined; their contexts are expressions."""
+    parts = [F.col(c) for c in ("_title", "_body", "_full")]
+    hits = [F.array(*[F.coalesce(contains_topic(p, a), F.lit(False)) for p in parts]) for a in guarded_aliases(lexicon)]
+    return F.array(*hits) if hits else F.array().cast("array<array<boolean>>")
+
+
 def _tagged(field: str, source: str, upper: bool) -> Column:
     tokens = F.filter(F.coalesce(F.col("_tags"), F.array().cast("array<struct<type:string,name:string,symbol:string>>")), lambda t: (F.lower(t["type"]) == "token") & (strip(F.coalesce(t[field], F.lit(""))) != ""))
     value = lambda t: F.upper(strip(t[field])) if upper else strip(t[field])
@@ -100,6 +108,14 @@ def _once(evidence: Column) -> Column:
     return F.transform(names, lambda n: F.struct(n.alias("name"), own(n).alias("sources"))).cast(_EVIDENCE)
 
 
+def _behind_tags(tagged: Column, found: Column) -> Column:
+    """Tagged names, each once and with its aliases' sources too, then the other found ones, whose names differ."""
+    tags = _once(tagged)
+    both = lambda e: F.array_distinct(F.concat(e["sources"], F.flatten(F.transform(F.filter(found, lambda f: f["name"] == e["name"]), lambda f: f["sources"]))))
+    named = F.transform(tags, lambda e: e["name"])
+    return F.concat(F.transform(tags, lambda e: F.struct(e["name"].alias("name"), both(e).alias("sources"))), F.filter(found, lambda f: ~F.array_contains(named, f["name"]))).cast(_EVIDENCE)
+
+
 def level_of(bucket: str, sources: Column) -> Column:
     """Confidence in an entity from where it was seen."""
     has = {k: _seen(sources, k) for k in ("tag:", "title:", "body:")}
@@ -113,25 +129,43 @@ def _seen(sources: Column, kind: str) -> Column:
     return F.exists(sources, lambda s: s.startswith(kind))
 
 
-def with_entities(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Adds ``evidence`` (bucket -> entities with sources), ``entities``, ``entity_sources`` and ``entity_confidence``."""
+#: From so many aliases on, texts are read once for all of them instead of once for each.
+MANY_ALIASES = 64
+
+
+def with_entities(items: DataFrame, lexicon: Lexicon, one_pass: bool | None = None) -> DataFrame:
+    """Adds ``evidence`` (bucket -> entities with sources), ``entities``, ``entity_sources`` and ``entity_confidence``.
+
+    A small lexicon becomes expressions, one for each alias.  A large one becomes
+    an automaton that finds all aliases in one pass over a text; which of the two
+    is decided by the number of aliases, unless ``one_pass`` says it.
+    """
     title, body = F.col("_title"), F.col("_body")
     items = items.withColumns({"_title": F.lower("title"), "_body": F.lower("content")}).withColumn("_full", strip(F.concat_ws(" ", "_title", "_body")))
+    if one_pass is None:
+        one_pass = len(lexicon.rows()) >= MANY_ALIASES
+    if one_pass:
+        items = items.withColumn("_found", found_aliases(items.sparkSession, lexicon)(title, body, guarded_hits(lexicon)))
+        seen = {b: F.col("_found")[b] for b in ("projects", "tokens", "chains", "topics")}
+    else:
+        seen = {
+            "projects": _by_alias(lexicon.projects, title, body), "tokens": _by_alias(lexicon.tokens, title, body),
+            "chains": _by_alias({c.title(): [c] for c in lexicon.chains}, title, body), "topics": _topics(lexicon.topics, title, body, F.col("_full")),
+        }
     evidence = {
-        "projects": F.concat(_tagged("name", "tag:name", False), _by_alias(lexicon.projects, title, body)),
-        "tokens": F.concat(_tagged("symbol", "tag:symbol", True), _by_alias(lexicon.tokens, title, body)),
-        "chains": _by_alias({c.title(): [c] for c in lexicon.chains}, title, body),
-        "topics": _topics(lexicon.topics, title, body, F.col("_full")),
+        "projects": _behind_tags(_tagged("name", "tag:name", False), seen["projects"]),
+        "tokens": _behind_tags(_tagged("symbol", "tag:symbol", True), seen["tokens"]),
+        "chains": seen["chains"],
+        "topics": seen["topics"],
         "people": F.array().cast(_EVIDENCE),
     }
     items = items.withColumns({f"_{b}": e for b, e in evidence.items()})
-    items = items.withColumns({f"_{b}": _once(F.col(f"_{b}")) for b in evidence})
     names = F.struct(*[F.transform(f"_{b}", lambda e: e["name"]).alias(b) for b in evidence])
     shown = {b: F.filter(f"_{b}", lambda e: F.size(e["sources"]) > 0) for b in evidence}
     entry = lambda e: F.struct(e["name"], e["sources"])
     sources = F.create_map(*[x for b in evidence for x in (F.lit(b), F.map_from_entries(F.transform(shown[b], entry)))])
     levels = F.create_map(*[x for b in evidence for x in (F.lit(b), F.map_from_entries(_levels(b, shown[b])))])
-    return items.withColumns({"entities": names, "entity_sources": sources, "entity_confidence": levels})
+    return items.drop("_found").withColumns({"entities": names, "entity_sources": sources, "entity_confidence": levels})
 
 
 def _levels(bucket: str, evidence: Column) -> Column:

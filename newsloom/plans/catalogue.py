@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import jaccard
 from ..functions.text import batch_prompt, title_tokens
 from ..operators import cluster, rank, recall, similarity, vocab
-from ..operators.normalize import alias_hits, normalize
+from ..operators.normalize import alias_hits, base_items, normalize, with_entities
 from ..sources.feeds import Cursor, TableFeed, first_of_each
 from ..sources import store
 from ..streaming import indexer
@@ -116,6 +116,27 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "bucket", F.explode("m").alias("entity", "level"))
 
 
+WIDE = 20_000
+
+
+@query(f"""WITH run AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b, list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]+')) AS t FROM documents),
+word AS (SELECT w FROM (SELECT unnest(b) AS w FROM run) GROUP BY w ORDER BY count(*) DESC, w LIMIT {WIDE}),
+hit AS (SELECT doc_id, w, bool_or(t) AS t, bool_or(b) AS b FROM (SELECT doc_id, unnest(t) AS w, true AS t, false AS b FROM run UNION ALL SELECT doc_id, unnest(b), false, true FROM run) WHERE w IN (FROM word) GROUP BY ALL
+  UNION ALL SELECT doc_id, 'Alpha', NULL, NULL FROM documents WHERE doc_id % 5 = 0)
+SELECT CAST(doc_id AS VARCHAR) AS id, count(*) AS n, count(*) FILTER (t AND b) AS strong, count(*) FILTER (t IS NULL OR (t AND NOT b)) AS medium, count(*) FILTER (b AND NOT t) AS weak,
+  md5(string_agg(w, '|' ORDER BY w)) AS names FROM hit GROUP BY doc_id""")
+def entities_large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with levels under a vocabulary overlaid with the 20,000 commonest words of the texts."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))
+    words = fx.table(spark, sf_dir, "documents").select(F.explode(runs).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(WIDE)
+    none = Lexicon(projects={}, tokens={}, topics={}, chains=())
+    lexicon = none.overlaid({"entity_aliases": {r["w"]: [r["w"]] for r in words.collect()}})
+    found = with_entities(base_items(fx.raw_feed(spark, sf_dir), F.lit(None).cast("timestamp")), lexicon, one_pass=True)
+    levels, names = F.map_values(F.col("entity_confidence")["projects"]), F.col("entities")["projects"]
+    of = lambda level: F.size(F.filter(levels, lambda x: x == level)).cast("long").alias(level)
+    return found.where(F.size(names) > 0).select("id", F.size(names).cast("long").alias("n"), *[of(x) for x in ("strong", "medium", "weak")], F.md5(F.array_join(F.array_sort(names), "|").cast("binary")).alias("names"))
+
+
 @query("SELECT id, event_type FROM items", "items")
 def event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("id", "event_type")
