@@ -60,10 +60,11 @@ def vectors_of(items: DataFrame, embeddings: DataFrame, model: str) -> DataFrame
     return items.withColumn("_hash", content_hash()).join(mine, ["id", "_hash"], "left").drop("_hash")
 
 
-def latest_vectors(embeddings: DataFrame) -> DataFrame:
-    """The last written row of each (item, hash, model)."""
-    key = F.struct("published_at", "embedding")
-    return embeddings.groupBy("item_id", "item_hash", "model").agg(F.max_by(F.struct("published_at", "title", "source_name", "embedding"), key).alias("v")).select("item_id", "item_hash", "model", "v.*")
+def latest_vectors(embeddings: DataFrame, keep_seq: bool = False) -> DataFrame:
+    """The last written row of each (item, hash, model), by ``seq`` where there is one; rows written at once go by time and vector."""
+    order = [*(["seq"] if "seq" in embeddings.columns else []), "published_at", "embedding"]
+    kept = ["published_at", "title", "source_name", "embedding", *(["seq"] if keep_seq else [])]
+    return embeddings.groupBy("item_id", "item_hash", "model").agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("v")).select("item_id", "item_hash", "model", "v.*")
 
 
 def pending(items: DataFrame, embeddings: DataFrame, key: str = "item_id") -> DataFrame:

@@ -220,6 +220,43 @@ def embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.pending(fx.table(spark, sf_dir, "documents").select("doc_id"), v, "doc_id")
 
 
+def _embedded(spark: SparkSession, sf_dir: str, value) -> DataFrame:
+    """Vectors of one number for each document."""
+    return fx.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("item_hash"), F.lit("m").alias("model"), F.timestamp_seconds(F.lit(fx.EPOCH)).alias("published_at"),
+        F.substring("text", 1, 60).alias("title"), F.col("source").alias("source_name"), F.array(value.cast("float")).alias("embedding"), F.col("doc_id"),
+    )
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS item_id, md5(text) AS item_hash, CAST(CASE WHEN doc_id % 4 = 0 THEN -2 WHEN doc_id % 3 = 0 THEN -1 ELSE n_chars END AS DOUBLE) AS value FROM documents""")
+def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors after two rounds of replacement, with a compaction between them."""
+    path = store.scratch(spark, "vectors")
+    store.upsert_vectors(_embedded(spark, sf_dir, F.col("n_chars")).drop("doc_id"), path)
+    store.upsert_vectors(_embedded(spark, sf_dir, F.lit(-1)).where("doc_id % 3 = 0").drop("doc_id"), path)
+    store.compact_vectors(spark, path)
+    store.upsert_vectors(_embedded(spark, sf_dir, F.lit(-2)).where("doc_id % 4 = 0").drop("doc_id"), path)
+    return store.vectors(spark, path).select("item_id", "item_hash", F.element_at("embedding", 1).cast("double").alias("value"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE doc_id % 5 <> 0")
+def pending_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a vector in a store that has every fifth one's."""
+    path, rows = store.scratch(spark, "vectors"), _embedded(spark, sf_dir, F.col("n_chars"))
+    store.upsert_vectors(rows.where("doc_id % 5 = 0").drop("doc_id"), path)
+    return store.pending_vectors(rows.drop("embedding", "doc_id"), path).select("item_id")
+
+
+@query("""SELECT r.run_id, r.doc_count, c.category, c.canonical_name, c.mention_count FROM (VALUES (1, 40), (2, 50)) r(run_id, doc_count) JOIN run_candidates c ON c.run_id = (SELECT max(run_id) FROM runs)""", "runs", "run_candidates")
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest day's candidates written as two discovery runs, read back with their run rows."""
+    rows, days = fx.run_candidates(spark, sf_dir)
+    newest, root = rows.join(days.agg(F.max("run_id").alias("run_id")), "run_id"), store.scratch(spark, "runs")
+    for count in (40, 50):
+        store.append_run(newest, root, "m", count)
+    return store.runs(spark, root).select("run_id", "doc_count").join(store.run_candidates(spark, root).select("run_id", "category", "canonical_name", "mention_count"), "run_id")
+
+
 def _neighbours(rows: DataFrame, reach: int = 3) -> DataFrame:
     """(a, b) structs of each item and the ``reach`` that arrive next."""
     packed = rows.select("ord", F.struct(*rows.columns).alias("s"))

@@ -10,14 +10,14 @@ RAW_ITEM = (
     "source_title string, nickname string, username string, source_lang string, language string, "
     "tags array<struct<type:string,name:string,symbol:string>>"
 )
-EMBEDDING = "item_id string, item_hash string, model string, published_at timestamp, title string, source_name string, embedding array<float>"
+EMBEDDING = "item_id string, item_hash string, model string, published_at timestamp, title string, source_name string, embedding array<float>, seq long"
 MENTION = "batch_id long, ord long, category string, canonical_name string, aliases array<string>, evidence_title string, evidence_source string"
 DECISION = (
     "source_id string, action string, final_category string, final_canonical_name string, final_aliases array<string>, reason string"
 )
 DISCOVERY_RUN = (
     "run_id long, created_at timestamp, model string, latest_limit long, trending_limit long, batch_size long, min_mentions long, "
-    "min_docs long, doc_count long, candidate_count long, token string"
+    "min_docs long, doc_count long, candidate_count long"
 )
 DISCOVERY_CANDIDATE = (
     "run_id long, category string, canonical_name string, mention_count long, doc_count long, aliases array<string>, "

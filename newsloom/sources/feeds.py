@@ -200,7 +200,12 @@ def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         found = spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    fields = spark.createDataFrame([], schema).schema
+    return with_defaults(found, schema)
+
+
+def with_defaults(found: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema``; missing ones have their defaults, else null."""
+    fields = found.sparkSession.createDataFrame([], schema).schema
     return found.select(*[F.col(f.name).cast(f.dataType) if f.name in found.columns else _default(f.name, f.dataType) for f in fields])
 
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.recall import latest_vectors
 from ..operators.vocab import STATUS_ORDER, export_document, in_count_order, in_status_order, status_counts
 from ..schema import DISCOVERY_CANDIDATE, DISCOVERY_RUN, EMBEDDING, PROMOTED
 from ..vocabulary import Lexicon
-from .feeds import table_or_empty
+from .commits import CommitLog
+from .feeds import table_or_empty, with_defaults
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -36,53 +37,103 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_vectors(new: DataFrame, path: str) -> None:
-    """Vectors by (item, hash, model): rows not yet stored are appended; readers take the last written."""
-    stored = table_or_empty(new.sparkSession, path, EMBEDDING)
-    new.join(stored.select("item_id", "item_hash", "model").distinct(), ["item_id", "item_hash", "model"], "left_anti").write.mode("append").parquet(path)
+#: Folders by key that a commit of vectors is cut into. Fixed for a store's life.
+BUCKETS = 64
+VECTOR_KEY = ["item_id", "item_hash", "model"]
+STORED = f"{EMBEDDING}, bucket int"
 
 
-def vectors(spark: SparkSession, path: str) -> DataFrame:
-    return latest_vectors(table_or_empty(spark, path, EMBEDDING))
+def bucket_of(buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*VECTOR_KEY), F.lit(buckets)).cast("int")
+
+
+def upsert_vectors(new: DataFrame, path: str) -> int:
+    """A commit of vectors by (item, hash, model); readers see them instead of older ones. Of rows with one key, one is stored.
+
+    Nothing that is stored is read or moved.
+    """
+    log = CommitLog(new.sparkSession, path)
+    number = log.claim()
+    rows = latest_vectors(new.withColumn("seq", F.lit(number).cast("long"))).withColumn("seq", F.lit(number).cast("long"))
+    _write_bucketed(rows, log.folder(number))
+    log.publish(number)
+    return number
+
+
+def _write_bucketed(rows: DataFrame, folder: str) -> None:
+    names = [c.split()[0] for c in EMBEDDING.split(", ")]
+    rows.select(*names, bucket_of().alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+
+
+def _stored(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """Rows of all commits that count; of ``buckets`` alone, the folders of others are not opened."""
+    log = CommitLog(spark, path)
+    folders = log.folders()
+    if not folders:
+        return spark.createDataFrame([], STORED)
+    rows = spark.read.schema(STORED).option("basePath", path).parquet(*folders)
+    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+
+def vectors(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """The newest vector of each key."""
+    return latest_vectors(_stored(spark, path, buckets))
+
+
+def pending_vectors(items: DataFrame, path: str) -> DataFrame:
+    """Items (item_id, item_hash, model, ...) without a stored vector; only buckets that their keys fall into are read."""
+    keyed = items.withColumn("_bucket", bucket_of())
+    touched = [r["_bucket"] for r in keyed.select("_bucket").distinct().collect()]  # at most BUCKETS
+    known = _stored(items.sparkSession, path, touched).select(*VECTOR_KEY).distinct()
+    return keyed.drop("_bucket").join(known, VECTOR_KEY, "left_anti")
+
+
+def compact_vectors(spark: SparkSession, path: str) -> int | None:
+    """One commit in place of all there are, with the newest vector of each key; commits that come meanwhile stay."""
+    log = CommitLog(spark, path)
+    old = log.committed()
+    if len(old) < 2:
+        return None
+    rows = spark.read.schema(STORED).option("basePath", path).parquet(*[log.folder(n) for n in old])
+    number = log.claim()
+    _write_bucketed(latest_vectors(rows, keep_seq=True), log.folder(number))
+    log.publish(number, old)
+    return number
 
 
 RUN_SETTINGS = ("latest_limit", "trending_limit", "batch_size", "min_mentions", "min_docs", "doc_count")
 
 
 def append_run(candidates: DataFrame, root: str, model: str, doc_count: int, **settings: int) -> int:
-    """A discovery run with its settings and candidates, partitioned by run; returns its id.
+    """A discovery run with its settings and candidates; returns its id.
 
-    The run row is written first and claims the id: of two writers with the same
-    id the one whose claim names the smaller token keeps it, the other takes the
-    next.  A run that fails before its candidates are written is one without any.
+    The id is a claimed commit, so two writers never have the same; the run and
+    its candidates are seen together, once both are written.
     """
-    spark = candidates.sparkSession
-    counted = candidates.count()
+    spark, log = candidates.sparkSession, CommitLog(candidates.sparkSession, root)
+    run_id = log.claim()
+    number = F.lit(run_id).cast("long").alias("run_id")
+    rows = candidates.select(number, "category", "canonical_name", "mention_count", "doc_count", "aliases", "evidence_titles", "source_names")
+    rows.write.parquet(f"{log.folder(run_id)}/candidates")
+    counted = spark.read.parquet(f"{log.folder(run_id)}/candidates").count()
     values = {**{k: settings.get(k) for k in RUN_SETTINGS}, "doc_count": doc_count, "candidate_count": counted}
-    while True:
-        run_id, token = (runs(spark, root).agg(F.max("run_id")).first()[0] or 0) + 1, uuid.uuid4().hex
-        row = [F.lit(run_id).cast("long").alias("run_id"), F.current_timestamp().alias("created_at"), F.lit(model).alias("model"), *[F.lit(v).cast("long").alias(k) for k, v in values.items()], F.lit(token).alias("token")]
-        spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(f"{root}/runs")
-        if claims(spark, root).where(F.col("run_id") == run_id).agg(F.min("token")).first()[0] == token:
-            break
-    rows = candidates.select("category", "canonical_name", "mention_count", "doc_count", "aliases", "evidence_titles", "source_names")
-    rows.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("append").partitionBy("run_id").parquet(f"{root}/candidates")
+    row = [number, F.current_timestamp().alias("created_at"), F.lit(model).alias("model"), *[F.lit(v).cast("long").alias(k) for k, v in values.items()]]
+    spark.range(1).select(*row).coalesce(1).write.parquet(f"{log.folder(run_id)}/run")
+    log.publish(run_id)
     return run_id
 
 
-def claims(spark: SparkSession, root: str) -> DataFrame:
-    return table_or_empty(spark, f"{root}/runs", DISCOVERY_RUN)
-
-
 def run_candidates(spark: SparkSession, root: str) -> DataFrame:
-    return table_or_empty(spark, f"{root}/candidates", DISCOVERY_CANDIDATE)
+    return _of_runs(spark, root, "candidates", DISCOVERY_CANDIDATE)
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    """Runs, one row for each id: the claim that kept it."""
-    rows = claims(spark, root)
-    rest = [c for c in rows.columns if c != "run_id"]
-    return rows.groupBy("run_id").agg(F.min_by(F.struct(*rest), F.coalesce("token", F.lit(""))).alias("r")).select("run_id", "r.*").drop("token")
+    return _of_runs(spark, root, "run", DISCOVERY_RUN)
+
+
+def _of_runs(spark: SparkSession, root: str, part: str, schema: str) -> DataFrame:
+    folders = [f"{f}/{part}" for f in CommitLog(spark, root).folders()]
+    return with_defaults(spark.read.option("mergeSchema", "true").parquet(*folders), schema) if folders else spark.createDataFrame([], schema)
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:

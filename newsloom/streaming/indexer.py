@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import append_vectors
+from ..sources.store import pending_vectors, upsert_vectors
 
 
 def index_stream(items: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
@@ -21,8 +21,8 @@ def index_stream(items: DataFrame, embed: Callable[[DataFrame], DataFrame], path
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        once = batch.dropDuplicates(["item_id", "item_hash", "model"])
-        append_vectors(embed(once).select("item_id", "item_hash", "model", "published_at", "title", "source_name", "embedding"), path)
+        new = pending_vectors(batch.dropDuplicates(["item_id", "item_hash", "model"]), path)
+        upsert_vectors(embed(new).select("item_id", "item_hash", "model", "published_at", "title", "source_name", "embedding"), path)
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -157,8 +157,8 @@ def test_stores(spark, tmp_path):
     root = str(tmp_path)
     assert store.vectors(spark, f"{root}/v").count() == 0 and store.snapshot(spark, f"{root}/p").count() == 0
     new = spark.createDataFrame([("a", "h", "m", NOW, "t", "s", [1.0])], "item_id string, item_hash string, model string, published_at timestamp, title string, source_name string, embedding array<float>")
-    store.append_vectors(new, f"{root}/v")
-    store.append_vectors(new, f"{root}/v")
+    store.upsert_vectors(new, f"{root}/v")
+    store.upsert_vectors(new, f"{root}/v")
     assert store.vectors(spark, f"{root}/v").count() == 1
     a = spark.createDataFrame([promoted_row("active")], PROMOTED)
     assert store.upsert_promoted(a, f"{root}/p") == 1

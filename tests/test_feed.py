@@ -13,6 +13,7 @@ from newsloom.plans import feed as fd
 from newsloom.plans import fixtures as fx
 from newsloom.schema import PROFILE
 from newsloom.sources import store
+from newsloom.sources.commits import CommitLog
 from newsloom.sources.feeds import PROJECT_FEEDS, Cursor, SourceError, TableFeed
 from newsloom.vocabulary import Lexicon
 
@@ -262,13 +263,11 @@ def test_reports_and_runs(spark, tmp_path):
     c = spark.createDataFrame([("token", "x", 1, 1, ["x"], ["t"], ["s"]), ("topic", 'y"', 3, 2, [], [], [])], shape)
     root = str(tmp_path / "r")
     assert store.append_run(c, root, "m", 40, latest_limit=40, trending_limit=30, batch_size=12, min_mentions=2, min_docs=2) == 1
-    # Two writers that claim the same id: one keeps it.
-    claim = store.claims(spark, root).withColumn("run_id", F.lit(2).cast("long"))
-    for t in ("zz", "aa"):
-        claim.withColumn("token", F.lit(t)).write.mode("append").parquet(f"{root}/runs")
+    # A writer that has claimed an id and not come back: nobody else gets it, and nothing of it is seen.
+    assert CommitLog(spark, root).claim() == 2
     assert store.append_run(c, root, "m", 4) == 3
     runs = {r["run_id"]: r for r in store.runs(spark, root).collect()}
-    assert set(runs) == {1, 2, 3} and (runs[1]["batch_size"], runs[1]["candidate_count"], runs[3]["batch_size"]) == (12, 2, None)
+    assert set(runs) == {1, 3} and (runs[1]["batch_size"], runs[1]["candidate_count"], runs[3]["batch_size"]) == (12, 2, None)
     found = json.loads(store.discovery_report({"model": "m", "doc_count": 4}, c, {"batch_summaries": spark.range(2)}).first()["value"])
     assert found["meta"] == {"model": "m", "doc_count": 4} and [x["canonical_name"] for x in found["candidates"]] == ['y"', "x"] and found["debug"]["batch_summaries"] == [{"id": 0}, {"id": 1}]
 
