@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import clamp, hours_between, level_weight, lowered, stepped, total
 from ..schema import BUCKETS
-from .similarity import REDUNDANCY
+from .similarity import REDUNDANCY, redundancy_of
 
 #: Share of each signal in the score. Fixed values.
 WEIGHTS = {
@@ -70,47 +69,39 @@ def raw_ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("raw_rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), *by)).cast("long"))
 
 
-def _overlap(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+def _next_pick(state: Column, trade: float, look_back: int) -> Column:
+    """Moves the best of what is left to the picks: score against likeness to the last ``look_back`` of them, the first of equals."""
+    last = F.slice(state["picked"], F.greatest(F.size(state["picked"]) - look_back + 1, F.lit(1)), F.lit(look_back))
+    worst = lambda x: F.array_max(F.transform(last, lambda p: redundancy_of(x, p)))
+    value = lambda x, i: F.struct((F.lit(trade) * x["score"] - F.lit(1 - trade) * worst(x)).alias("v"), (-i).alias("i"))
+    first = F.size(state["picked"]) == 0  # the picks begin with the best score, which comes first
+    at = F.when(first, 0).otherwise(-F.array_max(F.transform(state["left"], value))["i"])
+    chosen = F.element_at(state["left"], at + 1)
+    return F.struct(F.concat(state["picked"], F.array(chosen)).alias("picked"), F.filter(state["left"], lambda x, i: i != at).alias("left"))
 
 
-def pick_order(rows: list[dict], trade: float = LAMBDA, look_back: int = LOOK_BACK) -> list[int]:
-    """Order of rows that come by score: best first, then score against likeness to the last picks."""
-    if len(rows) <= 2:
-        return list(range(len(rows)))
-    picked, left = [0], list(range(1, len(rows)))
+def reranked(rows: Column, kind: str, trade: float = LAMBDA, look_back: int = LOOK_BACK) -> Column:
+    """An array of clusters (sorted by raw rank) in the order of the diversity rerank; one or two stay as they are."""
+    start = F.struct(F.array().cast(kind).alias("picked"), rows.alias("left"))
+    picked = F.aggregate(F.sequence(F.lit(1), F.size(rows)), start, lambda state, _: _next_pick(state, trade, look_back), lambda state: state["picked"])
+    return F.when(F.size(rows) <= 2, rows).otherwise(picked)
 
-    def like(a: dict, b: dict) -> float:
-        s = sum(w * _overlap(a[k], b[k]) for k, w in REDUNDANCY.items()) + (0.16 if a["event_type"] == b["event_type"] else 0.0)
-        return min(1.0, max(0.0, s))
 
-    while left:
-        best, at = None, 0
-        for n, i in enumerate(left):
-            worst = max(like(rows[i], rows[j]) for j in picked[-look_back:])
-            value = trade * rows[i]["score"] - (1 - trade) * worst
-            if best is None or value > best:
-                best, at = value, n
-        picked.append(left.pop(at))
-    return picked
-
-
-def rerank(ranked: DataFrame) -> DataFrame:
+def rerank(ranked: DataFrame, trade: float = LAMBDA, look_back: int = LOOK_BACK) -> DataFrame:
     """(user_id, event_id, raw_rank, rank) after the diversity rerank of each user's rows; bound them before."""
-    rows = ranked.select("user_id", "event_id", "raw_rank", "score", "event_type", *[lowered(F.col("entities")[k]).alias(k) for k in REDUNDANCY])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("raw_rank")
-        records = frame.to_dict("records")
-        for r in records:
-            for k in REDUNDANCY:
-                r[k] = set(r[k])
-        order = pick_order(records)
-        out = frame.iloc[order][["user_id", "event_id", "raw_rank"]].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return rows.groupBy("user_id").applyInPandas(run, "user_id string, event_id string, raw_rank long, rank long")
+    terms = [lowered(F.col("entities")[k]).alias(k) for k in REDUNDANCY]
+    rows = ranked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("raw_rank").cast("long").alias("raw_rank"), "event_id", F.col("score").cast("double").alias("score"), "event_type", F.struct(*terms).alias("entities")))).alias("rows"))
+    kind = rows.schema["rows"].dataType.simpleString()
+    placed = rows.select("user_id", F.posexplode(reranked(F.col("rows"), kind)).alias("place", "row"))
+    return placed.select("user_id", "row.event_id", "row.raw_rank", (F.col("place") + 1).cast("long").alias("rank"))
+
+
+def page_of(rows: DataFrame, page: int, size: int) -> DataFrame:
+    """One page of each user's ranked rows, with its number, the place in it, and whether more follow; all by rank, nothing is fetched."""
+    total = rows.groupBy("user_id").agg(F.max("rank").alias("_last"))
+    here = rows.where(F.col("rank").between(page * size + 1, (page + 1) * size)).join(total, "user_id")
+    place = (F.col("rank") - page * size - 1).cast("int")
+    return here.withColumns({"page": F.lit(page), "place": place, "has_more": F.col("_last") > (page + 1) * size}).drop("_last")
 
 
 def explained(ranked: DataFrame, order: DataFrame) -> DataFrame:

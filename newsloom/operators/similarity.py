@@ -69,7 +69,13 @@ def candidate_pairs(items: DataFrame) -> DataFrame:
 
 def redundancy(a: Column, b: Column) -> Column:
     """Of two clusters (structs with ``entities`` and ``event_type``)."""
+    low = lambda c: F.struct(F.struct(*[lowered(c["entities"][k]).alias(k) for k in REDUNDANCY]).alias("entities"), c["event_type"].alias("event_type"))
+    return redundancy_of(low(a), low(b))
+
+
+def redundancy_of(a: Column, b: Column) -> Column:
+    """Of two clusters whose entities are in lower case already."""
     score = F.lit(0.0)
     for k, share in REDUNDANCY.items():
-        score = score + share * jaccard(lowered(a["entities"][k]), lowered(b["entities"][k]))
+        score = score + share * jaccard(a["entities"][k], b["entities"][k])
     return clamp(score + F.when(a["event_type"] == b["event_type"], 0.16).otherwise(0.0))

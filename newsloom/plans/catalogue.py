@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..sources import store
 from ..streaming import indexer
 from ..vocabulary import Lexicon
 from . import fixtures as fx
-from .feed import NewsFeed, Session, step
+from .feed import NewsFeed
 from .fixtures import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,30 +359,37 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.raw_ranked(rows)
 
 
-@query()
+@query("SELECT user_id, event_id, raw_rank, rank FROM \"order\"", "order")
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.rerank(_ranked(spark, sf_dir))
 
 
-@query()
+_SHARES = ", ".join(f"round({w}::DOUBLE * o.{n}, 4) AS {n}" for n, w in rank.WEIGHTS.items())
+
+
+@query(f"""SELECT o.user_id, o.rank, o.raw_rank, o.event_id, o.title, o.event_type, round(o.score, 3) AS score, {_SHARES},
+  CASE WHEN list_contains(o.projects, 'beta') THEN 'Beta' ELSE '' END AS matched_projects,
+  array_to_string(list_filter(['Alpha', 'Origin', 'With'], lambda x: list_contains(list_concat(o.projects, o.tokens, o.topics, o.chains), lower(x))), '|') AS matched_interests,
+  CASE WHEN list_contains(o.topics, 'state') THEN 'State' ELSE '' END AS matched_mutes,
+  coalesce((SELECT string_agg(bucket || ':' || canonical || ':' || level, '|' ORDER BY bucket || ':' || canonical || ':' || level) FROM conf c WHERE c.id = f.id), '') AS evidence
+FROM (SELECT r.*, importance AS importance_score FROM "order" r) o JOIN (SELECT event_type, day, arg_min(id, (at_s, ord)) AS id FROM (SELECT *, at_s // 86400 AS day FROM items) GROUP BY ALL) f ON f.event_type = o.event_type AND f.day = o.day""", "order", "conf", "items")
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ranked(spark, sf_dir)
-    return rank.explained(rows, rank.rerank(rows))
+    made = rank.explained(rows, rank.rerank(rows))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    evidence = F.array_join(F.array_sort(F.transform("evidence", lambda e: F.concat_ws(":", e["bucket"], e["name"], e["level"]))), "|")
+    shares = [F.col("contributions")[n].alias(n) for n in rank.WEIGHTS]
+    return made.select("user_id", "rank", "raw_rank", "event_id", "title", "event_type", F.round("score", 3).alias("score"), *shares, *map(joined, ("matched_projects", "matched_interests", "matched_mutes")), evidence.alias("evidence"))
 
 
-@query()
+@query("""SELECT CAST((rank - 1) // 2 AS INTEGER) AS page, CAST((rank - 1) % 2 AS INTEGER) AS place, event_id, n > ((rank - 1) // 2 + 1) * 2 AS has_more
+FROM (SELECT *, count(*) OVER () AS n FROM "order" WHERE day = (SELECT max(day) FROM "order")) WHERE rank <= 6""", "order")
 def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three pages of the newest day's feed."""
     rows = _ranked(spark, sf_dir)
-    day = rows.agg(F.max("day")).first()[0]
-    today = rows.where(F.col("day") == day)
-    order = rank.rerank(today).join(today.select("event_id", F.transform("items", lambda i: i["id"]).alias("ids")), "event_id").orderBy("rank").collect()
-    events = [(r["event_id"], tuple(r["ids"])) for r in order]
-    session, out = Session("s", "p"), []
-    for page in range(3):
-        session, ids, more = step(session, 2, lambda s, n: (events, ""), float(page))
-        out += [(page, i, e, more) for i, e in enumerate(ids)]
-    return spark.createDataFrame(out, "page int, place int, event_id string, has_more boolean")
+    today = rows.join(rows.agg(F.max("day").alias("day")), "day")
+    order = store.staged(rank.rerank(today), "order")
+    return reduce(DataFrame.unionByName, [rank.page_of(order, page, 2) for page in range(3)]).select("page", "place", "event_id", "has_more")
 
 
 def _known(spark: SparkSession) -> DataFrame:
@@ -550,11 +558,12 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table_or_empty(spark, path, indexer.SESSION_OUT).select("user_id", "page", F.array_join("events", "|").alias("events"), "has_more")
 
 
+@query("SELECT user_id, rank, raw_rank, event_id, title, event_type, round(score, 3) AS score, n_items FROM \"order\"", "order")
 def daily_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day's clusters ranked and reranked for the fixture profile."""
     rows = _ranked(spark, sf_dir)
     order = rank.rerank(rows).select("user_id", "event_id", "rank")
-    return rows.join(order, ["user_id", "event_id"]).select("user_id", "rank", "raw_rank", "event_id", "title", "event_type", "score", "n_items")
+    return rows.join(order, ["user_id", "event_id"]).select("user_id", "rank", "raw_rank", "event_id", "title", "event_type", F.round("score", 3).alias("score"), "n_items")
 
 
 def personal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,4 +578,4 @@ def personal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "page int, place int, event_id string, title string, event_type string, score double, n_items long, has_more boolean")
 
 
-QUERIES |= {"daily_ranking": daily_ranking, "personal_feed": personal_feed}
+QUERIES["personal_feed"] = personal_feed

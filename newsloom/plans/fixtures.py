@@ -155,6 +155,18 @@ _SCORE = f"""CASE WHEN NOT (list_contains(x.types, event_type) OR event_type = '
     CASE WHEN list_contains(x.types, event_type) THEN 0.35::DOUBLE ELSE 0.12::DOUBLE END + CASE WHEN x.at_s - at_s <= 21600 THEN 0.2::DOUBLE WHEN x.at_s - at_s <= 86400 THEN 0.12::DOUBLE ELSE 0.06::DOUBLE END
     + ({_SHARED}) + 0.18::DOUBLE * {_TITLE} END"""
 
+_SIGNALS = {
+    "importance_score": 0.25, "freshness_score": 0.20, "follow_affinity_score": 0.18, "interest_match_score": 0.15, "semantic_match_score": 0.12,
+    "source_quality_score": 0.10, "risk_boost_score": 0.05, "mute_penalty": -0.20,
+}
+
+
+def _alike(k: str) -> str:
+    return f"CASE WHEN len(x.{k}) = 0 OR len(p.{k}) = 0 THEN 0 ELSE len(list_intersect(x.{k}, p.{k})) / len(list_distinct(list_concat(x.{k}, p.{k}))) END::DOUBLE"
+
+
+_LIKE = "least(" + " + ".join(f"{w}::DOUBLE * {_alike(k)}" for k, w in (("projects", 0.34), ("tokens", 0.20), ("topics", 0.20), ("chains", 0.10))) + " + CASE WHEN x.event_type = p.event_type THEN 0.16::DOUBLE ELSE 0 END, 1)"
+
 SQL = {
     "raw": f"""SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, doc_id AS ord, substr(text, 1, 60) AS title, text AS content,
         ['official', 'media', 'twitter', 'other'][CAST(doc_id % 4 + 1 AS INTEGER)] AS source_type, source AS source_name, lang AS language,
@@ -223,6 +235,20 @@ SQL = {
         FROM member m GROUP BY head_id""",
     "member": """SELECT i.*, g.head_id, substr(c, 1, 120) || CASE WHEN length(c) > 120 THEN '...' ELSE '' END AS summary
         FROM (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS c FROM items) i JOIN greedy g ON g.id = i.id""",
+    # Each day's clusters with score and raw rank, and the sets that likeness is taken of.
+    "ranked": f"""SELECT c.day, c.event_id, c.event_type, c.title, c.n_items, c.score, row_number() OVER (PARTITION BY c.day ORDER BY c.score DESC, c.importance_score DESC, c.event_id) AS raw_rank, s.* EXCLUDE (event_id, importance_score),
+        c.importance_score AS importance, {", ".join(f"coalesce((SELECT list(DISTINCT key) FROM terms t WHERE t.event_type = c.event_type AND t.day = c.day AND t.bucket = '{b}'), []) AS {b}" for b in ("projects", "tokens", "topics", "chains"))}
+        FROM (SELECT c.*, round({" + ".join(f"{w}::DOUBLE * s.{n}" for n, w in _SIGNALS.items())}, 4) AS score FROM clusters c JOIN signals s ON s.event_id = c.event_id) c JOIN signals s ON s.event_id = c.event_id""",
+    "picks": f"""SELECT day, unnest(picked) AS p, unnest(range(1, len(picked) + 1)) AS rank FROM (
+        WITH RECURSIVE g(day, picked, rest) AS (
+          SELECT day, CASE WHEN count(*) <= 2 THEN list(r ORDER BY r.raw_rank) ELSE [arg_min(r, r.raw_rank)] END, CASE WHEN count(*) <= 2 THEN [] ELSE list(r ORDER BY r.raw_rank)[2:] END
+          FROM (SELECT day, {{'raw_rank': raw_rank, 'event_id': event_id, 'event_type': event_type, 'score': score, 'projects': projects, 'tokens': tokens, 'topics': topics, 'chains': chains}} AS r FROM ranked) GROUP BY day
+          UNION ALL
+          SELECT day, list_append(picked, rest[spot]), list_filter(rest, lambda x, i: i <> spot) FROM (
+            SELECT *, list_position(worth, list_max(worth)) AS spot FROM (
+              SELECT *, list_transform(rest, lambda x: 0.78::DOUBLE * x.score - (1 - 0.78::DOUBLE) * list_max(list_transform(picked[-5:], lambda p: {_LIKE}))) AS worth FROM g WHERE len(rest) > 0))
+        ) SELECT day, picked FROM g WHERE len(rest) = 0)""",
+    "order": "SELECT r.*, k.rank, 'u1/' || r.day AS user_id FROM ranked r JOIN picks k ON k.day = r.day AND k.p.event_id = r.event_id",
     "mentions": """SELECT event_id // 12 AS batch_id, event_id AS ord, CASE event_type WHEN 'click' THEN 'project' WHEN 'view' THEN 'token' WHEN 'purchase' THEN 'topic' WHEN 'signup' THEN 'event_keyword' ELSE 'topic' END AS category,
         'name ' || (user_id % 25) AS name, props AS title, CAST(user_id % 7 AS VARCHAR) AS source, 'alias ' || (user_id % 3) AS alias FROM events""",
     "odd": """SELECT *, CASE WHEN n = 2 AND category IN ('project', 'event_keyword') THEN 'name 2' ELSE lower(name) END AS key, name = '  ' OR (name = 'skill' AND category <> 'token') AS noise
@@ -251,7 +277,7 @@ SQL = {
 }
 _NEEDS = {
     "hits": ["raw", "lex"], "ent": ["hits"], "conf": ["ent"], "flags": ["conf"], "points": ["flags"], "scored": ["points"], "typed": ["scored"], "items": ["typed"],
-    "weights": ["conf"], "tokens": ["raw"], "clusters": ["items"], "terms": ["items"], "signals": ["clusters", "terms"], "vectors": ["items", "tokens", "weights"], "greedy": ["vectors"], "member": ["items", "greedy"], "rolled": ["member"], "candidates": ["mentions"],
+    "weights": ["conf"], "tokens": ["raw"], "clusters": ["items"], "terms": ["items"], "signals": ["clusters", "terms"], "vectors": ["items", "tokens", "weights"], "greedy": ["vectors"], "member": ["items", "greedy"], "ranked": ["clusters", "terms", "signals"], "picks": ["ranked"], "order": ["ranked", "picks"], "rolled": ["member"], "candidates": ["mentions"],
     "recent": ["runs", "run_candidates"], "promoted": ["recent"], "odd": ["mentions"], "pool": ["raw"], "hits12": ["pool"],
 }
 
@@ -268,4 +294,4 @@ def sql(select: str, *views: str) -> str:
 
     for v in views:
         add(v)
-    return "WITH " + ",\n".join(f"{v} AS ({SQL[v]})" for v in order) + "\n" + select
+    return "WITH " + ",\n".join(f'"{v}" AS ({SQL[v]})' for v in order) + "\n" + select

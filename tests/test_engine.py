@@ -93,9 +93,36 @@ def test_cluster_fold():
     assert cluster.fold([]) == []
 
 
-def test_pick_order():
-    rows = [{"score": s, "event_type": t, "projects": {p}, "tokens": set(), "topics": set(), "chains": set()} for s, t, p in [(0.9, "a", "x"), (0.88, "a", "x"), (0.8, "b", "y")]]
-    assert rank.pick_order(rows) == [0, 2, 1] and rank.pick_order(rows[:2]) == [0, 1] and rank.pick_order([]) == []
+def plain_order(rows):
+    """Best first; then each time the first of the best by score against likeness to the last five picks."""
+    share = {"projects": 0.34, "tokens": 0.20, "topics": 0.20, "chains": 0.10}
+
+    def like(a, b):
+        s = sum(w * (len(a[k] & b[k]) / len(a[k] | b[k]) if a[k] and b[k] else 0.0) for k, w in share.items())
+        return min(1.0, s + (0.16 if a["event_type"] == b["event_type"] else 0.0))
+
+    left, picked = list(rows), []
+    while left:
+        worth = [0.78 * r["score"] - (1 - 0.78) * max((like(r, p) for p in picked[-5:]), default=0.0) for r in left]
+        picked.append(left.pop(0 if len(rows) <= 2 or not picked else worth.index(max(worth))))
+    return picked
+
+
+def test_rerank_equals_plain_order(spark):
+    rng = random.Random(4)
+    buckets = ("projects", "tokens", "topics", "chains", "people")
+    rows, want = [], {}
+    for user, n in (("a", 1), ("b", 2), ("c", 3), ("d", 25), ("e", 25), ("f", 9)):
+        mine = [{"event_id": f"{user}{i}", "score": round(1 - i * 0.03 * rng.random(), 4), "event_type": rng.choice("xyz"), **{b: {x for x in "PQR" if rng.random() < 0.4} for b in buckets}} for i in range(n)]
+        mine.sort(key=lambda r: -r["score"])
+        rows += [(user, r["event_id"], i + 1, r["score"], r["event_type"], tuple(sorted(r[b]) for b in buckets)) for i, r in enumerate(mine)]
+        want |= {(user, r["event_id"]): i + 1 for i, r in enumerate(plain_order(mine))}
+    ranked = spark.createDataFrame(rows, "user_id string, event_id string, raw_rank long, score double, event_type string, entities struct<" + ",".join(f"{b}:array<string>" for b in buckets) + ">")
+    made = rank.rerank(ranked)
+    assert {(r["user_id"], r["event_id"]): r["rank"] for r in made.collect()} == want
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString() and rank.rerank(ranked.limit(0)).isEmpty()
+    second = rank.page_of(made.where("user_id = 'f'"), 1, 4).orderBy("rank").select("page", "place", "rank", "has_more").collect()
+    assert [tuple(r) for r in second] == [(1, i, 5 + i, True) for i in range(4)]
 
 
 def test_sessions():
