@@ -89,11 +89,17 @@ def reranked(rows: Column, kind: str, trade: float = LAMBDA, look_back: int = LO
 
 def rerank(ranked: DataFrame, trade: float = LAMBDA, look_back: int = LOOK_BACK) -> DataFrame:
     """(user_id, event_id, raw_rank, rank) after the diversity rerank of each user's rows; bound them before."""
+    return with_rank(ranked.select("user_id", "event_id", "raw_rank", "score", "event_type", "entities"), trade, look_back).select("user_id", "event_id", "raw_rank", "rank")
+
+
+def with_rank(ranked: DataFrame, trade: float = LAMBDA, look_back: int = LOOK_BACK) -> DataFrame:
+    """The rows with ``rank``, all their columns kept; what is sorted by and compared goes first."""
     terms = [lowered(F.col("entities")[k]).alias(k) for k in REDUNDANCY]
-    rows = ranked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("raw_rank").cast("long").alias("raw_rank"), "event_id", F.col("score").cast("double").alias("score"), "event_type", F.struct(*terms).alias("entities")))).alias("rows"))
+    row = F.struct(F.col("raw_rank").cast("long").alias("raw_rank"), F.col("score").cast("double").alias("score"), "event_type", F.struct(*terms).alias("entities"), F.struct(*ranked.columns).alias("row"))
+    rows = ranked.groupBy(F.col("user_id").alias("_user")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     kind = rows.schema["rows"].dataType.simpleString()
-    placed = rows.select("user_id", F.posexplode(reranked(F.col("rows"), kind)).alias("place", "row"))
-    return placed.select("user_id", "row.event_id", "row.raw_rank", (F.col("place") + 1).cast("long").alias("rank"))
+    placed = rows.select(F.posexplode(reranked(F.col("rows"), kind)).alias("place", "row"))
+    return placed.select("row.row.*", (F.col("place") + 1).cast("long").alias("rank"))
 
 
 def page_of(rows: DataFrame, page: int, size: int) -> DataFrame:

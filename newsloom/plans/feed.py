@@ -9,14 +9,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, first_filled, profile_query, profile_signature
 from ..operators import cluster, rank, recall
 from ..operators.normalize import ITEM, normalize
-from ..sources.feeds import Cursor, Feed, bounded, filled_meta
+from ..sources.feeds import MOST_ITEMS, Cursor, Feed, bounded, filled_meta
 from ..vocabulary import Lexicon
 
 TTL_SECONDS = 1800
@@ -187,10 +190,8 @@ class NewsFeed:
             wider = [("latest", lambda: self.feed.latest(limits["pool"])), ("trending", lambda: self.feed.trending("hot_news", limits["pool"]))]
             found = recall.attempted(wider, required=())
             pool = self.vector_of(self._read(recall.routes(found))) if found else None
-            items = recall.supplemented(self.vector_of(items), pool, query_vector, limits["top_k"])
-        else:
-            items = items.withColumn("semantic_match_score", F.lit(0.0))
-        return recall.best_variant(items)
+            return _chosen(self.vector_of(items), pool, query_vector, limits["top_k"])
+        return _chosen(items, None, None, 0)
 
     def ranked(self, profiles: DataFrame, candidates: DataFrame, delivered: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         """Clusters of the candidates, scored and reranked for each profile; ``hold`` keeps what is read more than once."""
@@ -198,8 +199,7 @@ class NewsFeed:
             candidates = candidates.join(delivered, "id", "left_anti")
         now = self.now if self.now is not None else F.current_timestamp()
         clusters = cluster.cluster_events(hold(candidates.withColumn("scope", F.lit("all"))), "scope")
-        scores = hold(rank.raw_ranked(rank.scored(clusters, profiles, now), F.desc("importance_score"), F.col("bucket_no")))
-        return scores.join(rank.rerank(scores).select("user_id", "event_id", "rank"), ["user_id", "event_id"])
+        return rank.with_rank(rank.raw_ranked(rank.scored(clusters, profiles, now), F.desc("importance_score"), F.col("bucket_no")))
 
     def personal_feed(self, profiles: DataFrame, most: int = 5, cursor: str | None = None, query: str = "", now: float = 0.0, query_vector: list[float] | None = None) -> dict:
         """A page of events for one profile; an unknown, expired or foreign cursor begins a new session.
@@ -213,15 +213,16 @@ class NewsFeed:
             session = Session(f"{profile['_signature'][:12]}-{uuid.uuid4().hex[:12]}", profile["_signature"], query, updated=now)
         vector = query_vector if query_vector is not None else self.query_vector(profiles, session.query)
         shown: dict[str, dict] = {}
+        ahead = ReadAhead(self, list(profile["followed_projects"] or []), list(profile["interests"] or []), session.latest_cursor)
 
         def fetch(state: Session, slots: int) -> tuple[list[Event], str]:
             limits = fill_limits(slots)
-            found = self.recalled(list(profile["interests"] or []), list(profile["followed_projects"] or []), vector, limits, state.latest_cursor)
+            found, cursor = ahead.recalled(vector, limits, state.latest_cursor)
             if state.items:
                 found = found.where(~F.col("id").isin(sorted(state.items)))
             rows = self.ranked(profiles.limit(1), found, hold=_held).orderBy("rank").select("event_id", "title", "event_type", "score", "n_items", F.transform("items", lambda i: i["id"]).alias("ids")).collect()
             shown.update({r["event_id"]: r.asDict() for r in rows})
-            return [(r["event_id"], tuple(r["ids"])) for r in rows], _last_cursor(self.feed.latest(limits["latest"], state.latest_cursor), limits["latest"])
+            return [(r["event_id"], tuple(r["ids"])) for r in rows], cursor
 
         session, events, more = step(session, most, fetch, now)
         self.sessions[session.id] = session
@@ -229,9 +230,96 @@ class NewsFeed:
         return {"events": events, "clusters": [self.shown[e] for e in events], "has_more": more, "next_cursor": session.id if more else ""}
 
 
+def _chosen(items: DataFrame, pool: DataFrame | None, vector: list[float] | None, top_k: int) -> DataFrame:
+    """Candidates with their semantic score, those of the pool nearest to the vector among them; the best variant of each id."""
+    if vector:
+        return recall.best_variant(recall.supplemented(items, pool, vector, top_k))
+    return recall.best_variant(items.withColumn("semantic_match_score", F.lit(0.0)).drop("embedding"))
+
+
+class ReadAhead:
+    """What one profile's fills read, as items that are normalised once and held.
+
+    Routes without a cursor are read once, at their full length; a fill takes the
+    first rows it asks for.  The latest route is read some pages ahead of the
+    fills.  All that is held is pages of at most 30 rows.
+    """
+
+    PAGES = 4
+
+    def __init__(self, news: NewsFeed, projects: list[str], interests: list[str], cursor: str):
+        self.news, self.cursor = news, cursor
+        feed = news.feed
+        self.makers = [("trending", lambda: feed.trending("hot_news", MOST_ITEMS))]
+        self.makers += [(f"project:{p}", lambda p=p: feed.project(p, limit=MOST_ITEMS)) for p in projects]
+        self.makers += [(f"interest:{i}", lambda i=i: feed.search(i, MOST_ITEMS)) for i in interests]
+        self.fixed: dict[str, pa.Table] | None = None
+        self.latest: pa.Table | None = None
+        self.place = {cursor: 0}  # of the first row after each cursor
+        self.ended = False
+
+    def _normalised(self, parts: list[tuple[str, pa.Table]]) -> dict[str, pa.Table]:
+        """Items of raw rows by part, in their order."""
+        raw = pa.concat_tables([_routed(name, rows, 0) for name, rows in parts], promote_options="default")
+        items = self.news.vector_of(self.news._read(_local(raw))).toArrow().sort_by("ord")
+        return {name: items.filter(pc.equal(items["route"], name)) for name, _ in parts}
+
+    def _pages(self) -> list[tuple[str, pa.Table]]:
+        """The next pages of the latest route; notes where each of their rows ends."""
+        pages = []
+        while len(pages) < self.PAGES and not self.ended:
+            rows = self.news.feed.latest(MOST_ITEMS, self.cursor).toArrow()
+            keys = [str(Cursor(r["published_at"].astimezone().replace(tzinfo=None), r["id"])) for r in rows.select(["published_at", "id"]).to_pylist()]
+            self.ended = len(keys) < MOST_ITEMS
+            if keys:
+                first = len(self.place) - 1
+                self.place |= {k: first + i + 1 for i, k in enumerate(keys)}
+                self.cursor = keys[-1]
+                pages.append((f"latest {len(pages)}", rows))
+        return pages
+
+    def _fill(self, least: int) -> None:
+        if self.fixed is None:
+            parts = recall.attempted([(n, lambda m=m: m().toArrow()) for n, m in self.makers], required=("trending",))
+            first = not self.cursor  # a session that begins reads its newest items on the first page
+            newest = [] if first else recall.attempted([("newest", lambda: self.news.feed.latest(MOST_ITEMS).toArrow())], required=())
+            pages = self._pages()
+            found = self._normalised(parts + newest + pages)
+            self.latest = pa.concat_tables([found.pop(name) for name, _ in pages]) if pages else found["trending"].slice(0, 0)
+            self.fixed = found | ({"newest": self.latest.slice(0, MOST_ITEMS)} if first else {})
+        while len(self.latest) < least and not self.ended:
+            if pages := self._pages():
+                found = self._normalised(pages)
+                self.latest = pa.concat_tables([self.latest, *[found[name] for name, _ in pages]])
+
+    def recalled(self, vector: list[float] | None, limits: dict[str, int], cursor: str) -> tuple[DataFrame, str]:
+        """The candidates of a fill, as :meth:`NewsFeed.recalled` finds them, and the cursor to go on from."""
+        at, most = self.place[cursor], bounded(limits["latest"])
+        self._fill(at + most)
+        page = self.latest.slice(at, most)
+        onward = next(k for k, i in self.place.items() if i == at + most) if len(page) == most and most else ""
+        size = lambda name: limits[name.partition(":")[0]]
+        parts = [("latest", page)] + [(n, rows.slice(0, size(n))) for n, rows in self.fixed.items() if n != "newest"]
+        pool = [(n, self.fixed[k].slice(0, limits["pool"])) for n, k in (("latest", "newest"), ("trending", "trending")) if k in self.fixed]
+        joined = lambda of: _local(pa.concat_tables([_routed(n, rows, i) for i, (n, rows) in enumerate(of)]))
+        return _chosen(joined(parts), joined(pool) if vector and pool else None, vector, limits["top_k"]), onward
+
+
+def _routed(name: str, rows: pa.Table, part: int) -> pa.Table:
+    """``rows`` with their route and order of arrival."""
+    kept = rows.drop_columns([c for c in ("route", "ord") if c in rows.column_names])
+    order = pa.array(range(part * 1_000_000 + 1, part * 1_000_000 + len(rows) + 1), pa.int64())
+    return kept.append_column("route", pa.array([name] * len(rows), pa.string())).append_column("ord", order)
+
+
+def _local(table: pa.Table) -> DataFrame:
+    """A few rows as a DataFrame of one partition. Chunks are joined first, as an empty one would end the table."""
+    return SparkSession.active().createDataFrame(table.combine_chunks()).coalesce(1)
+
+
 def _held(rows: DataFrame) -> DataFrame:
     """The rows as a local table. A fill's candidates are bounded by its routes' limits, at most 30 each."""
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    return _local(rows.toArrow())
 
 
 def _last_cursor(raw: DataFrame, limit: int) -> str:
