@@ -131,6 +131,18 @@ def source_id(category: Column, name: Column) -> Column:
     return F.concat_ws("::", category, name)
 
 
+# JSON arrays.
+
+
+def json_text(values: Column) -> Column:
+    return F.to_json(F.coalesce(values, F.array().cast("array<string>")))
+
+
+def json_list(text: Column) -> Column:
+    """The texts of a JSON array; none for null, empty text, or anything else."""
+    return F.coalesce(F.from_json(F.nullif(strip(text), F.lit("")), "array<string>"), F.array().cast("array<string>"))
+
+
 # Query and item texts.
 
 

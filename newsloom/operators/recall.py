@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,50 @@ def top_similar(pool: DataFrame, k: int, order: str = "ord") -> DataFrame:
     return pool.orderBy(F.desc("similarity"), F.col(order)).limit(k)
 
 
+#: Digits to which similarities are told apart when many profiles are answered at once.
+TIE_DIGITS = 9
+
+
+def top_similar_batch(profiles: DataFrame, pool: DataFrame, k: int, pool_rows: int = 4096, profile_rows: int = 1024) -> DataFrame:
+    """(user_id, rank, id, similarity): the ``k`` vectors of the pool (id, ord, embedding) nearest to each profile's ``vector``.
+
+    Both sides are cut into blocks by hash, and each pair of blocks is one matrix
+    product, of which ``k`` rows a profile go on; so memory is bounded by two
+    blocks, and the merge by ``k`` rows for each profile and block of the pool.
+    Similarities that agree to nine digits are equal, and the earlier ``ord``
+    wins.  Null, empty, zero or differently long vectors are like nothing: 0.
+    """
+    n_pool = max(1, -(-pool.count() // pool_rows))
+    n_profiles = max(1, -(-profiles.count() // profile_rows))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = pool.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), "embedding", F.pmod(F.xxhash64("id"), F.lit(n_pool)).cast("int").alias("b"), blocks(n_profiles).alias("p"))
+    right = profiles.select("user_id", "vector", F.pmod(F.xxhash64("user_id"), F.lit(n_profiles)).cast("int").alias("p"), blocks(n_pool).alias("b"))
+
+    def unit(vectors: pd.Series, size: int) -> np.ndarray:
+        out = np.zeros((len(vectors), size))
+        for i, v in enumerate(vectors):
+            if v is not None and len(v) == size:
+                length = np.sqrt(np.dot(a := np.asarray(v, float), a))
+                if length > 0:
+                    out[i] = a / length
+        return out
+
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
+        sizes = asked["vector"].map(lambda v: 0 if v is None else len(v))
+        for size, part in asked.groupby(sizes):
+            likeness = np.round(unit(part["vector"], size) @ unit(rows["embedding"], size).T, TIE_DIGITS) + 0.0
+            best = np.argsort(-likeness, axis=1, kind="stable")[:, :k]
+            for user, at, line in zip(part["user_id"], best, likeness, strict=True):
+                found.append(pd.DataFrame({"user_id": user, "id": rows["id"].to_numpy()[at], "ord": rows["ord"].to_numpy()[at], "similarity": line[at]}))
+        return pd.concat(found) if found else pd.DataFrame({"user_id": [], "id": [], "ord": [], "similarity": []})
+
+    near = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(run, "user_id string, id string, ord long, similarity double")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("similarity"), "ord", "id"))
+    return near.withColumn("rank", place).where(F.col("rank") <= k).select("user_id", "rank", "id", "similarity")
+
+
 def supplemented(base: DataFrame, wider: DataFrame | None, query: list[float], k: int, vector: str = "embedding") -> DataFrame:
     """``base`` with semantic scores, and the ``k`` items of the pool nearest to the query as one more route.
 

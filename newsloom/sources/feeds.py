@@ -169,8 +169,9 @@ def search(rows: DataFrame, query: str, limit: int) -> DataFrame:
     return newest(rows.where(hit), limit)
 
 
-def document_key() -> Column:
-    return first_filled(F.col("id"), F.col("title"), F.col("translated_title"), default=None)
+def document_key(rows: DataFrame) -> Column:
+    """Id or title of a document, whichever of these columns there are and filled."""
+    return first_filled(*[F.col(c).cast("string") for c in ("id", "title", "translated_title") if c in rows.columns], default=None)
 
 
 def first_of_each(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -184,7 +185,8 @@ def discovery_documents(feed: Feed, latest: int = 40, trending: int = 40) -> Dat
     """Latest then trending documents, first one of each key."""
     a = feed.latest(latest).withColumn("_route", F.lit(0))
     b = feed.trending("hot_news", trending).withColumn("_route", F.lit(1))
-    return first_of_each(a.unionByName(b), document_key(), F.col("_route"), F.desc("published_at"), F.desc("id")).drop("_route")
+    both = a.unionByName(b, allowMissingColumns=True)
+    return first_of_each(both, document_key(both), F.col("_route"), F.desc("published_at"), F.desc("id")).drop("_route")
 
 
 def chunked(rows: DataFrame, size: int, *order: Column) -> DataFrame:

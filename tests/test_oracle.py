@@ -6,7 +6,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from newsloom.plans import catalogue  # noqa: E402
+from newsloom.plans import catalogue, checks  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 
