@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import recall, vocab
+from ..operators import hooks, recall, vocab
 from ..sources import feeds, store
 from . import fixtures as fx
 from . import feed as fd
@@ -198,3 +200,29 @@ def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = tx.json_list(F.col("t"))
     empty = F.size(tx.json_list(F.lit(None).cast("string"))) + F.size(tx.json_list(F.lit("{"))) + F.size(tx.json_list(F.lit(" ")))
     return rows.select("doc_id", F.array_join(back, "|").alias("read"), (F.size(back) + empty).alias("n"))
+
+
+def _first_words(prompt: str) -> list[dict]:
+    """A rule in place of a model: the first word of each document's title is a topic."""
+    found = []
+    for title, source in re.findall(r"\[DOC \d+\]\ntitle: ([^\n]*)[\s\S]*?\nsource: ([^\n]*)\n", prompt):
+        word = re.search("[a-z0-9]+", title.lower())
+        found.append({"category": "topic", "canonical_name": word[0] if word else "", "evidence_title": title, "evidence_source": source})
+    return found
+
+
+@query("""SELECT doc_id // 12 AS batch_id, name AS canonical_name, count(*) AS n, count(DISTINCT title) AS titles FROM (
+SELECT doc_id, split_part(title, chr(10), 1) AS title, regexp_extract(lower(split_part(title, chr(10), 1)), '[a-z0-9]+') AS name FROM raw) WHERE name <> '' GROUP BY ALL""", "raw")
+def extract_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions that a rule finds in batches of twelve documents."""
+    rows = fx.raw_feed(spark, sf_dir).withColumn("batch_id", F.floor(F.col("ord") / 12).cast("long"))
+    found = hooks.extracted(tx.batch_prompt(rows), _first_words).where("error is null")
+    return found.groupBy("batch_id", "canonical_name").agg(F.count("*").alias("n"), F.countDistinct("evidence_title").alias("titles"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS DOUBLE) AS size, CAST(length(source) AS DOUBLE) AS other FROM documents")
+def embed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that a rule makes of texts: their length, and that of their source."""
+    rows = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("\t", "source", "text").alias("text"))
+    made = hooks.embedded(rows, lambda texts: [[float(len(t.split("\t", 1)[1])), float(len(t.split("\t", 1)[0]))] for t in texts])
+    return made.select("id", F.element_at("embedding", 1).cast("double").alias("size"), F.element_at("embedding", 2).cast("double").alias("other"))
