@@ -11,11 +11,13 @@ those it shares something with, so a component of any length streams through.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,6 +251,61 @@ def roll_up(items: DataFrame, *keys: str) -> DataFrame:
     return made.withColumns({"event_type": F.array_max(counted)["t"], "key_points": points}).drop("_types", "_points")
 
 
+def merged_roll_up(items: DataFrame, *keys: str) -> DataFrame:
+    """As :func:`roll_up` without the items themselves, for groups of any size: no row holds what grows with a group.
+
+    Types, names and summaries are merged by value first, of which a group has
+    few (names) or keeps three (summaries); ids are hashed as they stream by in
+    order.  ``items`` is read several times: stage it.
+    """
+    ranked = F.struct("importance_score", "published_at", (-F.col("ord")).alias("o"))
+    first = F.struct((-F.unix_micros("published_at")).alias("t"), (-F.col("ord")).alias("o"))
+    main = items.groupBy(*keys).agg(
+        F.max_by("title", ranked).alias("title"), F.min("published_at").alias("first_seen_at"), F.max("published_at").alias("last_updated_at"), F.max("importance_score").alias("importance_score"),
+        F.avg("credibility_score").alias("avg_credibility"), F.when(F.bool_or(F.col("event_type") == "exploit"), F.array(F.lit(RISK))).otherwise(F.array().cast("array<string>")).alias("risks"), F.count("*").alias("n_items"),
+    )
+    types = items.groupBy(*keys, "event_type").agg(F.struct(F.count("*").alias("n"), F.max(first).alias("f")).alias("by")).groupBy(*keys).agg(F.max_by("event_type", "by").alias("event_type"))
+    named = items.select(*keys, "published_at", "ord", F.explode(F.array(*[F.struct(F.lit(b).alias("bucket"), F.col("entities")[b].alias("names")) for b in BUCKETS])).alias("e"))
+    named = named.select(*keys, "published_at", "ord", "e.bucket", F.posexplode("e.names").alias("at", "name")).groupBy(*keys, "bucket", "name").agg(F.min(F.struct("published_at", "ord", "at")).alias("seen"))
+    of_bucket = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("seen", "name")))), lambda x: x["name"]).alias(b)
+    entities = named.groupBy(*keys).agg(F.struct(*[of_bucket(b) for b in BUCKETS]).alias("_entities"))
+    points = items.where(F.coalesce("summary", F.lit("")) != "").groupBy(*keys, "summary").agg(F.max(ranked).alias("r"))
+    points = points.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("r")))).where("_n <= 3")
+    points = points.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "summary"))), lambda x: x["summary"]).alias("_points"))
+    made = main.join(types, list(keys)).join(_hashed_ids(items, *keys), list(keys)).join(entities, list(keys), "left").join(points, list(keys), "left")
+    none = F.struct(*[F.array().cast("array<string>").alias(b) for b in BUCKETS])
+    return made.withColumns({"entities": F.coalesce("_entities", none), "key_points": F.coalesce("_points", F.array().cast("array<string>"))}).drop("_entities", "_points")
+
+
+def _hashed_ids(items: DataFrame, *keys: str) -> DataFrame:
+    """(keys, event_id): the hash of a group's ids, sorted and joined, as they stream by."""
+    rows = items.select(*keys, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            out, shape = [], [batch.schema.field(k) for k in keys]
+            for *now, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now != key:
+                    if key is not None:
+                        out.append((*key, held.hexdigest()[:10]))
+                    key, held = now, hashlib.md5(value.encode())
+                else:
+                    held.update(b"|" + value.encode())
+            if out:
+                yield _batch_of(out, shape)
+        if key is not None:
+            yield _batch_of([(*key, held.hexdigest()[:10])], shape)
+
+    return rows.mapInArrow(run, f"{fields}, event_id string")
+
+
+def _batch_of(rows: list[tuple], keys: list[pa.Field]) -> pa.RecordBatch:
+    schema = pa.schema([*keys, pa.field("event_id", pa.string())])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def rollup_input(items: DataFrame) -> DataFrame:
     """Items with what :func:`roll_up` needs: order, semantic score, and confidence as rows that can be sorted."""
     levels = F.flatten(F.array(*[_levels_of(b) for b in BUCKETS]))
@@ -268,7 +325,8 @@ def cluster_timeline(items: DataFrame, key: str | None = None, order: str = "ord
     used = ["id", "ord", "title", "summary", "event_type", "published_at", "importance_score", "credibility_score", "entities", "entity_confidence"]
     more = [c for c in ("embedding", "semantic_match_score") if c in items.columns]
     rows = staged(items.select(scope.alias("scope"), *used[:1], F.col(order).cast("long").alias("ord"), *used[2:], *more), "items")
-    return roll_up(rollup_input(rows).join(assign_timeline(rows, "scope"), ["scope", "id"]), "scope", "head_id")
+    headed = rows.drop("entity_confidence", "embedding").join(assign_timeline(rows, "scope"), ["scope", "id"])
+    return merged_roll_up(staged(headed, "headed"), "scope", "head_id")
 
 
 def cluster_events(items: DataFrame, key: str, order: str = "ord") -> DataFrame:

@@ -319,7 +319,9 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, day, title, first_at, last_at, importance_score, round(avg_credibility, 6) AS avg_credibility, n_items, CASE WHEN event_type = 'exploit' THEN 1 ELSE 0 END AS risks FROM clusters", "clusters")
 def cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).select(
+    used = ["id", "ord", "title", "summary", "event_type", "published_at", "importance_score", "credibility_score", "entities", "day"]
+    rows = store.staged(_days(spark, sf_dir).select(*used, F.col("event_type").alias("kind")), "items")
+    return cluster.merged_roll_up(rows, "kind", "day").select(
         "event_id", "event_type", "day", "title", F.unix_seconds("first_seen_at").alias("first_at"), F.unix_seconds("last_updated_at").alias("last_at"), "importance_score",
         F.round("avg_credibility", 6).alias("avg_credibility"), "n_items", F.size("risks").alias("risks"),
     )

@@ -76,3 +76,19 @@ def test_pairs_within_reach(spark):
     plain = rows.select("id", "event_type", "published_at").collect()
     want = {(a["id"], b["id"]) for a in plain for b in plain if a["id"] < b["id"] and abs(a["published_at"] - b["published_at"]) <= timedelta(hours=48) and (a["event_type"] == b["event_type"] or "unknown" in (a["event_type"], b["event_type"]))}
     assert {(r[0], r[1]) for r in similarity.candidate_pairs(rows).select("a.id", "b.id").collect()} == want
+
+
+def test_merged_roll_up_equals_roll_up(spark):
+    rows = items(spark, 7, 120, ["P", "Q", "r"], ["a1", "b2"]).withColumns({
+        "summary": F.when(F.col("ord") % 7 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("ord") % 9).cast("string"))), "importance_score": F.col("ord") % 4 / 10, "credibility_score": F.lit(0.5),
+    })
+    names = ["event_id", "title", "event_type", "first_seen_at", "last_updated_at", "importance_score", "avg_credibility", "entities", "key_points", "risks", "n_items"]
+    for keys in (["scope"], ["scope", "event_type"], ["ord"]):
+        data = rows.withColumn("kind", F.col("event_type"))
+        keys = ["kind" if k == "event_type" else k for k in keys]
+        if keys == ["ord"]:
+            data, keys = data.withColumn("each", F.col("ord")), ["each"]
+        one = cluster.roll_up(cluster.rollup_input(data), *keys).select(*keys, *names).collect()
+        other = cluster.merged_roll_up(data, *keys).select(*keys, *names)
+        assert sorted(one, key=repr) == sorted(other.collect(), key=repr)
+    assert cluster.merged_roll_up(rows.limit(0), "scope").isEmpty()
