@@ -21,9 +21,11 @@ page without any block in the container by itself.
 
 Scale: per task and host, pages are reduced to distinct streams and to sums per
 path, then by Spark's partial aggregation; a host's streams are folded in a tree
-of at most ``fan_in`` each, so a hot host's streams never meet in one task.  A
-wrapper keeps at most ``MOST_NODES`` tokens, those of most pages; rarer ones are
-judged by path.  Wrappers reach the pages by a broadcast if they are small (their
+of at most ``fan_in`` each, so a hot host's streams never meet in one task.  After
+each fold, tokens on fewer than one in ``RARE`` of its pages leave the wrapper and
+are judged by their path, as all are that are not constant on half the pages; so a
+wrapper is at most ``RARE`` times as long as a page.  Alignments are longest ones
+at any length, in linear memory.  Wrappers reach the pages by a broadcast if they are small (their
 size is measured), else by a join whose hot hosts adaptive execution splits.
 
 Defined results: null or empty html has an empty text; a null or malformed url
@@ -83,8 +85,8 @@ CONTENT_WORDS = frozenset("article content entry main post story".split())
 
 
 MARK = "!"  # ends a step that bears a boilerplate name
-MOST_NODES = 2000
-MOST_CELLS = 1 << 22
+RARE = 64
+TABLE_CELLS = 1 << 22  # a longer alignment is halved first
 
 
 def host_column(url: Column) -> Column:
@@ -192,22 +194,24 @@ def _merged(a: list, b: list, once: bool = False) -> list:
 
 def collapsed(nodes: list[list]) -> list[list]:
     """Neighbouring repeats of any period as repeated groups, shorter periods first."""
-    period = 1
+    numbers: dict[str, int] = {}
+    number = lambda: np.array([numbers.setdefault(n[KEY], len(numbers)) for n in nodes])
+    ids, period = number(), 1
     while period * 2 <= len(nodes):
-        numbers: dict[str, int] = {}
-        ids = np.array([numbers.setdefault(n[KEY], len(numbers)) for n in nodes])
         same = ids[period:] == ids[:-period]
-        if period > 1 and same.any():  # a repeat is a run of ``period`` equal places
-            ends = np.cumsum(same)
-            if (ends[period - 1 :] - np.append(0, ends[:-period])).max() < period:
-                same[:] = False
-        if not same.any():
+        if np.count_nonzero(same) < period:  # a repeat is a run of ``period`` equal places
+            period += 1
+            continue
+        stops = np.append(np.flatnonzero(~same), len(same))
+        length = np.diff(stops, prepend=-1)
+        if length.max() <= period:
             period += 1
             continue
-        out, i, changed = [], 0, False
+        run = (np.repeat(stops, length) - np.arange(len(same) + 1)).tolist()  # equal places from here on
+        out, i = [], 0
         while i < len(nodes):
             j = i + period
-            while j + period <= len(nodes) and same[j - period : j].all():
+            while j + period <= len(nodes) and run[j - period] >= period:
                 j += period
             if j > i + period:
                 unit = nodes[i : i + period]
@@ -218,12 +222,13 @@ def collapsed(nodes: list[list]) -> list[list]:
                     out += unit
                 else:
                     out.append(_group(unit, True))
-                i, changed = j, True
+                i = j
             else:
                 out.append(nodes[i])
                 i += 1
         nodes = out
-        period = 1 if changed and period > 1 else period + 1
+        ids = number()
+        period = 1 if period > 1 else 2
     return nodes
 
 
@@ -250,7 +255,7 @@ def _grouped(nodes: list[list], other: list[list]) -> list[list]:
 
 
 def _matches(left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence as pairs of places; beyond MOST_CELLS cells one around keys that come once on each side."""
+    """A longest common subsequence as pairs of places."""
     head = 0
     while head < min(len(left), len(right)) and left[head] == right[head]:
         head += 1
@@ -260,44 +265,41 @@ def _matches(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     a, b = left[head : len(left) - tail], right[head : len(right) - tail]
     middle: list[tuple[int, int]] = []
     if a and b:
-        if len(a) * len(b) > MOST_CELLS:
-            middle = _around_anchors(a, b)
-        else:
-            numbers: dict[str, int] = {}
-            x, y = (np.array([numbers.setdefault(k, len(numbers)) for k in side]) for side in (a, b))
-            table = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # lengths for suffixes
-            for i in range(len(a) - 1, -1, -1):
-                row = np.where(y == x[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-                table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-            i = j = 0
-            while i < len(a) and j < len(b):
-                if x[i] == y[j]:
-                    middle.append((i, j))
-                    i, j = i + 1, j + 1
-                elif table[i + 1, j] >= table[i, j + 1]:
-                    i += 1
-                else:
-                    j += 1
+        numbers: dict[str, int] = {}
+        middle = _longest(*(np.array([numbers.setdefault(k, len(numbers)) for k in side]) for side in (a, b)))
     return [(k, k) for k in range(head)] + [(head + i, head + j) for i, j in middle] + [(len(left) - tail + k, len(right) - tail + k) for k in range(tail)]
 
 
-def _around_anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    once_a, once_b = ({k for k, n in Counter(side).items() if n == 1} for side in (a, b))
-    at = {k: j for j, k in enumerate(b) if k in once_a & once_b}
-    chain: list[tuple[int, int]] = []  # anchors whose order agrees, greedily
-    for i, k in enumerate(a):
-        if k in at and (not chain or at[k] > chain[-1][1]):
-            chain.append((i, at[k]))
+def _longest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence of numbers; a long one is cut at the middle of ``x``, where a longest one crosses."""
+    if len(x) > 1 and len(x) * len(y) > TABLE_CELLS:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _longest(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in _longest(x[half:], y[cut:])]
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)  # lengths for suffixes
+    for i in range(len(x) - 1, -1, -1):
+        row = np.where(y == x[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
+        table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, i, j = [], 0, 0
-    for x, y in [*chain, (len(a), len(b))]:
-        if chain and (x - i) * (y - j) <= MOST_CELLS:
-            out += [(i + p, j + q) for p, q in _matches(a[i:x], b[j:y])]
-        if x < len(a):
-            out.append((x, y))
-        i, j = x + 1, y + 1
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            i += 1
+        else:
+            j += 1
     return out
 
 
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of a longest common subsequence of ``x`` and each beginning of ``y``."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.where(y == v, row[:-1] + 1, row[1:]))
+    return row
+
+
 def aligned(left: list[list], right: list[list]) -> list[list]:
     """The wrapper of both: common nodes merged, the rest optional, neighbours of equal keys repeated."""
     left, right = _grouped(left, right), _grouped(right, left)
@@ -316,9 +318,6 @@ def aligned(left: list[list], right: list[list]) -> list[list]:
             merged[-1] = both
         else:
             merged.append(n)
-    if len(merged) > MOST_NODES:
-        least = sorted((n[PAGES] for n in merged), reverse=True)[MOST_NODES]
-        merged = [n for n in merged if n[PAGES] > least]
     return merged
 
 
@@ -504,8 +503,9 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html", fan_in: int =
         for _, text in sorted(zip(frame["key"], frame["nodes"], strict=True), key=lambda x: (len(x[0]), x)):
             mine = json.loads(text)
             nodes = mine if nodes is None else aligned(nodes, mine)
-        first = min(frame["key"])
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "key": [first], "nodes": [json.dumps(nodes)], "pages": [int(frame["pages"].sum())]})
+        first, pages = min(frame["key"]), int(frame["pages"].sum())
+        nodes = [n for n in nodes if n[PAGES] * RARE >= pages]
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "key": [first], "nodes": [json.dumps(nodes)], "pages": [pages]})
 
     level = seen.where("kind = 'stream'").select("host", "key", "nodes", "pages")
     while True:

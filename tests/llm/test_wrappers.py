@@ -32,12 +32,14 @@ def test_matches_are_longest():
         assert all(x < y and p < q for (x, p), (y, q) in zip(got, got[1:], strict=False))
 
 
-def test_long_streams_are_aligned_around_anchors(monkeypatch):
-    monkeypatch.setattr(wrappers, "MOST_CELLS", 30)
-    a = [f"k{i}" if i % 3 == 0 else "p" for i in range(60)]
-    b = [x for i, x in enumerate(a) if i % 7]
-    got = wrappers._matches(a, b)
-    assert all(a[i] == b[j] for i, j in got) and len(got) > 40
+def test_halved_alignments_are_longest_too(monkeypatch):
+    monkeypatch.setattr(wrappers, "TABLE_CELLS", 30)
+    rng = random.Random(7)
+    for _ in range(150):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))] for _ in range(2))
+        got = wrappers._matches(a, b)
+        assert all(a[i] == b[j] for i, j in got) and len(got) == brute_lcs(a, b)
+        assert all(x < y and p < q for (x, p), (y, q) in zip(got, got[1:], strict=False))
 
 
 def accepts(nodes, paths):
@@ -133,3 +135,53 @@ def test_odd_pages(spark):
     found = {(r["page_id"], r["text"][:6], r["n_chars"]) for r in out}
     assert len(out) == 7 and found == {(0, "", 0), (1, "", 0), (None, "x", 1), (2, "plain", 5), (3, "deep", 4), (4, "long l", 499999)}
     assert wrappers.infer(pages.limit(0)).count() == 0 and wrappers.extract(pages.limit(0), wrappers.infer(pages.limit(0))).count() == 0
+
+
+def brute_collapsed(keys):
+    """Keys after repeats of period 1, then 2, ... are folded, from one again after a change."""
+    period = 1
+    while period * 2 <= len(keys):
+        out, i = [], 0
+        while i < len(keys):
+            j = i + period
+            while keys[j : j + period] == keys[i : i + period] and j + period <= len(keys):
+                j += period
+            unit = keys[i : i + period]
+            if j > i + period:
+                out += unit if period == 1 else ["(" + " ".join(unit) + ")"]
+                i = j
+            else:
+                out.append(keys[i])
+                i += 1
+        changed, keys = len(out) < len(keys), out
+        period = 1 if changed and period > 1 else period + 1
+    return keys
+
+
+def test_collapsed_as_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        keys = "".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(0, 6))) * rng.randint(1, 3) + rng.choice(("", "ab", "abab"))
+        assert [n[wrappers.KEY] for n in wrappers.collapsed(stream(" ".join(keys)))] == brute_collapsed(list(keys))
+
+
+def test_pages_of_any_length_keep_their_wrapper(spark):
+    """The template line leaves pages of 2500 blocks as it leaves those of 100."""
+
+    def page(i, blocks):
+        body = "".join(f"<p class=b{chr(97 + k % 7)}{chr(97 + k // 7 % 26)}{chr(97 + k // 182)}>{i} {k}</p>" for k in range(blocks))
+        return f"<article><h1>T {i}</h1><div class=x7>Subscribe to our paper today for free</div>{body}</article>"
+
+    for blocks in (100, 2500):
+        pages = pages_of(spark, [(i, "https://a.example/", page(i, blocks - i)) for i in range(8)])
+        out = {r["page_id"]: r["text"].split("\n") for r in wrappers.extract(pages, wrappers.infer(pages), keep=["page_id"]).collect()}
+        assert out == {i: [f"T {i}", *(f"{i} {k}" for k in range(blocks - i))] for i in range(8)}
+
+
+def test_rare_tokens_are_judged_by_path(spark):
+    html = lambda i: f"<article><h1>T {i}</h1><div class=x7>Read our other site</div><p>{i}</p>" + (f"<div class=only{chr(97 + i // 26)}{chr(97 + i % 26)}q>once {i}</div>" if i % 2 else "") + "</article>"
+    pages = pages_of(spark, [(i, "https://a.example/", html(i)) for i in range(300)])
+    made = wrappers.infer(pages)
+    assert "only" not in made.first()["expression"]
+    out = {r["page_id"]: r["text"] for r in wrappers.extract(pages, made, keep=["page_id"]).collect()}
+    assert out == {i: f"T {i}\n{i}" + (f"\nonce {i}" if i % 2 else "") for i in range(300)}
