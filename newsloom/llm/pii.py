@@ -361,9 +361,15 @@ def annotate(texts: list[str | None], field: tuple[np.ndarray, np.ndarray, np.nd
     p = marginals(u, chain, hub_of, graph.hubs, chain_weights, skip_weights)
     best, most = p.argmax(1), p.max(1)
     new = np.flatnonzero((known == 0) & (best > 0) & (most > 0.5))
+    taken: dict[int, bytearray] = {}  # which places of a text lie in a span
     for n in new[np.argsort(-np.round(most[new], 6), kind="stable")]:
         i, start, end, _ = graph.nodes[n]
-        if not any(s < end and e > start for _, s, e, _ in results[i]):
+        if i not in taken:
+            taken[i] = bytearray(len(texts[i]))
+            for _, s, e, _ in results[i]:
+                taken[i][s:e] = b"\1" * (e - s)
+        if not any(taken[i][start:end]):
+            taken[i][start:end] = b"\1" * (end - start)
             results[i].append((KINDS[best[n] - 1], start, end, False))
     return [sorted(r, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) for r in results]
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -83,3 +84,17 @@ def test_base_spans_stay():
         assert [s[:3] for s in spans if s[3]] == pii.base_spans(text)
         new = [s for s in spans if not s[3]]
         assert not any(a[1] < b[2] and b[1] < a[2] for a in new for b in spans if a is not b)
+
+
+def test_long_texts_take_time_by_their_length():
+    piece = "call 15555551234 or +1 (555) 555-1234, card 4111 1111 1111 1111 2024, jane[at]example[dot]com 10.0.0.1 "
+    pii.annotate([piece])
+
+    def seconds(times):
+        start = time.process_time()
+        (spans,) = pii.annotate([piece * times])
+        assert len(spans) >= 4 * times
+        return time.process_time() - start
+
+    short, long = seconds(500), seconds(4000)
+    assert long < 8 * short * 2.5
