@@ -730,7 +730,7 @@ def cluster(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         clashing = [r["key"] for r in sets.where("lo <> hi").select("key").limit(MOST_CLASHES).collect()]
         if not clashing:
             break
-        clash = np.sort(np.array(clashing, np.int64))
+        clash = np.union1d(clash, np.array(clashing, np.int64))
         each = each.withColumn("key", F.when(F.col("key").isin(clashing), F.col("check")).otherwise(F.col("key")))
         unstage(sets)
     counted = staged(seen.where("ngram is not null").groupBy("ngram").agg(F.sum("times").alias("times")), "ngrams")

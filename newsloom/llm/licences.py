@@ -162,8 +162,10 @@ HELD_OUT: tuple[tuple[str, str], ...] = (
     ("unknown", "the international attribution of the painting"), ("unknown", "copyright is a right"), ("unknown", "conditions of the road"), ("unknown", "mit der Bahn nach Hause"),
 )
 WORD_PATTERN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: A line end within a sentence, for Spark and DuckDB alike.
-WRAP_PATTERN = r"([^.!?:;\n])\n([a-z(])"
+#: A line end within a sentence.
+WRAP_PATTERN = r"(?<=[^.!?:;\n])\n(?=[a-z(])"
+#: The same for DuckDB, which can't look around: replaced twice, as a match takes the letters at both sides with it.
+WRAP_GROUPS = r"([^.!?:;\n])\n([a-z(])"
 SCALE = 1000
 #: Paragraphs without a notice that the fit learns from.
 PROSE = 400
@@ -299,7 +301,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model
     templates = _constant({f: [sorted(set(ngrams(t))) for t in TEMPLATES[f]] for f in m.families[1:]}, "map<string,array<array<string>>>")
     families = _constant(list(m.families), "array<string>")
 
-    joined = F.regexp_replace(F.col("_text"), WRAP_PATTERN, "$1 $2")
+    joined = F.regexp_replace(F.col("_text"), WRAP_PATTERN, " ")
     lines = F.transform(F.split(joined, "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("notice")))
     if m.signals is not None:
         lines = F.filter(lines, lambda s: F.lower(s["notice"]).rlike(_any_of(m.signals)))
@@ -329,7 +331,7 @@ def scan_sql(model: Model | None = None, table: str = "documents", least_similar
 WITH v(g, w) AS (VALUES {vocabulary}),
 t(family, grams) AS (VALUES {templates}),
 joined AS (
-  SELECT doc_id, string_split(regexp_replace(text, '{WRAP_PATTERN}', '\\1 \\2', 'g'), chr(10)) AS lines FROM {table}
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '{WRAP_GROUPS}', '\\1 \\2', 'g'), '{WRAP_GROUPS}', '\\1 \\2', 'g'), chr(10)) AS lines FROM {table}
 ), lines AS (
   SELECT doc_id, unnest(lines) AS notice, generate_subscripts(lines, 1) - 1 AS paragraph FROM joined
 ), w AS (

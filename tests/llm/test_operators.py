@@ -5,12 +5,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, jaccard, langid, licences, packing, pii, queries, tokens, topk, toxicity, warc, wrappers
+from newsloom.llm import decontaminate, hashing, jaccard, langid, licences, packing, pii, queries, tokens, topk, toxicity, warc, wrappers
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", " \n\t ", "one two", "a\x00b 5", "word " * 3000, "x" * 20000]
@@ -121,7 +122,7 @@ def brute_licences(texts):
     out, m = set(), licences.fit()
     at = dict(zip(m.vocabulary, m.weights, strict=True))
     for d, text in enumerate(texts):
-        for i, line in enumerate(re.sub(licences.WRAP_PATTERN, r"\1 \2", text or "").split("\n")):
+        for i, line in enumerate(re.sub(licences.WRAP_PATTERN, " ", text or "").split("\n")):
             z = np.array(m.bias)
             for g in set(licences.ngrams(line)) & at.keys():
                 z = z + np.array(at[g])
@@ -130,6 +131,18 @@ def brute_licences(texts):
     return out
 
 
+def test_wrapped_lines_alike_in_spark_and_sql(spark):
+    texts = ["a\nb\nc\nd", "Released under\nthe\nm\ni\nMIT License.\nMIT License\na\nb\n(c) all rights reserved", "x.\ny\nz\n\nq\n(r", *TEXTS]
+    made = docs(spark, texts, extra=False)
+    got = sorted(tuple(r) for r in licences.scan(made).collect())
+    documents = made.toPandas()  # noqa: F841
+    assert got == sorted(duckdb.sql(licences.scan_sql()).fetchall()) and got
+    joined = made.select(F.regexp_replace("text", licences.WRAP_PATTERN, " ").alias("t"), "doc_id").orderBy("doc_id").collect()
+    assert joined[0]["t"] == "a b c d"
+    twice = f"regexp_replace(regexp_replace(text, '{licences.WRAP_GROUPS}', '\\1 \\2', 'g'), '{licences.WRAP_GROUPS}', '\\1 \\2', 'g')"
+    assert [r["t"] for r in joined] == [r[0] for r in duckdb.sql(f"SELECT {twice} FROM documents ORDER BY doc_id").fetchall()]
+
+
 def test_licences_scores_every_paragraph(spark):
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy of this\nsoftware and associated documentation files, to deal in the Software without\nrestriction"
     prose = "we went mit der Familie in die Stadt\nthe software is free to use for any person in the public\nThe Apache web server runs on GNU systems"
@@ -228,6 +241,30 @@ def test_jaccard(spark):
     assert Counter(tuple(r) for r in jaccard.cluster(nulls).collect()) == Counter([(None, 2, 7), (7, 2, 7), (None, 0, None)])
 
 
+def thue_morse(letters):
+    word = "a"
+    while len(word) < letters:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_word_hashes_differ_as_words_do(spark):
+    rng = random.Random(12)
+    table = hashing.byte_table(separators=jaccard.SEPARATORS)
+    made = [*thue_morse(1024), *thue_morse(4096), *("".join(rng.choice("aAbé") for _ in range(rng.randint(1, 9))) for _ in range(3000)), "a" * 70000, "a" * 70001]
+    fold = str.maketrans("AB", "ab")
+    owner, found = hashing.words_of([w.encode() for w in made], table, b"\n")
+    assert owner.tolist() == list(range(len(made)))
+    by_hash = dict(zip(found.tolist(), made, strict=True))
+    assert all(by_hash[h].translate(fold) == w.translate(fold) for h, w in zip(found.tolist(), made, strict=True))
+    assert len(by_hash) == len({w.translate(fold) for w in made})
+    # The same word has the same hash wherever it stands.
+    _, again = hashing.words_of([b"x  " + made[0].encode() + b" y"], table, b"\n")
+    assert again[1] == found[0]
+    got = {tuple(r) for r in jaccard.cluster(docs(spark, thue_morse(1024))).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == {(0, 1, 0), (1, 1, 1)}
+
+
 def test_jaccard_cut_groups(spark):
     """Groups beyond a block, two clusters that share their n-grams, and links only across salts."""
     rng, texts = random.Random(14), []
@@ -417,7 +454,7 @@ def test_packing(spark):
 
 
 def test_queries_have_unique_names():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op5_topk", "op7_warc", "op8_licences", "op9_jaccard"])
