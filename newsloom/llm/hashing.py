@@ -22,6 +22,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Mixed values of bytes at a word's first places, looked up instead of worked out; the others are worked out alike.
+_PLACES = 24
+_VALUES = mixed(np.arange(_PLACES << 9, dtype=np.uint64))
+
+
 def byte_table(separators: bytes | None = None, letters: bytes | None = None) -> np.ndarray:
     """Value of each byte, 0 for one that parts words; A-Z fold to a-z. Give the separators or the letters."""
     table = np.arange(1, 257, dtype=np.uint16)
@@ -42,12 +47,14 @@ def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inside[1:-1] = values != 0
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    place = np.arange(len(values))
-    first = np.zeros(len(values), np.int64)
+    first = np.zeros(len(values), np.int32)
     first[starts] = starts
-    place -= np.maximum.accumulate(first)
+    place = np.arange(len(values), dtype=np.int32) - np.maximum.accumulate(first)
+    each = _VALUES[(np.minimum(place, _PLACES - 1) << 9) | values]
+    if len(far := np.flatnonzero(place >= _PLACES)):
+        each[far] = mixed((place[far].astype(np.uint64) << np.uint64(9)) | values[far])
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mixed((place.astype(np.uint64) << np.uint64(9)) | values), out=sums[1:])
+    np.cumsum(each, out=sums[1:])
     return starts, ends, mixed(sums[ends] - sums[starts])
 
 
