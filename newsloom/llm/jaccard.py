@@ -67,6 +67,7 @@ WIDE = 8
 BLOCK = 512
 FIRST_PARTNERS, PARTNERS = 4, 4
 NARROW_ROUNDS, MORE = 2, 8
+OF_LABELS = 4
 FIRST_STEPS, ROUND_STEPS = 4, 2
 NOWHERE = 1 << 62  # a size beyond all
 SPREAD = 4
@@ -427,10 +428,31 @@ def may_link(maps: Bitmaps, sizes: np.ndarray, x: int, others: np.ndarray, least
 Place = tuple[int, int]  # size and key
 
 
-def first_partners(table: pa.Table, least: int, most: int, each: int = 1) -> Iterator[tuple[int, dict[int, list[Place]], Place]]:
+class Spent:
+    """How many pairs of two labels a task has handed on.  One that links joins all members of both, so a round hands on few of them."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.pairs: dict[tuple[int, int], int] = {}
+        self.closed: dict[int, list[int]] = {}  # for each label those it has no more pairs with
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether one more pair of these labels may go on."""
+        pair = (a, b) if a < b else (b, a)
+        n = self.pairs.get(pair, 0) + 1
+        if n <= self.most:
+            self.pairs[pair] = n
+        if n == self.most:
+            self.closed.setdefault(a, []).append(b)
+            self.closed.setdefault(b, []).append(a)
+        return n <= self.most
+
+
+def first_partners(table: pa.Table, least: int, most: int, each: int = 1, spent: Spent | None = None) -> Iterator[tuple[int, dict[int, list[Place]], Place]]:
     """For each member (key, partners, resume): the first ``each`` smaller members, by size and key, of each of up to ``most`` other labels
-    that may link to it, from its own start on, and the first candidate left out, from which it has to go on.
+    that may link to it, from its own start on and as far as ``spent`` lets them, and the first candidate left out, from which it has to go on.
     """
+    spent = spent or Spent(1 << 62)
     keys, sizes, labels = (table.column(c).to_numpy() for c in ("key", "size", "label"))
     from_size, from_key = table.column("from_size").to_numpy(), table.column("from_key").to_numpy()
     maps = Bitmaps(table.column("bitmap").to_pylist())
@@ -441,12 +463,14 @@ def first_partners(table: pa.Table, least: int, most: int, each: int = 1) -> Ite
         begin, step = max(int(low[x]), int(np.searchsorted(sizes, from_size[x]))), 32
         found: dict[int, list[Place]] = {}
         full: list[int] = []  # labels that have enough partners
+        own = int(labels[x])
+        closed = spent.closed.setdefault(own, [])
         resume = (NOWHERE, 0)
         while begin < x and (len(full) < most or resume[0] == NOWHERE):
             y = np.arange(begin, min(x, begin + step))
             begin, step = begin + step, step * 2
             y = y[(labels[y] != labels[x]) & ((sizes[y] > from_size[x]) | (keys[y] >= from_key[x]))]
-            known = np.isin(labels[y], full) if len(full) < most else np.ones(len(y), bool)
+            known = np.isin(labels[y], full + closed) if len(full) < most else np.ones(len(y), bool)
             if known.any():
                 i = y[known][0]
                 resume = min(resume, (int(sizes[i]), int(keys[i])))
@@ -456,7 +480,7 @@ def first_partners(table: pa.Table, least: int, most: int, each: int = 1) -> Ite
             for i in y[may_link(maps, sizes, x, y, least)].tolist():
                 at, label = (int(sizes[i]), int(keys[i])), int(labels[i])
                 mine = found.get(label, ())
-                if len(mine) == each or (not mine and len(found) == most):
+                if len(mine) == each or (not mine and len(found) == most) or not spent.take(own, label):
                     resume = min(resume, at)
                     continue
                 found.setdefault(label, []).append(at)
@@ -476,13 +500,14 @@ def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[dict[int, list[Place]], Place]] = {}
+        spent = Spent(OF_LABELS * each)
 
         def out() -> pa.RecordBatch:
             return _rows([(k, label, *at, *r) for k, (v, r) in held.items() for label, places in v.items() for at in places], kinds, names)
 
         for table in runs(batches, ["signature"]):
             if table.num_rows > 1:
-                for k, found, resume in first_partners(table, least, most, each):
+                for k, found, resume in first_partners(table, least, most, each, spent):
                     mine, before = held.get(k, ({}, (NOWHERE, 0)))
                     resume = min(resume, before)
                     for label, places in found.items():
@@ -492,7 +517,7 @@ def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataF
                     held[k] = mine, resume
             if len(held) > 50_000:
                 yield out()
-                held = {}
+                held, spent = {}, Spent(OF_LABELS * each)
         yield out()
 
     dealt = members.repartition("anchor").sortWithinPartitions("signature", "size", "key")
