@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import hooks, recall, vocab
+from ..operators.normalize import normalize
 from ..sources import feeds, store
+from ..vocabulary import EVENT_TYPES, PRESENCE
 from . import fixtures as fx
 from . import feed as fd
 from .catalogue import _LIFE, _feed, _items, _lifecycle, _news, _recent, query
@@ -226,3 +229,52 @@ def embed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("\t", "source", "text").alias("text"))
     made = hooks.embedded(rows, lambda texts: [[float(len(t.split("\t", 1)[1])), float(len(t.split("\t", 1)[0]))] for t in texts])
     return made.select("id", F.element_at("embedding", 1).cast("double").alias("size"), F.element_at("embedding", 2).cast("double").alias("other"))
+
+
+#: Event rules of every kind over the words of the generated texts. Fixed values.
+_RULED = replace(
+    fx.LEXICON,
+    rules={**fx.LEXICON.rules, "token_unlock": ["to"], "partnership": ["at"], "market_structure": ["on"]},
+    hints={"listing": ["in"], "funding": ["as"], "market_structure": ["the"]},
+    overrides={"Origin": "funding", "Mittel": "product_launch", "State": "partnership"},
+    boosts={"listing": (["new"], ["one", "not"], 0.3), "governance": (["more"], [], 0.2), "institutional_adoption": (["you"], ["your"], 0.4)},
+)
+_RULED_TYPES = [*[e for e in EVENT_TYPES if e in _RULED.rules], "institutional_adoption", "product_launch", "macro"]
+
+
+def _ruled(event: str) -> tuple[str, str, str]:
+    """An event's score in three steps as SQL: topics, words and context; presence of entities, if it scores at all; macro and title."""
+    terms = [f"w_{t}" for t, e in _RULED.overrides.items() if e == event] or ["0::DOUBLE"]
+    terms += [f"CASE WHEN {fx._any('title', [k])} THEN 0.35::DOUBLE WHEN {fx._any('text', [k])} THEN 0.2::DOUBLE ELSE 0 END" for k in _RULED.rules.get(event, [])]
+    if event in _RULED.boosts:
+        words, required, boost = _RULED.boosts[event]
+        needed = f" AND {fx._any('text', required)}" if required else ""
+        terms.append(f"CASE WHEN crypto AND {fx._any('text', words)}{needed} THEN {boost}::DOUBLE ELSE 0 END")
+    present = [f"a_{event}"] + [f"CASE WHEN {b} AND a_{event} > 0 THEN {gains[event]}::DOUBLE ELSE 0 END" for b, gains in PRESENCE.items() if event in gains]
+    if event == "market_structure":
+        present.append(f"CASE WHEN (tokens OR chains) AND a_{event} > 0 THEN 0.08::DOUBLE ELSE 0 END")
+    late = [f"b_{event}"] + (["CASE WHEN macro THEN 0.25::DOUBLE ELSE 0 END"] if event == "macro" else [])
+    if event in _RULED.hints:
+        late.append(f"CASE WHEN {fx._any('title', _RULED.hints[event])} THEN 0.25::DOUBLE ELSE 0 END")
+    return tuple(f"{' + '.join(x)} AS {n}_{event}" for n, x in (("a", terms), ("b", present), ("c", late)))
+
+
+def _step(n: int) -> str:
+    return ", ".join(_ruled(e)[n] for e in _RULED_TYPES)
+
+
+_HAS = ", ".join(f"coalesce(bool_or(bucket = '{b}'), false) AS {b}" for b in ("projects", "tokens", "chains", "topics"))
+_WORTH = ", ".join(
+    f"coalesce(max(CASE WHEN bucket <> 'topics' OR canonical <> '{t}' THEN 0 WHEN level = 'strong' AND t THEN {0.9 + 0.1} WHEN level = 'strong' THEN 0.9 WHEN level = 'medium' AND t THEN {0.45 + 0.15}"
+    f" WHEN level = 'medium' THEN 0.45 WHEN t THEN 0.1 ELSE 0 END), 0)::DOUBLE AS w_{t}"
+    for t in _RULED.overrides
+)
+
+
+@query(f"""SELECT id, CASE WHEN macro AND NOT crypto THEN 'macro' WHEN noise AND NOT crypto THEN 'unknown' WHEN top >= 0.35::DOUBLE THEN CASE top {" ".join(f"WHEN c_{e} THEN '{e}'" for e in _RULED_TYPES)} END
+WHEN macro THEN 'macro' ELSE 'unknown' END AS event_type FROM (SELECT *, greatest({", ".join(f"c_{e}" for e in _RULED_TYPES)}) AS top FROM (SELECT *, {_step(2)} FROM (SELECT *, {_step(1)} FROM (SELECT *, {_step(0)} FROM (
+SELECT *, {fx._any("text", _RULED.macro)} AS macro, contains(lower(text), 'tion') AS noise, projects OR tokens OR chains OR topics AS crypto FROM (
+SELECT r.id, any_value(title) AS title, any_value(title || ' ' || content) AS text, {_HAS}, {_WORTH} FROM raw r LEFT JOIN conf c ON c.id = r.id GROUP BY r.id))))))""", "raw", "conf")
+def event_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types by rules of every kind: words, titles, topics that stand for an event, words in context, presence of entities."""
+    return normalize(fx.raw_feed(spark, sf_dir), _RULED, fx.now_of(spark, sf_dir)).select("id", "event_type")
