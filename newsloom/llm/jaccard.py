@@ -486,7 +486,7 @@ def first_partners(table: pa.Table, least: int, most: int, each: int = 1, spent:
                 found.setdefault(label, []).append(at)
                 if len(found[label]) == each:
                     full.append(label)
-        if found:
+        if found or resume[0] < NOWHERE:
             yield int(keys[x]), found, resume
 
 
@@ -503,7 +503,8 @@ def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataF
         spent = Spent(OF_LABELS * each)
 
         def out() -> pa.RecordBatch:
-            return _rows([(k, label, *at, *r) for k, (v, r) in held.items() for label, places in v.items() for at in places], kinds, names)
+            rows = [(k, label, *at, *r) for k, (v, r) in held.items() for label, places in v.items() for at in places]
+            return _rows(rows + [(k, None, None, None, *r) for k, (v, r) in held.items() if not v], kinds, names)
 
         for table in runs(batches, ["signature"]):
             if table.num_rows > 1:
@@ -522,7 +523,7 @@ def _proposed(members: DataFrame, least: int, most: int, each: int = 1) -> DataF
 
     dealt = members.repartition("anchor").sortWithinPartitions("signature", "size", "key")
     made = dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    every = made.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("label", "size", "partner"))).alias("c"), F.min(F.struct("rsize", "rkey")).alias("r"))
+    every = made.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("label").isNotNull(), F.struct("label", "size", "partner")))).alias("c"), F.min(F.struct("rsize", "rkey")).alias("r"))
     place = lambda e: F.struct(e["size"].alias("size"), e["partner"].alias("partner"))
     among_first = lambda e, i: (i < each) | (F.get("c", i - each)["label"] != e["label"])
     every = every.withColumn("f", F.array_sort(F.transform(F.filter("c", among_first), place)))

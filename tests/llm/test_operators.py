@@ -297,13 +297,16 @@ def test_first_partners_misses_none():
     maps = jaccard.bitmaps_of(owners, hashes, size)
     held = [set(hashes[owners == i].tolist()) for i in range(len(sets))]
     want = {(int(key[a]), int(key[b])) for x, a in enumerate(order) for b in order[:x] if 100 * (n := len(held[a] & held[b])) >= 75 * (len(held[a]) + len(held[b]) - n)}
-    for most, each in ((1, 1), (3, 1), (3, 4)):
+    for most, each, few in ((1, 1, False), (3, 1, False), (3, 4, False), (3, 4, True)):
         got, start, label = set(), {int(k): (0, -(1 << 63)) for k in key}, key % 7
-        for _ in range(500):
+        for step in range(500):
             columns = {"key": key[order], "size": size[order], "label": label[order], "bitmap": [maps[i] for i in order]}
             columns["from_size"], columns["from_key"] = (np.array([start.get(int(k), (jaccard.NOWHERE, 0))[c] for k in key[order]]) for c in (0, 1))
-            found = list(jaccard.first_partners(pa.table(columns), 75, most, each))
-            assert all(len(v) <= most and max(map(len, v.values())) <= each for _, v, _ in found)
+            found = list(jaccard.first_partners(pa.table(columns), 75, most, each, jaccard.Spent(1 + step) if few else None))
+            assert all(len(v) <= most and max(map(len, v.values()), default=0) <= each for _, v, _ in found)
+            if few:
+                handed = Counter(frozenset((k % 7, to)) for k, v, _ in found for to, places in v.items() for _ in places)
+                assert max(handed.values()) <= 1 + step
             got |= {(k, p) for k, v, _ in found for places in v.values() for _, p in places}
             start = {k: r for k, _, r in found if r[0] < jaccard.NOWHERE}
             if not start:
