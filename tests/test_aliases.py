@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.operators import normalize
 from newsloom.operators.aliases import AliasFinder, guarded_aliases
 from newsloom.operators.normalize import base_items, with_entities
 from newsloom.vocabulary import CHAINS, Lexicon, read_overlay
@@ -46,3 +47,14 @@ def test_plan_does_not_grow_with_the_vocabulary(spark):
     items = base_items(spark.createDataFrame(rows(2, 5), RAW), F.lit(None).cast("timestamp"))
     size = lambda n: len(with_entities(items, Lexicon().overlaid({"entity_aliases": {f"N{i}": [f"name{i}"] for i in range(n)}}))._jdf.queryExecution().optimizedPlan().toString())
     assert abs(size(10) - size(3000)) < 200
+
+
+def test_hits_of_a_lexicon_table_shuffle_no_text(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(3, 200), RAW)
+    lexicon = Lexicon().frame(spark)
+    found = normalize.alias_hits(docs, lexicon)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(normalize, "PART_CHARS", 100)
+    want = sorted(map(tuple, found.collect()))
+    assert want and sorted(map(tuple, normalize.alias_hits(docs, lexicon).collect())) == want
