@@ -30,3 +30,14 @@ def test_streams_read_tables_of_many_files(spark, tmp_path, name):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(60).repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
     assert differences(spark, tmp_path, name) == (set(), set())
     assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == 60
+
+
+@pytest.mark.parametrize("name", ["newest_run", "promoted_order", "promoted_snapshot", "promotion_rollup", "stored_runs", "trending_topics"])
+def test_days_of_times_near_midnight(spark, tmp_path, name):
+    """Every event moves to the end of its day, some to its last half second, which the SQL counts to the next one."""
+    for t in ("documents", "embeddings"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    con = duckdb.connect()
+    con.sql(f"""copy (select * replace (date_trunc('day', ts) + to_microseconds(86400000000 - 1 - event_id * 79190 % 1000000) as ts, user_id % 50 as user_id)
+    from '{SF}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)""")
+    assert differences(spark, tmp_path, name) == (set(), set())
