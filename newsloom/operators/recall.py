@@ -80,8 +80,9 @@ def similar(pool: DataFrame, query: list[float] | Column, vector: str = "embeddi
     return pool.withColumn("similarity", cosine(F.col(vector), q)).withColumn("semantic_match_score", F.round("similarity", 4))
 
 
-def top_similar(pool: DataFrame, k: int, order: str = "ord") -> DataFrame:
-    return pool.orderBy(F.desc("similarity"), F.col(order)).limit(k)
+def top_similar(pool: DataFrame, k: int, order: str = "ord", by: str = "similarity") -> DataFrame:
+    """The ``k`` nearest rows, ties to the earlier ``order``; ``by`` the rounded score, what it shows as equal is a tie."""
+    return pool.orderBy(F.desc(by), F.col(order)).limit(k)
 
 
 #: Digits to which similarities are told apart when many profiles are answered at once.

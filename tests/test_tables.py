@@ -41,3 +41,9 @@ def test_days_of_times_near_midnight(spark, tmp_path, name):
     con.sql(f"""copy (select * replace (date_trunc('day', ts) + to_microseconds(86400000000 - 1 - event_id * 79190 % 1000000) as ts, user_id % 50 as user_id)
     from '{SF}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)""")
     assert differences(spark, tmp_path, name) == (set(), set())
+
+
+def test_similarities_that_round_alike_are_ties(spark, tmp_path):
+    rows = [(i, [1.0, (0.3 - i * 1e-6 if i else 0.0)]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert differences(spark, tmp_path, "cosine_topk") == (set(), set())
