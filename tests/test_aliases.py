@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import normalize
+from newsloom.operators import aliases, normalize
 from newsloom.operators.aliases import AliasFinder, guarded_aliases
 from newsloom.operators.normalize import base_items, with_entities
 from newsloom.vocabulary import CHAINS, Lexicon, read_overlay
@@ -58,3 +59,24 @@ def test_hits_of_a_lexicon_table_shuffle_no_text(spark, monkeypatch):
     monkeypatch.setattr(normalize, "PART_CHARS", 100)
     want = sorted(map(tuple, found.collect()))
     assert want and sorted(map(tuple, normalize.alias_hits(docs, lexicon).collect())) == want
+
+
+def test_evidence_of_a_batch_is_held_in_slices(monkeypatch):
+    """The peak of Python objects is a slice's, whatever the batch; slices make the same rows."""
+    import tracemalloc
+
+    words = [f"w{i}" for i in range(300)]
+    finder = aliases.AliasFinder([("projects", w, w, i, 0) for i, w in enumerate(words)], [])
+    batch = lambda n: (pa.array(["w1 w2"] * n), pa.array([" ".join(words)] * n), pa.array([[]] * n, pa.list_(pa.list_(pa.bool_()))))
+
+    def peak(n):
+        tracemalloc.start()
+        made = aliases.in_slices(finder, *batch(n))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, made
+
+    monkeypatch.setattr(aliases, "SLICE_ROWS", 20)
+    (small, _), (large, made) = peak(40), peak(400)
+    assert large < 1.5 * small
+    assert made.to_pylist() == [finder.evidence("w1 w2", " ".join(words), [])] * 400 and len(aliases.in_slices(finder, *batch(0))) == 0
