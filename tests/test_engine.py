@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.operators import normalize as norm
+from newsloom.plans import fixtures as fx
 from newsloom.functions import text as tx
 from newsloom.operators import cluster, rank, vocab
 from newsloom.operators.normalize import normalize
@@ -216,3 +218,21 @@ def test_profile_texts(spark):
     p = spark.createDataFrame([("u", [], [], [], [], [], "medium")], PROFILE)
     assert "Interests: crypto market\nFollowed projects: none" in p.select(tx.profile_query(F.lit(" x "))).first()[0]
     assert p.select(tx.profile_summary()).first()[0] == "risk: medium"
+
+
+def test_summary_is_that_of_the_whole_collapsed_text(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["a", "é", "𝒳", " ", "\n", " ", "  "], weights=[6, 1, 1, 2, 1, 1, 1], k=n)) for n in [*range(0, 12), *rng.choices(range(100, 260), k=300)]]
+    texts += ["a" * 119 + " b", "a" * 120 + " ", "a" * 120 + " b", " " * 5000 + "a" * 120 + "\n" * 5000, "a" * 119 + " " * 5000 + "b" * 9, " \n"]
+    for text, short in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.summary(F.col("t"))).collect():
+        clean = " ".join(text.split())
+        assert short == clean[:120] + ("..." if len(clean) > 120 else "")
+
+
+def test_normalisation_cuts_a_text_into_words_once(spark):
+    """Its plan looks no alias of one word up in a text, and no filter on what comes of the words is moved below them."""
+    raw = spark.createDataFrame([("1", "that was it", "this is from la with tion", "2024-01-01")], "id string, title string, content string, publish_time string")
+    made = norm.normalize(raw, fx.LEXICON, F.lit(None).cast("timestamp")).select("id", F.explode("entity_confidence").alias("bucket", "m")).where("size(m) > 0")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<![a-z0-9])" not in plan and plan.count("regexp_extract_all") == 2
+    assert {r["bucket"]: r["m"] for r in made.collect()} == {"projects": {"Alpha": "medium"}, "tokens": {"TAU": "weak"}, "chains": {"With": "strong"}, "topics": {"Origin": "strong"}}
