@@ -34,11 +34,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs, model).where("predicted = 0").select(COLUMNS)
 
 
+#: Bits of a sketch for each key in it, so that about one row in as many passes it for no reason.
+SKETCH_BITS = 32
+
+
+def _marked(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key`` and ``_maybe``: false where a row is surely not among ``rows`` (doc_id, row_key).
+
+    A bitmap of the keys is held against each row where it lies.  What it lets through
+    is hardly more than those rows, so only their texts need be shuffled to be compared.
+    """
+    bits = F.lit(SKETCH_BITS * max(1, rows.count()))
+    place = F.pmod("row_key", bits)
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    sketch = rows.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    keyed = docs.withColumn("row_key", row_key_of(F.col("doc_id"), F.col("text"))).withColumn("_bucket", bucket).join(F.broadcast(sketch), "_bucket", "left")
+    return keyed.select(*COLUMNS, "row_key", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+
+
+def _meeting(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``rows`` (doc_id, row_key), or with ``left_anti`` those which aren't."""
+    other = rows.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    return docs.join(other, (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without those whose id and text are among ``rows`` (doc_id, row_key)."""
-    keyed = docs.withColumn("_key", row_key_of(F.col("doc_id"), F.col("text")))
-    gone = rows.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_gone"))
-    return keyed.join(gone, (F.col("_key") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(COLUMNS)
+    marked = _marked(docs, rows)
+    return marked.where("not _maybe").select(COLUMNS).unionByName(_meeting(marked.where("_maybe"), rows, "left_anti").select(COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +78,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = _without(docs, gone)
     if again.isEmpty():
         return kept
-    keyed = kept.withColumn("row_key", row_key_of(F.col("doc_id"), F.col("text")))
-    near = again.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-    same = (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = keyed.join(near, same, "left_semi").groupBy("doc_id", "row_key").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row"))
+    once = _meeting(_marked(kept, again).where("_maybe"), again, "left_semi").groupBy("doc_id", "row_key").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row"))
     once = once.select("doc_id", "row.*").select(COLUMNS)
     return _without(kept, again).unionByName(once)
 

@@ -50,6 +50,31 @@ def test_equal_rows_stay_once(spark):
     assert sorted(r["doc_id"] for r in kept) == [5, 6]
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    own = plan.metrics().get("shuffleRecordsWritten")
+    children = plan.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    docs = frame(spark, [*((i, f"text {i}") for i in range(3000)), (None, "text 0"), (None, "text 1"), (5, None)]).select(pipeline.COLUMNS)
+    key = pipeline.row_key_of(pipeline.F.col("doc_id"), pipeline.F.col("text")).alias("row_key")
+    gone = docs.where("doc_id % 100 = 0 or (doc_id is null and text = 'text 1') or text is null").select("doc_id", key)
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    try:
+        out = pipeline._without(docs, gone)
+        rows = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert sorted(map(repr, rows)) == sorted(map(repr, [*((i, f"text {i}") for i in range(3000) if i % 100), (None, "text 0")]))
+        assert shuffled_rows(out._jdf.queryExecution().executedPlan()) < 600
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_leaks_by_row(spark):
     rng = random.Random(3)
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
