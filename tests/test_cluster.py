@@ -78,6 +78,23 @@ def test_pairs_within_reach(spark):
     assert {(r[0], r[1]) for r in similarity.candidate_pairs(rows).select("a.id", "b.id").collect()} == want
 
 
+def test_pairs_keep_their_tasks(spark):
+    """Few bytes go in and many pairs come out, so tasks are not merged by what goes in."""
+    rows = items(spark, 6, 40, ["P"], ["a"])
+    pairs = similarity.candidate_pairs(rows)
+    assert pairs.count() > 40 and pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["pair_gate"])
+def test_items_are_normalised_once(spark, name, monkeypatch):
+    """All that a query plans, staged or returned, scans the documents once."""
+    staged, planned = catalogue.store.staged, []
+    monkeypatch.setattr(catalogue.store, "staged", lambda df, to: (planned.append(df), staged(df, to))[1])
+    planned.append(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert sum(df._jdf.queryExecution().sparkPlan().toString().count("documents.parquet") for df in planned) == 1
+    assert planned[-1].count() > 0
+
+
 def test_merged_roll_up_equals_roll_up(spark):
     rows = items(spark, 7, 120, ["P", "Q", "r"], ["a1", "b2"]).withColumns({
         "summary": F.when(F.col("ord") % 7 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("ord") % 9).cast("string"))), "importance_score": F.col("ord") % 4 / 10, "credibility_score": F.lit(0.5),
