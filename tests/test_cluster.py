@@ -85,7 +85,7 @@ def test_pairs_keep_their_tasks(spark):
     assert pairs.count() > 40 and pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@pytest.mark.parametrize("name", ["pair_gate", "daily_ranking", "explain"])
+@pytest.mark.parametrize("name", ["pair_gate", "daily_ranking", "feed_page", "explain"])
 def test_items_are_normalised_once(spark, name, monkeypatch):
     """All that a query plans, staged or returned, scans the documents once."""
     staged, planned = catalogue.store.staged, []
